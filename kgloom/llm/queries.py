@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +17,55 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op2_byte_bpe": op2_byte_bpe}
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import simhash
+
+    groups = simhash.simhash_groups(_table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES = {
+    "op2_byte_bpe": op2_byte_bpe,
+    "op8_mix_sources": op8_mix_sources,
+    "op9_simhash": op9_simhash,
+}
 
 #: Queries without SQL here can't be said in it; tests hold them against brute force.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_mix_sources": r"""
+    WITH d AS (
+      SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+             md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS dg FROM documents),
+    s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+    s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s0),
+    s2 AS (SELECT *, [5, 2, 1][(rank - 1) % 3 + 1] AS weight, 2 * source_size AS cap FROM s1),
+    s3 AS (
+      SELECT *, row_number() OVER (ORDER BY cap / weight, rank) AS rank_by,
+             coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS clamped,
+             sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open,
+             sum(source_size) OVER () AS total FROM s2),
+    s4 AS (SELECT *, total * 3 - clamped * 2 AS rest FROM s3),
+    f AS (SELECT rank_by, rest, open FROM s4 WHERE cap * open * 2 >= rest * weight ORDER BY rank_by LIMIT 1),
+    s5 AS (
+      SELECT s4.source, source_size,
+             CASE WHEN f.rank_by IS NULL OR s4.rank_by < f.rank_by THEN CAST(cap AS DOUBLE)
+                  ELSE CAST(weight * f.rest AS DOUBLE) / CAST(f.open * 2 AS DOUBLE) END AS target
+      FROM s4 LEFT JOIN f ON true),
+    s6 AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(round(target) / source_size) AS BIGINT) ELSE 0 END AS whole FROM s5),
+    c AS (
+      SELECT *, CAST(('0x' || dg[1:8]) AS BIGINT) % 4096 AS bucket FROM d),
+    r AS (
+      SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY bucket, dg, doc_id, size
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
+    SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+           CAST(whole * size + greatest(0, least(size, CAST(round(target) AS BIGINT) - whole * source_size - before)) AS BIGINT) AS taken
+    FROM r JOIN s6 ON r.source IS NOT DISTINCT FROM s6.source
+    """,
+}
