@@ -52,7 +52,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import topk
+
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op10_topk": op10_topk,
     "op2_byte_bpe": op2_byte_bpe,
     "op4_shard_by_bytes": op4_shard_by_bytes,
     "op5_url_filter": op5_url_filter,
@@ -62,6 +69,17 @@ QUERIES = {
 
 #: Queries without SQL here can't be said in it; tests hold them against brute force.
 SQL: dict[str, str] = {
+    "op10_topk": """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q FROM embeddings
+      WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+      SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+    """,
     "op8_mix_sources": r"""
     WITH d AS (
       SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
