@@ -17,6 +17,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import line_dedup
+
+    return line_dedup.line_components(_table(spark, sf_dir, "documents"))
+
+
 def op4_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import sharding
 
@@ -61,6 +67,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op10_topk": op10_topk,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_line_dedup": op3_line_dedup,
     "op4_shard_by_bytes": op4_shard_by_bytes,
     "op5_url_filter": op5_url_filter,
     "op8_mix_sources": op8_mix_sources,
