@@ -44,6 +44,12 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
@@ -70,6 +76,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_shard_by_bytes": op4_shard_by_bytes,
     "op5_url_filter": op5_url_filter,
+    "op6_quality": op6_quality,
     "op8_mix_sources": op8_mix_sources,
     "op9_simhash": op9_simhash,
 }
