@@ -56,62 +56,90 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], budget: tuple[int, int],
     )
 
 
-def mix(
-    df: DataFrame,
+def _at(key: str, seed: int) -> Column:
+    """The place of a row in its source's seeded order."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+
+
+def _bucket(at: Column) -> Column:
+    return (F.conv(F.substring(at, 1, 8), 16, 10).cast("long") % BUCKETS).cast("int")
+
+
+def plan_mix(
+    rows: DataFrame,
     key: str = "doc_id",
-    text: str = "text",
     source: str = "source",
+    size: str = "size",
     weights: tuple[int, ...] = (5, 2, 1),
     budget: tuple[int, int] = (3, 2),
     epochs: int = 2,
     seed: int = 42,
 ) -> DataFrame:
+    """One row a source: (source, source_size, target, whole, cut, need).
+
+    Every row of the source is taken `whole` times, those in buckets before `cut` once more, and
+    those of bucket `cut` until `need` more words are taken.
+    """
+    buckets = rows.groupBy(F.col(source).alias("source"), _bucket(_at(key, seed)).alias("bucket")).agg(F.sum(size).alias("bucket_size"))
+    sources = targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, budget, epochs)
+    words = F.round("target").cast("long")
+    sources = sources.withColumn(
+        "whole", F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0).cast("long")
+    ).withColumn("missing", words - F.col("whole") * F.col("source_size"))
+    before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    placed = buckets.withColumn("before", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
+    left = F.col("missing") - F.col("before")
+    return (
+        placed.alias("b")
+        .join(sources.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source")))
+        .groupBy(F.col("s.source").alias("source"), "source_size", "target", "whole")
+        .agg(F.max(F.when(left > 0, F.struct("bucket", left.alias("need")))).alias("last"))
+        .select("source", "source_size", "target", "whole", F.coalesce("last.bucket", F.lit(-1)).alias("cut"), F.coalesce("last.need", F.lit(0)).alias("need"))
+    )
+
+
+def apply_mix(df: DataFrame, plan: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", seed: int = 42) -> DataFrame:
+    """df with source_size, target, whole and extra; rows stay where they are, but for the cut buckets'."""
+    p = plan.select(F.col("source").alias("_source"), "source_size", "target", "whole", "cut", "need")
+    dealt = (
+        df.withColumn("_at", _at(key, seed))
+        .withColumn("_bucket", _bucket(F.col("_at")))
+        .join(p, F.col(source).eqNullSafe(F.col("_source")))
+    )
+    clear = dealt.where("_bucket <> cut").withColumn("extra", F.when(F.col("_bucket") < F.col("cut"), F.col(size)).otherwise(0).cast("long"))
+    inside = W.partitionBy("_source").orderBy("_at", key, size).rowsBetween(W.unboundedPreceding, -1)
+    left = F.col("need") - F.coalesce(F.sum(size).over(inside), F.lit(0))
+    edge = dealt.where("_bucket = cut").withColumn("extra", F.greatest(F.lit(0), F.least(F.col(size), left)).cast("long"))
+    return clear.unionByName(edge).drop("_at", "_bucket", "_source", "cut", "need")
+
+
+def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """How often the mix takes each row: (key, source, size, source_size, target, whole, extra, taken).
 
     Each row of a source is taken `whole` times in full. What the target then lacks is filled from
     the source's rows in a seeded order, one further repetition each; the row on the edge gives
     only the words still missing (extra), so each source's taken words are its target, rounded.
     The order is by digest of seed and key: the same rows give the same mix on any cluster.
+    how: weights, budget, epochs and seed, as in plan_mix().
 
     Null texts have size 0; a null source is a source; null keys sort as empty ones; rows with the
-    same key are ordered by size. An empty table gives no rows. Running sums are taken within a
-    bucket of a source and over its buckets, so a source with most rows fills no task.
+    same key are ordered by size. An empty table gives no rows. Sizes are summed by bucket of the
+    seeded order, and only one bucket of each source is ever ordered row by row, so a source with
+    most rows fills no task.
     """
     scratch = Scratch(df.sparkSession, "mix")
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
-    rows = scratch.save(
-        df.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), digest.alias("at"))
-        .withColumn("bucket", (F.conv(F.substring("at", 1, 8), 16, 10).cast("long") % BUCKETS).cast("int")),
-        "sizes",
-    )
-    buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    sources = targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, budget, epochs)
-    sources = sources.withColumn(
-        "whole",
-        F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.col("source_size"))).otherwise(0).cast("long"),
-    ).withColumn("need", F.round("target").cast("long") - F.col("whole") * F.col("source_size"))
-    before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    edges = (
-        buckets.withColumn("before", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
-        .alias("b")
-        .join(sources.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source")))
-        .select("b.source", "bucket", "before", "source_size", "target", "whole", "need")
-    )
-    inside = W.partitionBy("source", "bucket").orderBy("at", "key", "size").rowsBetween(W.unboundedPreceding, -1)
-    run = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    left = F.col("need") - F.col("before") - F.col("inside")
-    return (
-        run.alias("r")
-        .join(edges.alias("e"), F.col("r.source").eqNullSafe(F.col("e.source")) & (F.col("r.bucket") == F.col("e.bucket")))
-        .withColumn("extra", F.greatest(F.lit(0), F.least("size", left)))
-        .select(
-            F.col("key").alias(key),
-            F.col("r.source").alias(source),
-            "size",
-            "source_size",
-            "target",
-            "whole",
-            "extra",
-            (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"),
-        )
-    )
+    rows = scratch.save(df.select(key, source, n_words(F.col(text)).alias("size")), "sizes")
+    plan = scratch.save(plan_mix(rows, key, source, "size", **how), "plan")
+    mixed = apply_mix(rows, plan, key, source, "size", how.get("seed", 42))
+    return mixed.withColumn("taken", F.col("whole") * F.col("size") + F.col("extra"))
+
+
+def mix_rows(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """df with each row as often as the mix takes it; the row on the edge counts as whole from half on."""
+    scratch = Scratch(df.sparkSession, "mix")
+    sized = df.withColumn("_size", n_words(F.col(text)))
+    plan = scratch.save(plan_mix(sized, key, source, "_size", **how), "plan")
+    mixed = apply_mix(sized, plan, key, source, "_size", how.get("seed", 42))
+    more = (F.col("extra") > 0) & (F.col("extra") * 2 >= F.col("_size"))
+    times = F.array_repeat(F.lit(1), (F.col("whole") + more.cast("long")).cast("int"))
+    return mixed.withColumn("_copy", F.explode(times)).select(df.columns)

@@ -63,16 +63,22 @@ def statistics(text: bytes | None) -> list[float]:
 
 
 def document_statistics(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, stats) of every row, one pass over whole texts."""
-    schema = T.StructType([df.schema[key], T.StructField("stats", T.ArrayType(T.DoubleType(), False), False)])
+    """(key, text_hash, stats) of every row, one pass over whole texts."""
+    schema = T.StructType(
+        [
+            df.schema[key],
+            T.StructField("text_hash", T.LongType()),
+            T.StructField("stats", T.ArrayType(T.DoubleType(), False), False),
+        ]
+    )
 
     def run(batches):
         for batch in batches:
-            raw = batch.column(1).cast(pa.binary())
-            stats = [statistics(x.as_py()) for x in raw]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(stats, pa.list_(pa.float64()))], names=schema.names)
+            raw = batch.column(2).cast(pa.binary())
+            stats = pa.array([statistics(x.as_py()) for x in raw], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), stats], names=schema.names)
 
-    return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, schema)
+    return df.select(F.col(key), F.xxhash64(text), F.col(text).cast("string")).mapInArrow(run, schema)
 
 
 class Kernel:
@@ -150,7 +156,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, n
 def score_quality(
     df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality"
 ) -> DataFrame:
-    """(key, held_out, score, predicted) of every row, from its whole text alone.
+    """(key, held_out, score, predicted, text_hash) of every row, from its whole text alone.
 
     Learns from all rows of labels(key, label in 0, 1) whose key occurs in df and whose
     crc32(key as text) mod 4 is not 2. Statistics are scaled by the labelled rows' means and
@@ -174,7 +180,7 @@ def score_quality(
     n, share = train.agg(F.count("*"), F.avg("y")).first()
     if not n or share in (0.0, 1.0):
         score = F.lit(0.5 if not n else float(share))
-        return stats.select(key, held.alias("held_out"), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"))
+        return stats.select(key, held.alias("held_out"), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"), "text_hash")
     scale = train.select(F.posexplode("stats")).groupBy("pos").agg(F.avg("col"), F.stddev_pop("col")).orderBy("pos").collect()
     short = lambda v: float(f"{v:.6g}")  # noqa: E731  the last digits depend on the order of sums
     kernel = Kernel([short(r[1]) for r in scale], [max(short(r[2]), 1e-6) for r in scale])
@@ -195,13 +201,20 @@ def score_quality(
     size, ones = np.array([c for _, c, _ in got], float), np.array([s for _, _, s in got])
     at, value = isotonic(centre, ones / size, size)
 
-    schema = T.StructType([df.schema[key], T.StructField("score", T.DoubleType(), False)])
+    schema = T.StructType([df.schema[key], T.StructField("text_hash", T.LongType()), T.StructField("score", T.DoubleType(), False)])
 
     def score_all(batches):
         for batch in batches:
-            raw = (kernel(_matrix(batch.column(1))) / UNIT) @ whole
+            raw = (kernel(_matrix(batch.column(2))) / UNIT) @ whole
             score = np.clip(np.round(np.interp(raw, at, value), 9), 0, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=schema.names)
+
+    scored = stats.select(key, "text_hash", "stats").mapInArrow(score_all, schema)
+    return scored.select(key, held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "text_hash")
+
 
-    scored = stats.select(key, "stats").mapInArrow(score_all, schema)
-    return scored.select(key, held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+def drop_rejected(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """df without the rows that score_quality() rejects. Equal keys with equal texts share a fate."""
+    bad = score_quality(df, labels, key, text, label).where("predicted = 0")
+    bad = bad.select(F.col(key).alias("_key"), F.col("text_hash").alias("_hash")).distinct()
+    return df.join(bad, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_hash")), "left_anti")

@@ -46,16 +46,16 @@ def fingerprint(text: bytes | None, words: int = 4) -> int:
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
-    """(key, fp): the fingerprint of every row as a signed long. No exchange."""
-    schema = T.StructType([df.schema[key], T.StructField("fp", T.LongType(), False)])
+    """(key, text_hash, fp): the fingerprint of every row as a signed long. No exchange."""
+    schema = T.StructType([df.schema[key], T.StructField("text_hash", T.LongType()), T.StructField("fp", T.LongType(), False)])
 
     def run(batches):
         for batch in batches:
-            raw = batch.column(1).cast(pa.binary())
+            raw = batch.column(2).cast(pa.binary())
             fps = np.fromiter((fingerprint(x.as_py(), words) for x in raw), dtype="<u8", count=len(raw))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view("<i8"))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view("<i8"))], names=schema.names)
 
-    return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, schema)
+    return df.select(F.col(key), F.xxhash64(text), F.col(text).cast("string")).mapInArrow(run, schema)
 
 
 def _keys(fps: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def simhash_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
-    """(key, fp, component_id): near-duplicate groups of whole texts.
+    """(key, text_hash, fp, component_id): near-duplicate groups of whole texts.
 
     Two rows are linked if their fingerprints differ in at most 4 of 64 bits; component_id is the
     smallest key that links reach, the row's own included. Equal fingerprints are one node, so
@@ -200,4 +200,14 @@ def simhash_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words
     )
     ids = of.groupBy("component").agg(F.min("first").alias("component_id"))
     named = of.join(ids, "component").select("fp", "component_id")
-    return rows.join(named, "fp").select(key, "fp", "component_id")
+    return rows.join(named, "fp").select(key, "text_hash", "fp", "component_id")
+
+
+def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
+    """df with the row that names each of the groups of simhash_groups() alone.
+
+    Rows that repeat that row's key and text are the same document and stay with it.
+    """
+    stay = simhash_groups(df, key, text, words).where(F.col(key).eqNullSafe(F.col("component_id")))
+    stay = stay.select(F.col(key).alias("_key"), F.col("text_hash").alias("_hash")).distinct()
+    return df.join(stay, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_hash")), "left_semi")
