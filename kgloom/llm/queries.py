@@ -56,6 +56,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    back = warc.round_trip(spark, _table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
@@ -84,12 +91,22 @@ QUERIES = {
     "op4_shard_by_bytes": op4_shard_by_bytes,
     "op5_url_filter": op5_url_filter,
     "op6_quality": op6_quality,
+    "op7_warc": op7_warc,
     "op8_mix_sources": op8_mix_sources,
     "op9_simhash": op9_simhash,
 }
 
 #: Queries without SQL here can't be said in it; tests hold them against brute force.
 SQL: dict[str, str] = {
+    "op7_warc": """
+    WITH p AS (
+      SELECT page_id, sha1(coalesce(html, '')) AS payload_digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
+    g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first FROM p)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 1000 AND page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 1000 AND page_id < first THEN first END AS refers_to
+    FROM g
+    """,
     "op10_topk": """
     WITH v AS (
       SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q FROM embeddings
