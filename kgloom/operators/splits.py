@@ -97,9 +97,11 @@ def negatives(candidates: DataFrame, positives: DataFrame, keys: list[str], n: i
 
 def time_split(df: DataFrame, at: str, share: float = 0.8) -> DataFrame:
     """df with `split`: train up to the exact percentile of a time column, test after it."""
-    cut = df.agg(F.percentile(F.col(at).cast("double"), F.lit(share)).alias("_cut"))  # one row
+    kind = dict(df.dtypes)[at]
+    when = F.col(at).cast("timestamp").cast("double") if kind.startswith(("timestamp", "date")) else F.col(at).cast("double")
+    cut = df.agg(F.percentile(when, F.lit(share)).alias("_cut"))  # one row
     both = df.crossJoin(F.broadcast(cut))
-    return both.withColumn("split", F.when(F.col(at).cast("double") <= F.col("_cut"), "train").otherwise("test")).drop("_cut")
+    return both.withColumn("split", F.when(when <= F.col("_cut"), "train").otherwise("test")).drop("_cut")
 
 
 def group_split(df: DataFrame, group: str) -> DataFrame:
