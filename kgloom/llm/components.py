@@ -1,59 +1,5 @@
-"""Connected components of an edge table, without a driver-side copy of any edge."""
+"""Connected components of an edge table; the graph operator, in the same written rounds."""
 
-from __future__ import annotations
+from ..operators.graph import connected_components
 
-from pyspark.sql import DataFrame, functions as F
-
-from .scratch import Scratch
-
-
-def _min_neighbour(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
-
-
-def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of edges(a, b); component is the smallest node reachable.
-
-    Alternates two contractions until every node points straight at its root. In the first each
-    node hands its larger neighbours to its smallest neighbour, in the second each node hands its
-    smaller neighbours to the smallest of them; both keep components. Minima are combined before
-    the exchange, and the joins are plain equi-joins whose large partitions AQE can split, so a
-    node with very many neighbours does not fill one task. Each round is a written table.
-
-    Null ends and self loops are ignored; repeated edges count once; no edges give no rows.
-    """
-    e = scratch.save(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
-        "edges",
-    )
-    for _ in range(max_rounds):
-        ends = e.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(
-            e.select(F.col("v"), F.lit(0), F.lit(1))
-        )
-        open_nodes = (
-            ends.groupBy("n")
-            .agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-            .where("up > 1 or (up > 0 and down > 0)")
-        )
-        if open_nodes.isEmpty():
-            break
-        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = _min_neighbour(both).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.save(large, "large")
-        low = _min_neighbour(large)
-        small = (
-            large.join(low, "u")
-            .where("v <> m")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionAll(low.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
-        after = scratch.save(small, "small")
-        scratch.drop(e)
-        scratch.drop(large)
-        e = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
+__all__ = ["connected_components"]

@@ -1,44 +1,5 @@
-"""Tables in the shared folder, which cut lineage and survive lost executors."""
+"""Written tables in the shared folder."""
 
-from __future__ import annotations
+from ..scratch import Scratch, shared_root
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a local one only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.gettempdir()}/kgloom-scratch"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-class Scratch:
-    """One operator call's folder of written tables."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self.n = 0
-
-    def path(self, name: str) -> str:
-        self.n += 1
-        return f"{self.root}/{self.n}-{name}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """df, written once and read back: later readers never recompute it."""
-        path = self.path(name)
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out.scratch_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table that save() gave and that nothing reads any more."""
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+__all__ = ["Scratch", "shared_root"]
