@@ -56,9 +56,9 @@ class ZipReader:
         self.members: dict[str, tuple[int, int, int]] = {}  # method, size, place of the local header
         tail_at = max(0, size - FULL16 - 22)
         tail = self._read(tail_at, size - tail_at)
-        end = tail.rfind(END)
+        end = tail.rfind(END, 0, max(0, len(tail) - 18))
         while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):
-            end = tail.rfind(END, 0, end)  # the mark inside a comment
+            end = tail.rfind(END, 0, end + 3)  # the mark inside a comment
         if end < 0:
             raise ValueError("no end of central directory: not a ZIP package")
         n, length, start = struct.unpack_from("<HII", tail, end + 10)
