@@ -82,7 +82,8 @@ def unnest_pairs(df: DataFrame, key: str, column: str) -> DataFrame:
 
 def unnest_list(df: DataFrame, key: str, column: str) -> DataFrame:
     """(key, item) of `a;b` texts, blank items left out."""
-    return df.select(F.col(key), F.trim(F.explode(F.split(F.col(column), ";"))).alias("item")).where("item <> ''")
+    items = df.select(F.col(key), F.explode(F.split(F.col(column), ";")).alias("item"))
+    return items.withColumn("item", F.trim("item")).where("item <> ''")
 
 
 def unnest_records(df: DataFrame, key: str, column: str, *fields: Column | str) -> DataFrame:

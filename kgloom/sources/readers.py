@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import first_column
@@ -126,8 +127,6 @@ def find_deep(text: Column, names: list[str], most: int = 10) -> Column:
     """The first string under one of the names anywhere in a JSON text, depth-first to a depth."""
     import json
 
-    import pandas as pd
-
     def search(v, depth):
         if depth > most:
             return None
