@@ -13,7 +13,7 @@ def write_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
         df.write.mode("overwrite").option("sep", "\t").option("header", True).csv(f"{folder}/{name}.tsv")
 
 
-# Display colours by node type.
+# Display colours by node type.
 COLOURS = {"enzyme": "#e41a1c", "protein": "#377eb8", "glycan": "#4daf4a", "disease": "#984ea3", "variant": "#ff7f00", "compound": "#a65628", "site": "#f781bf"}
 
 
