@@ -284,7 +284,7 @@ def self_loops(spark, sf_dir):
 @query()
 def graph_report(spark, sf_dir):
     """All checks of the typed graph, one row each."""
-    return validate.check_graph(nodes_of(spark, sf_dir), edges_of(spark, sf_dir, "in_region", "in_nation"))
+    return validate.check_graph(nodes_of(spark, sf_dir), edges_of(spark, sf_dir))
 
 
 @query(
@@ -544,14 +544,14 @@ def neighbour_features(spark, sf_dir):
 @query(
     """
     WITH x AS (SELECT c_nationkey AS cell_type, c_mktsegment AS gene, avg(greatest(c_acctbal, 0)) AS value FROM customer GROUP BY ALL),
-    i AS (SELECT DISTINCT c_mktsegment AS gene, o_orderpriority AS item FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderkey % 50 = 0)
+    i AS (SELECT DISTINCT c_mktsegment AS gene, o_orderpriority AS item FROM customer JOIN orders ON o_custkey = c_custkey)
     SELECT cell_type, item, round(sum(ln(1 + value)), 6) AS score FROM x JOIN i USING (gene) GROUP BY ALL
     """
 )
 def additive_scores(spark, sf_dir):
     c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
     x = c.groupBy(F.col("c_nationkey").alias("cell_type"), F.col("c_mktsegment").alias("gene")).agg(F.avg(F.greatest("c_acctbal", F.lit(0.0))).alias("value"))
-    i = c.join(o.where("o_orderkey % 50 = 0"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("gene"), F.col("o_orderpriority").alias("item")).distinct()
+    i = c.join(o, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("gene"), F.col("o_orderpriority").alias("item")).distinct()
     return ag.additive_scores(x, i).withColumn("score", F.round("score", 6))
 
 

@@ -312,16 +312,18 @@ def leak_check(spark, sf_dir):
 
 @query(
     """
-    SELECT p AS l_partkey, s AS l_suppkey FROM (SELECT p_partkey AS p, s_suppkey AS s FROM part, supplier WHERE p_partkey % 20 = 0 AND s_suppkey % 10 = 0) c
-    WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p AND l_suppkey = s) ORDER BY (p * 7919 + s * 31) % 10007, p, s LIMIT 100
+    SELECT p AS l_partkey, s AS l_suppkey FROM (SELECT DISTINCT p_partkey AS p, (p_partkey * 31 + k * 17) % 97 AS s FROM part, range(4) r(k)) c
+    WHERE s IN (SELECT s_suppkey FROM supplier) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p AND l_suppkey = s) ORDER BY (p * 7919 + s * 31) % 10007, p, s LIMIT 100
     """
 )
 def typed_negatives(spark, sf_dir):
-    """Negative pairs of a bounded candidate list, none of them positive."""
-    p = table(spark, sf_dir, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("l_partkey"))
-    s = table(spark, sf_dir, "supplier").where("s_suppkey % 10 = 0").select(F.col("s_suppkey").alias("l_suppkey"))
+    """Negative pairs out of four candidates for each part, none of them positive."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    pairs = p.select("l_partkey", ((F.col("l_partkey") * 31 + F.col("k") * 17) % 97).alias("l_suppkey"))
+    real = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"))
+    pairs = pairs.join(real, "l_suppkey", "left_semi")
     order = (F.col("l_partkey") * 7919 + F.col("l_suppkey") * 31) % 10007
-    return splits.negatives(p.join(s), table(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey"], 100, order)
+    return splits.negatives(pairs, table(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey"], 100, order)
 
 
 @query("SELECT o_orderkey, CASE WHEN epoch(o_orderdate) <= (SELECT quantile_cont(epoch(o_orderdate), 0.8) FROM orders) THEN 'train' ELSE 'test' END AS split FROM orders")
@@ -347,13 +349,13 @@ VECTORS = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM emb
 
 @query(
     f"""
-    WITH {VECTORS}, s AS (SELECT a.vec_id AS q, b.vec_id AS item, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 25 = 0)
+    WITH {VECTORS}, s AS (SELECT a.vec_id AS q, b.vec_id AS item, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id)
     SELECT q, item, score, CAST(position AS INTEGER) AS position FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, item) AS position FROM s) WHERE position <= 5
     """
 )
 def cosine_topk(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    q = v.where("vec_id % 25 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("x"), "label")
+    q = v.select(F.col("vec_id").alias("q"), F.col("embedding").alias("x"), "label")
     pairs = q.join(v.select(F.col("vec_id").alias("item"), F.col("embedding").alias("y"), "label"), "label").where("q <> item")
     scores = pairs.select("q", "item", F.round(vx.cosine(F.col("x"), F.col("y")), 6).alias("score"))
     return rk.top(scores, ["q"], 5).select("q", "item", "score", "position")
@@ -381,14 +383,14 @@ def closed_form_scores(spark, sf_dir):
     """
     WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer
       UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders),
-    t AS (SELECT 'r' || r_regionkey AS node, 0 AS depth, NULL::VARCHAR AS parent FROM region WHERE r_regionkey < 2 UNION ALL
+    t AS (SELECT 'r' || r_regionkey AS node, 0 AS depth, NULL::VARCHAR AS parent FROM region UNION ALL
       SELECT e.child, t.depth + 1, t.node FROM t JOIN e ON e.parent = t.node WHERE t.depth < 3)
     SELECT node, depth, parent FROM t
     """
 )
 def hierarchy_levels(spark, sf_dir):
     edges = edges_of(spark, sf_dir, "in_region", "in_nation", "placed_by").where(~F.col("source_id").startswith("s"))
-    roots = table(spark, sf_dir, "region").where("r_regionkey < 2").select(F.concat(F.lit("r"), "r_regionkey").alias("node"))
+    roots = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"))
     return graph.hierarchy(edges.select(F.col("target_id").alias("parent"), F.col("source_id").alias("child")), roots, 3)
 
 
@@ -408,7 +410,7 @@ def connected_components(spark, sf_dir):
     return graph.component_sizes(nodes, edges)
 
 
-TRI = "(SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT l_suppkey % 40 AS a, l_partkey % 40 AS b FROM lineitem WHERE l_orderkey % 20 = 0) WHERE a <> b)"
+TRI = "(SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT l_suppkey AS a, l_partkey AS b FROM lineitem) WHERE a <> b)"
 
 
 @query(
@@ -421,7 +423,7 @@ TRI = "(SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT l_sup
     """
 )
 def clustering_triangles(spark, sf_dir):
-    e = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").select((F.col("l_suppkey") % 40).alias("source_id"), (F.col("l_partkey") % 40).alias("target_id"))
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("source_id"), F.col("l_partkey").alias("target_id"))
     out = graph.clustering(e)
     return out.select("node", "degree", "triangles", F.round("coefficient", 6).alias("coefficient"))
 
