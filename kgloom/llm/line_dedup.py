@@ -90,33 +90,46 @@ def _similar(a: Column, b: Column) -> Column:
     return _near_sizes(a, b) & (shared >= SIMILARITY * (F.size(a) + F.size(b) - shared))
 
 
-def _blocks(rest: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(b, block, other, x, y): each two blocks of the lines rest(b, h) of a band, as arrays."""
-    sizes = rest.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"), F.count("*").alias("lines")).where("lines > 1")
-    dealt = rest.join(sizes.drop("lines"), "b").join(candidates, "h").withColumn("block", F.pmod(F.xxhash64("h", F.lit(1)), "nb").cast("int"))
-    blocks = dealt.groupBy("b", "nb", "block").agg(F.collect_list(F.struct("h", "s", "bands", "c")).alias("x"))  # about BLOCK lines
-    left = blocks.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("nb") - 1))).drop("nb")
+def _blocks(members: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(b, block, other, x, y): each two blocks of the lines members(b, h, similar) of a band, as arrays.
+
+    Lines that are not similar to the band's lowest fill the first blocks, and those that are the
+    others, which do not meet each other: all of these are connected. Nor do bands whose lines are.
+    """
+    dealt = members.join(candidates, "h")
+    blocks_of = lambda rows: F.ceil(F.count_if(rows) / BLOCK).cast("int")
+    sizes = dealt.groupBy("b").agg(blocks_of(~F.col("similar")).alias("first"), blocks_of(F.col("similar")).alias("then"), F.min("c").alias("low"), F.max("c").alias("high"))
+    sizes = sizes.where("first > 0 and low < high").drop("low", "high")
+    own = F.when(F.col("similar"), F.col("first") + F.pmod(F.xxhash64("h", F.lit(1)), "then")).otherwise(F.pmod(F.xxhash64("h", F.lit(1)), "first"))
+    dealt = dealt.join(sizes, "b").withColumn("block", own.cast("int"))
+    blocks = dealt.groupBy("b", "first", "then", "block").agg(F.collect_list(F.struct("h", "s", "bands", "c")).alias("x"))  # about BLOCK lines
+    left = blocks.where("block < first").withColumn("other", F.explode(F.sequence(F.col("block"), F.col("first") + F.col("then") - 1))).drop("first", "then")
     return left.join(blocks.select("b", F.col("block").alias("other"), F.col("x").alias("y")), ["b", "other"])
 
 
-def _block_links(rest: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(a, b): links among the lines rest(b, h) of each band, by exact similarity.
+def _block_links(members: DataFrame, candidates: DataFrame, whole: bool) -> DataFrame:
+    """(a, b): links among the lines members(b, h, similar) of each band, by exact similarity.
 
     A band's lines are dealt into blocks, and every two blocks of a band are one row, within which
     lines are compared: rows grow with the number of blocks, not of pairs. Lines that are known to
     be connected (equal c) are not compared, nor is a pair in other bands than the lowest that it
-    shares. Of its links in a row, each line of x gives the one to the lowest line of y alone; what
-    that leaves apart, the next call connects.
+    shares: there too it is compared, or both are similar to the lowest line and so connected. Of
+    its links in a row, each line of x gives the one to the lowest line of y alone; if whole, one
+    to each c among them, so that nothing is left apart.
     """
 
     def wanted(p, q):
         lowest = F.array_min(F.array_intersect(p["bands"], q["bands"])) == F.col("b")
         return (p["c"] != q["c"]) & _near_sizes(p["s"], q["s"]) & lowest & _similar(p["s"], q["s"])
 
-    near = lambda p: F.array_min(F.transform(F.filter("y", lambda q: wanted(p, q)), lambda q: q["h"]))
-    each = F.transform("x", lambda p: F.struct(p["h"].alias("a"), near(p).alias("b")))
-    both = F.filter(each, lambda e: e["b"].isNotNull())
-    return _blocks(rest, candidates).select(F.explode(both).alias("l")).select("l.a", "l.b").distinct()
+    def near(p):
+        found = F.filter("y", lambda q: wanted(p, q))
+        if whole:
+            return F.array_distinct(F.transform(found, lambda q: q["c"]))
+        return F.filter(F.array(F.array_min(F.transform(found, lambda q: q["h"]))), lambda q: q.isNotNull())
+
+    each = F.transform("x", lambda p: F.transform(near(p), lambda q: F.struct(p["h"].alias("a"), q.alias("b"))))
+    return _blocks(members, candidates).select(F.explode(F.flatten(each)).alias("l")).select("l.a", "l.b").distinct()
 
 
 def line_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -127,11 +140,11 @@ def line_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     node. A component is named by its first line, by key and line number, which alone is kept.
 
     Within a band, every line is first verified against the band's lowest line. Those that are not
-    similar to it are then compared with each other, in blocks, as long as that connects lines that
-    were not connected before. So a group of many near-equal lines emits few pairs a line, and no
-    link between lines that share a band is lost. Equal lines are known by a 64-bit hash. Null and blank texts have no
-    lines; a null key comes first in order; rows that repeat a key are decided alike. An empty
-    table gives no rows. Other columns are ignored.
+    similar to it are then compared, in blocks, with all the band's lines that they are not yet
+    connected to: once for a link to each block, then once more for the links that this left out.
+    So a group of many near-equal lines emits few pairs a line, and no link between lines that
+    share a band is lost. Equal lines are known by a 64-bit hash. Null and blank texts have no lines; a null key comes first in order; rows that repeat a key are decided alike. An empty table gives
+    no rows. Other columns are ignored.
     """
     scratch = Scratch(df.sparkSession, "lines")
     lines = split_lines(df, key, text).withColumn("h", F.xxhash64("line"))
@@ -144,14 +157,18 @@ def line_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     a, b = found.select("h", "s"), found.select(F.col("h").alias("rep"), F.col("s").alias("t"))
     pairs = shared.select("h", "rep").distinct().join(a, "h").join(b, "rep")
     judged = scratch.save(pairs.select("h", "rep", _similar(F.col("s"), F.col("t")).alias("similar")), "judged")
-    rest = scratch.save(shared.join(judged.where("not similar"), ["h", "rep"]).select("b", "h"), "rest")
+    members = shared.join(judged, ["h", "rep"]).select("b", "h", "similar")
+    unlike = members.where("not similar").select("b").distinct()  # elsewhere all lines are connected
+    members = scratch.save(members.join(unlike, "b", "left_semi"), "members")
     links = judged.where("similar").select(F.col("h").alias("a"), F.col("rep").alias("b"))
-    while True:
+    for whole in (False, True, None):
         of = scratch.save(connected_components(links, scratch).select(F.col("node").alias("h"), "component"), "components")
+        if whole is None:
+            break
         known = found.join(of, "h", "left").withColumn("c", F.coalesce("component", "h")).drop("component")
-        more = scratch.save(_block_links(rest, known), "links")
+        more = scratch.save(_block_links(members, known, whole), "links")
         if more.isEmpty():
-            break
+            break  # nothing was left apart
         links = links.unionAll(more)
     rows = seen.select("key", "line_no", "h")
     rows = rows.join(of, "h", "left").withColumn("component", F.coalesce("component", "h"))

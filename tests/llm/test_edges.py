@@ -87,6 +87,35 @@ def test_near_lines_and_hot_line(spark):
     assert {r.component_doc for r in got} == {0, 1000}
 
 
+def test_lines_that_share_a_band_are_all_compared(spark):
+    import itertools
+    import random
+
+    from tests.llm.test_queries import components
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 7)))
+    texts = []
+    for _ in range(60):  # chains: each line differs from the one before at one more word
+        line = [word() for _ in range(24)]
+        for k in rng.sample(range(24), 8):
+            texts.append(" ".join(line))
+            line[k] = word()
+    for _ in range(3):  # templates of which any words vary
+        line = [word() for _ in range(24)]
+        for _ in range(100):
+            own = list(line)
+            for k in rng.sample(range(24), rng.randint(1, 6)):
+                own[k] = word()
+            texts.append(" ".join(own))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    of = line_dedup.with_bands(df, "text").select("doc_id", "bands", line_dedup.shingle_hashes(F.col("text")).alias("s")).collect()
+    near = lambda x, y: len(x & y) >= 0.8 * len(x | y)
+    pairs = ((a.doc_id, b.doc_id) for a, b in itertools.combinations(of, 2) if set(a.bands) & set(b.bands) and near(set(a.s), set(b.s)))
+    got = {r.doc_id: r.component_doc for r in line_dedup.line_components(df).collect()}
+    assert got == components(range(len(texts)), pairs)
+
+
 def test_simhash(docs, empty):
     got = {(r.doc_id, r.fp): r.component_id for r in simhash.simhash_groups(docs).collect()}
     assert {c for (d, f), c in got.items() if f == 0} == {0}
