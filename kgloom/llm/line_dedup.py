@@ -14,7 +14,7 @@ LATIN, SPACED, UNSPACED = "!-~\u00a1-\u0dff", "\u0f00-\u2e7f\ua000-\uf8ff\ufb00-
 #: A line's shingles are the windows of WIDTH characters (fewer at its end) that start a word, or a
 #: further WIDTH characters into a long word. Anchoring them keeps one for each word, not for each
 #: character, and an edit moves only the windows that touch it.
-WIDTH = 12
+WIDTH = 8
 SHINGLE = rf"(?s)(?=(.{{1,{WIDTH}}}))(?:[{LATIN}]{{1,{WIDTH}}}+|[{SPACED}]{{1,{WIDTH}}}+|[{UNSPACED}])"
 #: Bands and rows of the signature: at similarity 0.8 a pair shares no band with probability
 #: (1 - 0.8**3)**8, about 0.003, and less above.
@@ -32,8 +32,8 @@ def shingle_hashes(line: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
 
 
-def with_bands(df: DataFrame, line: str = "line") -> DataFrame:
-    """df with bands, a line's distinct band values, BANDS at most.
+def with_bands(df: DataFrame, line: str = "line", shingles: str | None = None) -> DataFrame:
+    """df with bands, a line's distinct band values, BANDS at most, and its shingle hashes if they are named.
 
     One permutation, the shingles' hashes in order, cut into BANDS equal ranges: band j is the ROWS
     smallest hashes from the start of range j on, going on into the next ranges (and round) where a
@@ -43,6 +43,8 @@ def with_bands(df: DataFrame, line: str = "line") -> DataFrame:
     starts = [-(1 << 63) + j * ((1 << 64) // BANDS) for j in range(BANDS)]
     keep = df.columns
     step = df.select(*keep, shingle_hashes(F.col(line)).alias("_own"))
+    if shingles:
+        step, keep = step.withColumn(shingles, F.col("_own")), [*keep, shingles]
     step = step.select(
         *keep,
         F.concat("_own", F.slice("_own", 1, ROWS)).alias("_ring"),
@@ -76,7 +78,7 @@ def _candidates(lines: DataFrame, ends: DataFrame, scratch: Scratch) -> DataFram
         .where(F.col("mask").bitwiseAND(bit("h")) != 0)
     )
     once = likely.groupBy("h").agg(F.min("line").alias("line")).join(ends, "h", "left_semi")
-    return scratch.save(with_bands(once).select("h", shingle_hashes(F.col("line")).alias("s"), "bands"), "candidates")
+    return scratch.save(with_bands(once, shingles="s").select("h", "s", "bands"), "candidates")
 
 
 def _near_sizes(a: Column, b: Column) -> Column:

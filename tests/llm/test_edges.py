@@ -116,6 +116,23 @@ def test_lines_that_share_a_band_are_all_compared(spark):
     assert got == components(range(len(texts)), pairs)
 
 
+def test_lines_with_one_edit_are_linked(spark):
+    import random
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.choice((2, 3, 4, 4, 5, 5, 6, 7, 8))))
+    data = []
+    for k in range(200):
+        line = [word() for _ in range(rng.randint(11, 16))]
+        at = len(line) // 2
+        edited = [*line[:at], line[at][:-1] + "#", *line[at + 1 :]]  # one letter
+        data += [(2 * k, " ".join(line)), (2 * k + 1, " ".join(edited))]
+    got = {r.doc_id: r.component_doc for r in line_dedup.line_components(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    starts = lambda t: {t[k : k + 8] for k in range(len(t)) if k == 0 or t[k - 1] == " "}
+    near = [a for (a, x), (_, y) in zip(data[::2], data[1::2]) if len(starts(x) & starts(y)) >= 0.8 * len(starts(x) | starts(y))]
+    assert len(near) >= 150 and sum(got[a + 1] == a for a in near) >= 0.98 * len(near)
+
+
 def test_simhash(docs, empty):
     got = {(r.doc_id, r.fp): r.component_id for r in simhash.simhash_groups(docs).collect()}
     assert {c for (d, f), c in got.items() if f == 0} == {0}
