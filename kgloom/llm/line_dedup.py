@@ -55,9 +55,9 @@ def with_bands(df: DataFrame, line: str = "line", shingles: str | None = None) -
 
 
 def split_lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line_no, line): the lines of every text that are not blank, without blank ends."""
+    """(key, text_hash, line_no, line): the lines of every text that are not blank, without blank ends."""
     return (
-        df.select(F.col(key).alias("key"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
+        df.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
         .withColumn("line", F.btrim("line", F.lit(BLANK)))
         .where("line <> ''")
     )
@@ -134,23 +134,11 @@ def _block_links(members: DataFrame, candidates: DataFrame, whole: bool) -> Data
     return _blocks(members, candidates).select(F.explode(F.flatten(each)).alias("l")).select("l.a", "l.b").distinct()
 
 
-def line_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, line_no, component_doc, component_line, kept): every line that is not blank.
-
-    Lines are split at line feeds and compared without blank ends, letter case kept. Two lines are
-    linked if the Jaccard similarity of their shingle sets is at least 0.8; equal lines are one
-    node. A component is named by its first line, by key and line number, which alone is kept.
-
-    Within a band, every line is first verified against the band's lowest line. Those that are not
-    similar to it are then compared, in blocks, with all the band's lines that they are not yet
-    connected to: once for a link to each block, then once more for the links that this left out.
-    So a group of many near-equal lines emits few pairs a line, and no link between lines that
-    share a band is lost. Equal lines are known by a 64-bit hash. Null and blank texts have no lines; a null key comes first in order; rows that repeat a key are decided alike. An empty table gives
-    no rows. Other columns are ignored.
-    """
+def _placed(df: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of line_components() with text_hash, which tells rows that repeat a key apart."""
     scratch = Scratch(df.sparkSession, "lines")
     lines = split_lines(df, key, text).withColumn("h", F.xxhash64("line"))
-    seen = scratch.save(with_bands(lines).select("key", "line_no", "h", "bands"), "seen")
+    seen = scratch.save(with_bands(lines).select("key", "text_hash", "line_no", "h", "bands"), "seen")
     banded = seen.select("h", "bands").distinct().select("h", F.explode("bands").alias("b")).repartition("b")
     low = banded.groupBy("b").agg(F.min("h").alias("rep"), F.count("*").alias("lines")).where("lines > 1").drop("lines")
     shared = scratch.save(banded.join(low, "b").where("h <> rep"), "bands")
@@ -172,19 +160,41 @@ def line_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         if more.isEmpty():
             break  # nothing was left apart
         links = links.unionAll(more)
-    rows = seen.select("key", "line_no", "h")
+    rows = seen.select("key", "text_hash", "line_no", "h")
     rows = rows.join(of, "h", "left").withColumn("component", F.coalesce("component", "h"))
-    rows = scratch.save(rows.select("key", "line_no", "component"), "placed")
-    first = rows.groupBy("component").agg(F.min(F.struct("key", "line_no")).alias("first"))
+    rows = scratch.save(rows.select("key", "text_hash", "line_no", "component"), "placed")
+    first = rows.groupBy("component").agg(F.min(F.struct("key", "line_no", "text_hash")).alias("first"))
+    own = F.struct("key", "line_no", "text_hash")
     return rows.join(first, "component").select(
         F.col("key").alias(key),
+        "text_hash",
         "line_no",
         F.col("first.key").alias("component_doc"),
         F.col("first.line_no").alias("component_line"),
-        (F.col("first.key").eqNullSafe(F.col("key")) & (F.col("first.line_no") == F.col("line_no"))).alias("kept"),
+        F.col("first").eqNullSafe(own).alias("kept"),
     )
 
 
+def line_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, line_no, component_doc, component_line, kept): every line that is not blank.
+
+    Lines are split at line feeds and compared without blank ends, letter case kept. Two lines are
+    linked if the Jaccard similarity of their shingle sets is at least 0.8; equal lines are one
+    node. A component is named by its first line, by key and line number, which alone is kept.
+
+    Within a band, every line is first verified against the band's lowest line. Those that are not
+    similar to it are then compared, in blocks, with all the band's lines that they are not yet
+    connected to: once for a link to each block, then once more for the links that this left out.
+    So a group of many near-equal lines emits few pairs a line, and no link between lines that
+    share a band is lost. Equal lines are known by a 64-bit hash.
+
+    Null and blank texts have no lines; a null key comes first in order. Of rows that repeat a key,
+    those of equal texts are decided alike, others each by their own lines. An empty table gives no
+    rows. Other columns are ignored.
+    """
+    return _placed(df, key, text).drop("text_hash")
+
+
 def drop_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df with its texts reduced to the lines that line_components() keeps, and blank lines.
 
@@ -192,16 +202,16 @@ def drop_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     null or blank texts stay as they are.
     """
     gone = (
-        line_components(df, key, text)
+        _placed(df, key, text)
         .where("not kept")
-        .groupBy(F.col(key).alias("_key"))
+        .groupBy(F.col(key).alias("_key"), F.col("text_hash").alias("_hash"))
         .agg(F.collect_set("line_no").alias("_gone"))  # one document's own lines
     )
     kept = F.filter(F.split(F.col(text), "\n"), lambda _, k: ~F.array_contains(F.col("_gone"), k))
     left = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
     return (
-        df.join(gone, F.col(key).eqNullSafe(F.col("_key")), "left")
+        df.join(gone, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_hash")), "left")
         .withColumn(text, left)
         .where(F.col("_gone").isNull() | (F.btrim(F.col(text), F.lit(BLANK + "\n")) != ""))
-        .drop("_key", "_gone")
+        .drop("_key", "_hash", "_gone")
     )

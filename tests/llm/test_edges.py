@@ -133,6 +133,15 @@ def test_lines_with_one_edit_are_linked(spark):
     assert len(near) >= 150 and sum(got[a + 1] == a for a in near) >= 0.98 * len(near)
 
 
+def test_lines_of_rows_that_share_a_key(spark):
+    one, two, three = ("some first words of a line", "quite other things stand here", "and nothing else is alike at all")
+    data = [(1, one), (None, f"{one}\n{two}"), (None, f"{three}\nno line is like this one"), (None, f"last of the lines\n{two}")]
+    data += [(5, f"{one}\nseven and eight"), (5, "zebras run far\nnine and ten")]
+    left = line_dedup.drop_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    lines = [x for r in left for x in r.text.split("\n")]
+    assert sorted(lines) == sorted({x for _, t in data for x in t.split("\n")})  # each once, none lost
+
+
 def test_simhash(docs, empty):
     got = {(r.doc_id, r.fp): r.component_id for r in simhash.simhash_groups(docs).collect()}
     assert {c for (d, f), c in got.items() if f == 0} == {0}
