@@ -5,54 +5,99 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import connected_components
+from .names import free
 from .scratch import Scratch
 
 #: White space that is cut off a line's ends.
 BLANK = " \t\r\x0b\x0c"
-#: Characters that make words, and those of scripts written without spaces, each of which starts a shingle.
-LATIN, SPACED, UNSPACED = "!-~\u00a1-\u0dff", "\u0f00-\u2e7f\ua000-\uf8ff\ufb00-\U0010ffff", "\u0e00-\u0eff\u2e80-\u9fff\uf900-\ufaff"
-#: A line's shingles are the windows of WIDTH characters (fewer at its end) that start a word, or a
-#: further WIDTH characters into a long word. Anchoring them keeps one for each word, not for each
-#: character, and an edit moves only the windows that touch it.
+#: A line's shingles are all its windows of WIDTH characters, by 64-bit hash; a shorter line is one itself.
 WIDTH = 8
-SHINGLE = rf"(?s)(?=(.{{1,{WIDTH}}}))(?:[{LATIN}]{{1,{WIDTH}}}+|[{SPACED}]{{1,{WIDTH}}}+|[{UNSPACED}])"
-#: Bands and rows of the signature: at similarity 0.8 a pair shares no band with probability
-#: (1 - 0.8**3)**8, about 0.003, and less above. With few shingles bands coincide and more is missed:
-#: 0.027 of the pairs that share 4 of 5 shingles, 0.0037 at 8 of 10 (measured on 10,000 pairs each).
-BANDS, ROWS = 8, 3
+#: A signature has the least shingle hash of each of BINS bins; a band is ROWS bins in turn.
+BINS, ROWS = 24, 3
+#: A long line's minima are sought among about so many of its least hashes for each bin.
+KEEP = 3
 SIMILARITY = 0.8
+#: Before the exact comparison, up to SAMPLE of a line's shingles, those of the least hashes, are
+#: compared. A pair goes on unless its similarity there is over SPREAD standard deviations below SIMILARITY.
+SAMPLE, SPREAD = 256, 3.5
 #: Lines of a band that are still to be compared meet in pairs of blocks of about so many.
 BLOCK = 16
-#: Bits of the set of candidate lines that goes to every task: 2 MB at most, whatever the input.
-SKETCH_BITS = 23
+#: The set of candidate lines that goes to every task has up to 2**SKETCH_BITS bits (2 MB), about
+#: SPARE for each candidate; if there are more candidates, all lines are exchanged instead.
+SKETCH_BITS, SPARE = 24, 8
+
+
+def _starts(u: Column) -> Column:
+    """Where the shingles of a line begin; u is the line in UTF-32, 4 bytes a character."""
+    return F.sequence(F.lit(1), F.greatest(F.octet_length(u) - (4 * WIDTH - 1), F.lit(1)), F.lit(4))
+
+
+def _window(u: Column, at: Column) -> Column:
+    return F.xxhash64(F.substring(u, at, F.lit(4 * WIDTH)))
+
+
+def _all_shingles(line: Column) -> Column:
+    return F.transform(F.array(F.encode(line, "UTF-32")), lambda u: F.transform(_starts(u), lambda at: _window(u, at)))[0]
 
 
 def shingle_hashes(line: Column) -> Column:
-    """The distinct shingles of a line, by 64-bit hash, in the hashes' order."""
-    found = F.regexp_extract_all(line, F.lit(SHINGLE), 1)
-    return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
+    """The distinct shingles of a line, by 64-bit hash."""
+    return F.array_distinct(_all_shingles(line))
 
 
-def with_bands(df: DataFrame, line: str = "line", shingles: str | None = None) -> DataFrame:
-    """df with bands, a line's distinct band values, BANDS at most, and its shingle hashes if they are named.
+def minima(lines: DataFrame) -> DataFrame:
+    """(h, m0, m1, ...) of each distinct line of lines(h, line): the least shingle hash of each bin, or null.
 
-    One permutation, the shingles' hashes in order, cut into BANDS equal ranges: band j is the ROWS
-    smallest hashes from the start of range j on, going on into the next ranges (and round) where a
-    range has fewer. A band is a slice of the sorted hashes, found by the place of a mark that is
-    sorted in at the start of its range. The steps are selected one by one, so each is computed once.
+    Of a line with very many shingles only hashes up to a bound are looked at, chosen by their
+    number so that about KEEP are left for a bin; an empty bin is filled from the next by bands().
     """
-    starts = [-(1 << 63) + j * ((1 << 64) // BANDS) for j in range(BANDS)]
-    keep = df.columns
-    step = df.select(*keep, shingle_hashes(F.col(line)).alias("_own"))
-    if shingles:
-        step, keep = step.withColumn(shingles, F.col("_own")), [*keep, shingles]
-    step = step.select(
-        *keep,
-        F.concat("_own", F.slice("_own", 1, ROWS)).alias("_ring"),
-        F.sort_array(F.concat("_own", F.array(*map(F.lit, starts)))).alias("_marked"),
-    )
-    values = [F.xxhash64(F.slice("_ring", (F.array_position("_marked", F.lit(m)) - j).cast("int"), ROWS)) for j, m in enumerate(starts)]
-    return step.select(*keep, F.array_distinct(F.array(*values)).alias("bands"))
+    n = F.size("starts")
+    most = F.when(n <= BINS * KEEP, F.lit((1 << 63) - 1)).otherwise((F.lit(float(BINS * KEEP)) / n * 2.0**64 - 2.0**63).cast("long"))
+    u = lines.select("h", F.encode("line", "UTF-32").alias("u"))
+    u = u.select("h", "u", _starts(F.col("u")).alias("starts")).select("h", "u", "starts", most.alias("most"))
+    each = u.select("h", "u", "most", F.explode("starts").alias("at"))
+    low = each.select("h", "most", _window(F.col("u"), F.col("at")).alias("x")).where("x <= most")
+    low = low.select("h", "x", F.pmod("x", F.lit(BINS)).alias("bin"))
+    return low.groupBy("h").agg(*(F.min(F.when(F.col("bin") == j, F.col("x"))).alias(f"m{j}") for j in range(BINS)))
+
+
+def filled(signatures: DataFrame) -> DataFrame:
+    """signatures(h, m0, m1, ...) where an empty bin takes the value of the next that is not."""
+    return signatures.select("h", *(F.coalesce(*(F.col(f"m{(j + k) % BINS}") for k in range(BINS))).alias(f"m{j}") for j in range(BINS)))
+
+
+def bands(signatures: DataFrame) -> DataFrame:
+    """(h, b): the distinct bands of signatures(h, m0, m1, ...)."""
+    values = [F.xxhash64(*(f"m{k}" for k in range(j, j + ROWS))) for j in range(0, BINS, ROWS)]
+    return filled(signatures).select("h", F.explode(F.array_distinct(F.array(*values))).alias("b"))
+
+
+def with_sample(texts: DataFrame) -> DataFrame:
+    """texts(h, line) with sample: its shingles, in 32 bits of their hashes, up to cut.
+
+    cut halves the range of hashes until a line has SAMPLE shingles there at most, about.
+    """
+    u = texts.select("h", "line", F.encode("line", "UTF-32").alias("u")).select("h", "line", "u", _starts(F.col("u")).alias("starts"))
+    halvings = F.greatest(F.lit(0), F.ceil(F.log2(F.size("starts") / F.lit(SAMPLE))))
+    u = u.select("h", "line", "u", "starts", (F.pow(F.lit(2.0), 32 - halvings) - 2.0**31 - 1).cast("int").alias("cut"))
+    short = F.transform(F.array("u"), lambda u: F.transform("starts", lambda at: F.shiftright(_window(u, at), 32).cast("int")))[0]
+    u = u.select("h", "line", "cut", short.alias("short"))
+    return u.select("h", "line", F.struct("cut", F.array_distinct(F.filter("short", lambda x: x <= F.col("cut"))).alias("own")).alias("sample"))
+
+
+def _likely(p: Column, q: Column) -> Column:
+    """Whether the samples p, q of two lines leave it possible that these are similar."""
+
+    def up_to(x, cut):
+        return F.when(x["cut"] > cut, F.filter(x["own"], lambda v: v <= cut)).otherwise(x["own"])
+
+    def fit(t):
+        whole = t["size"] - t["shared"]
+        return t["shared"] >= SIMILARITY * whole - SPREAD * (SIMILARITY * (1 - SIMILARITY)) ** 0.5 * F.sqrt(whole)
+
+    same = F.array(F.struct(up_to(p, q["cut"]).alias("a"), up_to(q, p["cut"]).alias("b")))
+    counts = F.transform(same, lambda t: F.struct((F.size(t["a"]) + F.size(t["b"])).alias("size"), F.size(F.array_intersect(t["a"], t["b"])).alias("shared")))
+    return F.exists(counts, fit)
 
 
 def split_lines(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -64,109 +109,119 @@ def split_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def _candidates(lines: DataFrame, ends: DataFrame, scratch: Scratch) -> DataFrame:
-    """(h, s, bands): shingle hashes and bands of the candidate lines, by a second reading of the input.
+def _similar(a: Column, b: Column) -> Column:
+    """Exact Jaccard similarity of two shingle sets is SIMILARITY at least; sets of sizes far apart are not compared."""
+    shared = F.size(F.array_intersect(a, b))
+    fit = F.least(F.size(a), F.size(b)) >= SIMILARITY * F.greatest(F.size(a), F.size(b))
+    return F.when(fit, shared >= SIMILARITY * (F.size(a) + F.size(b) - shared)).otherwise(False)
 
-    A bit set of fixed size over their hashes is broadcast first, so that of all lines only these
-    (and few others) are exchanged.
-    """
-    word = lambda h: F.shiftright(F.pmod(h, F.lit(1 << SKETCH_BITS)), 6)
+
+def _shared_bands(lines: DataFrame) -> DataFrame:
+    """(h, b, lo, hi, n): lines that share a band with others, the band's lowest and highest line, and size."""
+    banded = bands(minima(lines)).repartition("b")
+    ends = banded.groupBy("b").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    return banded.join(ends.hint("shuffle_hash"), "b").select("h", "b", "lo", "hi", "n")
+
+
+def _seen(lines: DataFrame, shared: DataFrame) -> DataFrame:
+    """lines(key, text_hash, line_no, h, line) of which only candidates, and few others, keep their text."""
+    n = shared.count()
+    bits = min(max(10, (n * SPARE).bit_length()), SKETCH_BITS)
+    if n * SPARE > 1 << SKETCH_BITS:
+        return lines
+    word = lambda h: F.shiftright(F.pmod(h, F.lit(1 << bits)), 6)
     bit = lambda h: F.expr(f"shiftleft(1L, cast(pmod({h}, 64) as int))")
-    sketch = ends.groupBy(word(F.col("h")).alias("word")).agg(F.bit_or(bit("h")).alias("mask"))
-    likely = (
-        lines.withColumn("word", word(F.col("h")))
-        .join(F.broadcast(sketch), "word")  # 2**(SKETCH_BITS - 6) rows at most
-        .where(F.col("mask").bitwiseAND(bit("h")) != 0)
-    )
-    once = likely.groupBy("h").agg(F.min("line").alias("line")).join(ends, "h", "left_semi")
-    return scratch.save(with_bands(once, shingles="s").select("h", "s", "bands"), "candidates")
+    sketch = shared.groupBy(word(F.col("h")).alias("word")).agg(F.bit_or(bit("h")).alias("mask"))
+    likely = lines.withColumn("word", word(F.col("h"))).join(F.broadcast(sketch), "word", "left")  # 2**(bits - 6) rows at most
+    return likely.withColumn("line", F.when(F.col("mask").bitwiseAND(bit("h")) != 0, F.col("line"))).select(lines.columns)
 
 
-def _near_sizes(a: Column, b: Column) -> Column:
-    """Sets of sizes farther apart can't be similar."""
-    return F.least(F.size(a), F.size(b)) >= SIMILARITY * F.greatest(F.size(a), F.size(b))
+def _similar_pairs(pairs: DataFrame, texts: DataFrame, sample: bool = True) -> DataFrame:
+    """The pairs(a, b, ...) of lines that are similar, by a sample first, if wanted, and by all shingles."""
 
+    def both(of: DataFrame, what: str) -> DataFrame:
+        one, two = texts.select(F.col("h").alias("a"), F.col(what).alias("_p")), texts.select(F.col("h").alias("b"), F.col(what).alias("_q"))
+        return of.join(one, "a").join(two, "b")
 
-def _similar(a: Column, b: Column) -> Column:
-    """Exact Jaccard similarity of two shingle sets is SIMILARITY at least."""
-    shared = F.size(F.array_intersect(a, b))
-    return _near_sizes(a, b) & (shared >= SIMILARITY * (F.size(a) + F.size(b) - shared))
+    if sample:
+        pairs = both(pairs, "sample").where(_likely(F.col("_p"), F.col("_q"))).select(pairs.columns)
+    sets = both(pairs, "line").select(*pairs.columns, shingle_hashes(F.col("_p")).alias("_s"), shingle_hashes(F.col("_q")).alias("_t"))
+    return sets.select(*pairs.columns, _similar(F.col("_s"), F.col("_t")).alias("_similar")).where("_similar").select(pairs.columns)
+
+
+def _open_members(shared: DataFrame, of: DataFrame) -> DataFrame:
+    """(b, h, c, rest) of bands whose lines are not all compared or connected; rest: not connected to the band's lowest."""
+    wide = shared.where("n > 3").select("b", "h", "lo")
+    low = of.select(F.col("h").alias("lo"), F.col("component").alias("main"))
+    members = wide.join(of, "h", "left").join(low, "lo", "left")
+    members = members.select("b", "h", F.coalesce("component", "h").alias("c"), F.coalesce("main", "lo").alias("main")).withColumn("rest", F.col("c") != F.col("main"))
+    return members.join(members.where("rest").select("b").distinct(), "b", "left_semi").select("b", "h", "c", "rest")
+
+
+def _merged(of: DataFrame, members: DataFrame, more: DataFrame, scratch: Scratch) -> DataFrame:
+    """of(h, component) after joining the components more(a, b)."""
+    joined = connected_components(more, scratch).select(F.col("node").alias("c"), F.col("component").alias("top"))
+    lines = of.unionByName(members.select("h", F.col("c").alias("component"))).distinct().select("h", F.col("component").alias("c"))
+    return scratch.save(lines.join(joined, "c", "left").select("h", F.coalesce("top", "c").alias("component")), "components")
 
 
-def _blocks(members: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(b, block, other, x, y): each two blocks of the lines members(b, h, similar) of a band, as arrays.
+def _block_links(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): components to join, by exact similarity among the lines members(b, h, c, rest) of each band.
 
-    Lines that are not similar to the band's lowest fill the first blocks, and those that are the
-    others, which do not meet each other: all of these are connected. Nor do bands whose lines are.
+    A band's lines are dealt into blocks, those of its lowest line's component last, which do not
+    meet each other. Every other two blocks of a band are one row, within which lines are compared:
+    rows grow with the number of blocks, not of pairs, and only likely pairs leave a row. Lines of
+    one component are not compared, nor is a pair in other bands than the lowest that it shares:
+    there it is compared as well.
     """
-    dealt = members.join(candidates, "h")
+    own = members.groupBy("h").agg(F.array_sort(F.collect_list("b")).alias("bands"))  # as many as a line has bands
     blocks_of = lambda rows: F.ceil(F.count_if(rows) / BLOCK).cast("int")
-    sizes = dealt.groupBy("b").agg(blocks_of(~F.col("similar")).alias("first"), blocks_of(F.col("similar")).alias("then"), F.min("c").alias("low"), F.max("c").alias("high"))
-    sizes = sizes.where("first > 0 and low < high").drop("low", "high")
-    own = F.when(F.col("similar"), F.col("first") + F.pmod(F.xxhash64("h", F.lit(1)), "then")).otherwise(F.pmod(F.xxhash64("h", F.lit(1)), "first"))
-    dealt = dealt.join(sizes, "b").withColumn("block", own.cast("int"))
-    blocks = dealt.groupBy("b", "first", "then", "block").agg(F.collect_list(F.struct("h", "s", "bands", "c")).alias("x"))  # about BLOCK lines
-    left = blocks.where("block < first").withColumn("other", F.explode(F.sequence(F.col("block"), F.col("first") + F.col("then") - 1))).drop("first", "then")
-    return left.join(blocks.select("b", F.col("block").alias("other"), F.col("x").alias("y")), ["b", "other"])
-
-
-def _block_links(members: DataFrame, candidates: DataFrame, whole: bool) -> DataFrame:
-    """(a, b): links among the lines members(b, h, similar) of each band, by exact similarity.
-
-    A band's lines are dealt into blocks, and every two blocks of a band are one row, within which
-    lines are compared: rows grow with the number of blocks, not of pairs. Lines that are known to
-    be connected (equal c) are not compared, nor is a pair in other bands than the lowest that it
-    shares: there too it is compared, or both are similar to the lowest line and so connected. Of
-    its links in a row, each line of x gives the one to the lowest line of y alone; if whole, one
-    to each c among them, so that nothing is left apart.
-    """
+    sizes = members.groupBy("b").agg(blocks_of(F.col("rest")).alias("first"), blocks_of(~F.col("rest")).alias("then"))
+    at = F.when(F.col("rest"), F.pmod(F.xxhash64("h", F.lit(1)), "first")).otherwise(F.col("first") + F.pmod(F.xxhash64("h", F.lit(1)), "then"))
+    dealt = members.join(sizes, "b").withColumn("block", at.cast("int")).join(own, "h").join(texts.select("h", "sample"), "h")
+    blocks = dealt.groupBy("b", "first", "then", "block").agg(F.collect_list(F.struct("h", "c", "bands", "sample")).alias("x"))  # about BLOCK lines
+    left = blocks.where("block < first").withColumn("other", F.explode(F.sequence(F.col("block"), F.col("first") + F.col("then") - 1)))
+    both = left.select("b", "other", "x").join(blocks.select("b", F.col("block").alias("other"), F.col("x").alias("y")), ["b", "other"])
 
     def wanted(p, q):
         lowest = F.array_min(F.array_intersect(p["bands"], q["bands"])) == F.col("b")
-        return (p["c"] != q["c"]) & _near_sizes(p["s"], q["s"]) & lowest & _similar(p["s"], q["s"])
+        return F.when(p["c"] == q["c"], False).when(lowest, _likely(p["sample"], q["sample"])).otherwise(False)
+
+    near = both.select("b", "y", F.explode("x").alias("p")).select("p.h", "p.c", F.explode(F.filter("y", lambda q: wanted(F.col("p"), q))).alias("q"))
+    pairs = near.select(F.col("h").alias("a"), F.col("q.h").alias("b"), F.col("c").alias("p"), F.col("q.c").alias("q"))
+    return _similar_pairs(pairs, texts, False).select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()
 
-    def near(p):
-        found = F.filter("y", lambda q: wanted(p, q))
-        if whole:
-            return F.array_distinct(F.transform(found, lambda q: q["c"]))
-        return F.filter(F.array(F.array_min(F.transform(found, lambda q: q["h"]))), lambda q: q.isNotNull())
 
-    each = F.transform("x", lambda p: F.transform(near(p), lambda q: F.struct(p["h"].alias("a"), q.alias("b"))))
-    return _blocks(members, candidates).select(F.explode(F.flatten(each)).alias("l")).select("l.a", "l.b").distinct()
+def _components(shared: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(h, component) of the lines that are linked to another."""
+    rep = F.explode(F.array("lo", "hi")).alias("rep")
+    pairs = shared.select("h", rep).where("h <> rep").select(F.least("h", "rep").alias("a"), F.greatest("h", "rep").alias("b")).distinct()
+    links = scratch.save(_similar_pairs(pairs, texts), "links")
+    of = scratch.save(connected_components(links, scratch).select(F.col("node").alias("h"), "component"), "components")
+    members = scratch.save(_open_members(shared, of), "members")
+    if members.isEmpty():
+        return of
+    more = scratch.save(_block_links(members, texts), "links")
+    return of if more.isEmpty() else _merged(of, members, more, scratch)
 
 
 def _placed(df: DataFrame, key: str, text: str) -> DataFrame:
     """The rows of line_components() with text_hash, which tells rows that repeat a key apart."""
     scratch = Scratch(df.sparkSession, "lines")
     lines = split_lines(df, key, text).withColumn("h", F.xxhash64("line"))
-    seen = scratch.save(with_bands(lines).select("key", "text_hash", "line_no", "h", "bands"), "seen")
-    banded = seen.select("h", "bands").distinct().select("h", F.explode("bands").alias("b")).repartition("b")
-    low = banded.groupBy("b").agg(F.min("h").alias("rep"), F.count("*").alias("lines")).where("lines > 1").drop("lines")
-    shared = scratch.save(banded.join(low, "b").where("h <> rep"), "bands")
-    ends = shared.select("h").unionAll(shared.select(F.col("rep").alias("h"))).distinct()
-    found = _candidates(lines.select("h", "line"), scratch.save(ends, "ends"), scratch)
-    a, b = found.select("h", "s"), found.select(F.col("h").alias("rep"), F.col("s").alias("t"))
-    pairs = shared.select("h", "rep").distinct().join(a, "h").join(b, "rep")
-    judged = scratch.save(pairs.select("h", "rep", _similar(F.col("s"), F.col("t")).alias("similar")), "judged")
-    members = shared.join(judged, ["h", "rep"]).select("b", "h", "similar")
-    unlike = members.where("not similar").select("b").distinct()  # elsewhere all lines are connected
-    members = scratch.save(members.join(unlike, "b", "left_semi"), "members")
-    links = judged.where("similar").select(F.col("h").alias("a"), F.col("rep").alias("b"))
-    for whole in (False, True, None):
-        of = scratch.save(connected_components(links, scratch).select(F.col("node").alias("h"), "component"), "components")
-        if whole is None:
-            break
-        known = found.join(of, "h", "left").withColumn("c", F.coalesce("component", "h")).drop("component")
-        more = scratch.save(_block_links(members, known, whole), "links")
-        if more.isEmpty():
-            break  # nothing was left apart
-        links = links.unionAll(more)
+    shared = scratch.save(_shared_bands(lines.select("h", "line")), "bands")
+    seen = scratch.save(_seen(lines, shared), "seen")
+    texts = seen.where("line is not null").groupBy("h").agg(F.min("line").alias("line"))
+    texts = texts.join(shared.select("h").distinct(), "h", "left_semi")
+    texts = scratch.save(with_sample(texts), "texts")
+    of = _components(shared, texts, scratch)
     rows = seen.select("key", "text_hash", "line_no", "h")
-    rows = rows.join(of, "h", "left").withColumn("component", F.coalesce("component", "h"))
-    rows = scratch.save(rows.select("key", "text_hash", "line_no", "component"), "placed")
-    first = rows.groupBy("component").agg(F.min(F.struct("key", "line_no", "text_hash")).alias("first"))
     own = F.struct("key", "line_no", "text_hash")
-    return rows.join(first, "component").select(
+    firsts = rows.groupBy("h").agg(F.min(own).alias("first")).join(of, "h", "left")
+    firsts = scratch.save(firsts.select("h", "first", F.coalesce("component", "h").alias("component")), "firsts")
+    named = firsts.groupBy("component").agg(F.min("first").alias("first"))
+    named = firsts.select("h", "component").join(named, "component").select("h", "first")
+    return rows.join(named, "h").select(
         F.col("key").alias(key),
         "text_hash",
         "line_no",
@@ -179,19 +234,19 @@ def _placed(df: DataFrame, key: str, text: str) -> DataFrame:
 def line_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, line_no, component_doc, component_line, kept): every line that is not blank.
 
-    Lines are split at line feeds and compared without blank ends, letter case kept. Two lines are
-    linked if the Jaccard similarity of their shingle sets is at least 0.8; equal lines are one
+    Lines are split at line feeds and compared without blank ends, letter case kept. A line's
+    shingles are all its windows of 8 characters; a shorter line is its own only shingle. Two lines
+    are linked if the Jaccard similarity of their shingle sets is at least 0.8; equal lines are one
     node. A component is named by its first line, by key and line number, which alone is kept.
 
-    Within a band, every line is first verified against the band's lowest line. Those that are not
-    similar to it are then compared, in blocks, with all the band's lines that they are not yet
-    connected to: once for a link to each block, then once more for the links that this left out.
-    So a group of many near-equal lines emits few pairs a line, and no link between lines that
-    share a band is lost. Equal lines are known by a 64-bit hash.
+    Lines are candidates where one of 8 bands of 3 minima agrees: at similarity 0.8 a pair is missed
+    with probability (1 - 0.8**3)**8, about 0.003, and less above. Every line of a band is verified
+    against the band's lowest and highest; then those of different components are compared, in blocks. So a group of many near-equal lines emits few pairs a line, and no link between lines
+    that share a band is lost. Lines and shingles are known by 64-bit hashes.
 
-    Null and blank texts have no lines; a null key comes first in order. Of rows that repeat a key,
-    those of equal texts are decided alike, others each by their own lines. An empty table gives no
-    rows. Other columns are ignored.
+    Null and blank texts have no lines; very long lines are compared whole. A null key comes first
+    in order. Of rows that repeat a key, those of equal texts are decided alike, others each by
+    their own lines. An empty table gives no rows. Other columns, whatever their names, are ignored.
     """
     return _placed(df, key, text).drop("text_hash")
 
@@ -200,19 +255,19 @@ def drop_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """df with its texts reduced to the lines that line_components() keeps, and blank lines.
 
     Rows that had lines and keep none are dropped: each of their lines stands elsewhere. Rows with
-    null or blank texts stay as they are.
+    null or blank texts stay as they are. Rows that repeat key and text are decided alike, so all of
+    them stay or go; rows with a null key and rows that share a key but not a text each by their own
+    lines. All other columns stay, whatever their names. An empty table stays empty.
     """
-    gone = (
+    k, h, gone, left = free(df, "key", "hash", "gone", "left")
+    dropped = (
         _placed(df, key, text)
         .where("not kept")
-        .groupBy(F.col(key).alias("_key"), F.col("text_hash").alias("_hash"))
-        .agg(F.collect_set("line_no").alias("_gone"))  # one document's own lines
-    )
-    kept = F.filter(F.split(F.col(text), "\n"), lambda _, k: ~F.array_contains(F.col("_gone"), k))
-    left = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    return (
-        df.join(gone, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_hash")), "left")
-        .withColumn(text, left)
-        .where(F.col("_gone").isNull() | (F.btrim(F.col(text), F.lit(BLANK + "\n")) != ""))
-        .drop("_key", "_hash", "_gone")
+        .groupBy(F.col(key).alias(k), F.col("text_hash").alias(h))
+        .agg(F.collect_set("line_no").alias(gone))  # one document's own lines
     )
+    kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda _, n: ~F.array_contains(F.col(gone), n)), "\n")
+    joined = df.join(dropped, F.col(key).eqNullSafe(F.col(k)) & (F.xxhash64(text) == F.col(h)), "left")
+    cut = joined.withColumn(left, F.when(F.col(gone).isNull(), F.col(text)).otherwise(kept))
+    cut = cut.where(F.col(gone).isNull() | (F.btrim(F.col(left), F.lit(BLANK + "\n")) != ""))
+    return cut.select(*(F.col(left).alias(c) if c == text else F.col(c) for c in df.columns))
