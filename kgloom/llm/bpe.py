@@ -8,9 +8,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-#: Texts are handed to the tokenizer in runs of about so many characters.
+#: Texts are handed to the tokenizer, and batches handed back, in runs of about so many bytes.
 RUN_CHARS = 2_000_000
 
 
@@ -53,17 +54,9 @@ class Codec:
             held["codec", path] = cls(path)
         return held["codec", path]
 
-    def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
         """The ids of each text, in order; None is encoded as the empty text."""
-        run: list[str] = []
-        chars = 0
-        for x in texts:
-            run.append(x or "")
-            chars += len(run[-1])
-            if chars >= RUN_CHARS:
-                yield from (e.ids for e in self.tokenizer.encode_batch_fast(run, add_special_tokens=False))
-                run, chars = [], 0
-        yield from (e.ids for e in self.tokenizer.encode_batch_fast(run, add_special_tokens=False))
+        return [e.ids for e in self.tokenizer.encode_batch_fast([x or "" for x in texts], add_special_tokens=False)]
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of ids; characters that tokens split come together again as bytes."""
@@ -84,6 +77,26 @@ class Codec:
         return char_of[starts], char_of[ends - 1] + 1
 
 
+def _text_runs(batches, text: int | str) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Slices of the batches of about RUN_CHARS bytes of text, at least a row each, with their texts."""
+    for batch in batches:
+        column, start, chars = batch.column(text), 0, 0
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        for k, size in enumerate(sizes):
+            chars += size
+            if chars >= RUN_CHARS or k + 1 == len(sizes):
+                part = batch.slice(start, k + 1 - start)
+                yield part, part.column(text).to_pylist()
+                start, chars = k + 1, 0
+
+
+def _lists(found: list[list[int]]) -> pa.Array:
+    """Lists of ids as an Arrow column."""
+    ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+    flat = np.concatenate([np.asarray(x, np.int32) for x in found]) if found else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+
 def _replace(batch: pa.RecordBatch, added: dict[str, pa.Array]) -> pa.RecordBatch:
     keep = [k for k in range(batch.num_columns) if batch.schema.names[k] not in added]
     return pa.RecordBatch.from_arrays(
@@ -108,23 +121,43 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", offse
 
     def run(batches):
         codec = Codec.of(path)
-        for batch in batches:
-            texts = batch.column(batch.schema.names.index(text)).to_pylist()
-            found = list(codec.encode(texts))
-            added = {ids: pa.array(found, pa.list_(pa.int32()))}
+        for batch, texts in _text_runs(batches, text):
+            found = codec.encode(texts)
+            added = {ids: _lists(found)}
             if offsets:
                 spans = [codec.offsets(x or "", k) for x, k in zip(texts, found)]
                 for n, name in enumerate(names[1:]):
-                    added[name] = pa.array([s[n].astype(np.int32) for s in spans], pa.list_(pa.int32()))
+                    added[name] = _lists([s[n] for s in spans])
             yield _replace(batch, added)
 
     return df.mapInArrow(run, _schema(df, [T.StructField(n, longs) for n in names]))
 
 
+def encode_proven(df: DataFrame, path: str, text: str = "text", ids: str = "ids", proof: str = "round_trip") -> DataFrame:
+    """encode() with a column that says whether decode() of the ids gives the text's bytes again.
+
+    One pass, in which no more than a run of texts is decoded at a time. Nulls, empty and long texts,
+    repeated rows, empty tables and clashing names as in encode(); a null text is proven if its
+    list is empty.
+    """
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType(), False)), T.StructField(proof, T.BooleanType())]
+
+    def run(batches):
+        codec = Codec.of(path)
+        for batch, texts in _text_runs(batches, text):
+            found = codec.encode(texts)
+            same = [codec.decode(k) == (x or "").encode() for x, k in zip(texts, found)]
+            yield _replace(batch, {ids: _lists(found), proof: pa.array(same, pa.bool_())})
+
+    return df.mapInArrow(run, _schema(df, added))
+
+
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df with the bytes of its id lists, and {out}_text: them as text, with U+FFFD where they are not UTF-8.
 
-    Null lists give empty bytes; ids outside the vocabulary fail.
+    Null and empty lists give empty bytes; ids outside the vocabulary fail. Columns of df with the
+    added names are replaced; all others, rows and repeated rows stay. Lists of any length are
+    decoded whole. An empty table gives an empty table.
     """
     added = [T.StructField(out, T.BinaryType()), T.StructField(f"{out}_text", T.StringType())]
 
@@ -141,7 +174,9 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
 def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """encode() and decode() of each text in one pass, of which only counts and digests stay.
 
-    Returns key, n_tokens, ids_sha256 (of decimal ids joined by one space) and decoded_sha256.
+    Returns key, n_tokens, ids_sha256 (of decimal ids joined by one space) and decoded_sha256. A null
+    text counts as empty, a null key stays null, repeated rows stay; texts of any length are
+    encoded whole, other columns are ignored, an empty table gives no rows.
     """
     schema = T.StructType(
         [
@@ -157,9 +192,9 @@ def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
 
         codec = Codec.of(path)
         shown = [str(k) for k in range(len(codec.token_bytes))]
-        for batch in batches:
+        for batch, texts in _text_runs(batches, 1):
             n, a, b = [], [], []
-            for ids in codec.encode(batch.column(1).to_pylist()):
+            for ids in codec.encode(texts):
                 n.append(len(ids))
                 a.append(sha256(" ".join(map(shown.__getitem__, ids)).encode()).hexdigest())
                 b.append(sha256(codec.decode(ids)).hexdigest())
