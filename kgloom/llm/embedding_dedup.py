@@ -12,6 +12,8 @@ from .vectors import matrix, runs, usable
 
 #: Rows of a tile at most, about; and rows of a tile that are judged at once.
 TILE, STRIP = 1024, 256
+#: Possible pairs that are recomputed at once.
+PAIRS = 1 << 14
 THRESHOLD = 0.93
 LEVELS = 127
 
@@ -25,6 +27,8 @@ class Quantised:
     """
 
     def __init__(self, x: np.ndarray):
+        # a power of two a row, so that no square is too large or small, and no digit changes
+        x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
         norm = np.sqrt((x**2).sum(1, keepdims=True))
         unit = x / norm
         self.scale = np.abs(unit).max(1) / LEVELS
@@ -49,10 +53,11 @@ class Quantised:
         for at in range(0, len(self.x), STRIP):
             rows = slice(at, at + STRIP)
             maybe = self.possible(other, rows)
-            i, j = np.flatnonzero(maybe.any(1)), np.flatnonzero(maybe.any(0))
-            if len(i):
-                exact = self.x[rows][i] @ other.x[j].T / (self.norm[rows][i][:, None] * other.norm[j][None, :])
-                out[at + i[:, None], j[None, :]] = maybe[np.ix_(i, j)] & (exact >= THRESHOLD)
+            i, j = np.nonzero(maybe)
+            for k in range(0, len(i), PAIRS):
+                p, q = at + i[k : k + PAIRS], j[k : k + PAIRS]
+                exact = np.einsum("ij,ij->i", self.x[p], other.x[q]) / (self.norm[p] * other.norm[q])
+                out[p, q] = exact >= THRESHOLD
         return out
 
 
