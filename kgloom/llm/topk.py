@@ -81,10 +81,11 @@ def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (x @ q).astype(np.int64)
 
 
-def search(tree: BallTree, x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, kth: np.ndarray, k: int):
+def search(tree: BallTree, x: np.ndarray, ids: np.ndarray, rows_: np.ndarray, q: np.ndarray, own: np.ndarray, kth: np.ndarray, k: int):
     """Each query's k best rows of one shard that can be among its k best of all.
 
-    kth: for each query a score that k other rows reach already. Leaves are visited from the
+    rows_ and own number the rows and the queries' own rows. kth: for each query a score that k
+    other rows reach already. Leaves are visited from the
     highest bound on, until it is below the k-th score so far; equal scores may still win by id.
     """
     bound = tree.bounds(q)
@@ -97,7 +98,7 @@ def search(tree: BallTree, x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: n
             if not len(now):
                 break
             rows = np.concatenate([tree.order[slice(*tree.spans[tree.leaves[j]])] for j in now])
-            rows = rows[ids[rows] != own[n]]
+            rows = rows[rows_[rows] != own[n]]
             best, best_ids = np.r_[best, products(x[rows], q[n])], np.r_[best_ids, ids[rows]]
             keep = np.lexsort((best_ids, -best))[:k]
             best, best_ids = best[keep], best_ids[keep]
@@ -110,20 +111,20 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, scale: float = 256, key: s
     """(query_id, rank, vec_id, score): the k best rows for each row whose key is divisible by `every`.
 
     Components become floor(scale * x); the score is their integer inner product, ties go to the
-    smaller key, a query's own key is no candidate. Vectors that are null or hold null or
-    non-finite components, and rows with a null key, take no part; of rows with the same key the
-    least vector counts; shorter vectors end in zeros; scores beyond a long are clamped to it.
-    Queries with fewer candidates get all of them. An empty table gives no rows.
+    smaller key. A query's own row is no candidate, every other is, also one that repeats its key or
+    vector; each of the rows that repeat a query's key is a query of its own. Vectors that are null
+    or hold null or non-finite components, and rows with a null key, take no part; shorter vectors
+    end in zeros; scores beyond a long are clamped to it. Queries with fewer candidates get all of
+    them. Other columns are ignored. An empty table gives no rows.
 
     Rows are packed into shards and queries into blocks of fixed sizes; each block meets each
-    shard once, as the packed rows of an equi-join. A block first searches one shard; the k-th
-    score found there is shared with its searches of all other shards as their first bound.
+    shard once, as the packed rows of an equi-join. Shards are searched in waves, the first of one
+    shard a block, each later one of as many as all before; after each wave the current k-th score
+    of every query is shared with all searches of the next.
     """
     spark, scratch = df.sparkSession, Scratch(df.sparkSession, "topk")
     rows = scratch.save(
-        df.where(F.col(key).isNotNull() & usable(F.col(vector)))
-        .groupBy(F.col(key).cast("long").alias("id"))
-        .agg(F.min(vector).alias("v")),
+        df.where(F.col(key).isNotNull() & usable(F.col(vector))).select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("id"), F.col(vector).alias("v")),
         "vectors",
     )
     wanted = F.col("id") % every == 0
@@ -134,14 +135,14 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, scale: float = 256, key: s
         import pickle
 
         for run in runs(batches, 1):
-            x = padded(quantised(run.column(2), scale))
-            ids = run.column(1).to_numpy()
-            blob = pickle.dumps((ids, x, vars(BallTree(x))), protocol=5)
+            x = padded(quantised(run.column(3), scale))
+            row, ids = run.column(1).to_numpy(), run.column(2).to_numpy()
+            blob = pickle.dumps((row, ids, x, vars(BallTree(x))), protocol=5)
             yield pa.RecordBatch.from_arrays([pa.array([run.column(0)[0].as_py()], pa.int32()), pa.array([blob], pa.binary())], names=["part", "blob"])
 
     def packed(df: DataFrame, parts: int, name: str) -> DataFrame:
-        part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
-        dealt = df.select(part.alias("part"), "id", "v").repartition("part").sortWithinPartitions("part", "id")
+        part = F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")
+        dealt = df.select(part.alias("part"), "row", "id", "v").repartition("part").sortWithinPartitions("part", "row")
         return scratch.save(dealt.mapInArrow(pack, "part int, blob binary"), name)
 
     shard = packed(rows, shards, "shards").select(F.col("part").alias("shard"), F.col("blob").alias("rows"))
@@ -151,11 +152,11 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, scale: float = 256, key: s
         import pickle
 
         for batch in batches:
-            for k_block, k_shard, rows_, queries, kth in zip(*(batch.column(c) for c in range(5))):
-                ids, x, parts = pickle.loads(rows_.as_buffer())
+            for k_block, rows_, queries, kth in zip(*(batch.column(c) for c in range(4))):
+                row, ids, x, parts = pickle.loads(rows_.as_buffer())
                 tree = object.__new__(BallTree)
                 vars(tree).update(parts)
-                own, q, _ = pickle.loads(queries.as_buffer())
+                own, own_ids, q, _ = pickle.loads(queries.as_buffer())
                 width = max(x.shape[1], q.shape[1])
                 if x.shape[1] < width:
                     x = np.pad(x, ((0, 0), (0, width - x.shape[1])))
@@ -163,40 +164,33 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, scale: float = 256, key: s
                 q = np.pad(q, ((0, 0), (0, width - q.shape[1])))
                 known = dict(kth.as_py() or ())
                 first = np.array([known.get(int(i), -(1 << 63)) for i in own], np.int64)
-                out = [(int(i), v, s) for i, (s, v) in zip(own, search(tree, x, ids, q, own, first, k))]
-                sizes = [len(s) for _, _, s in out]
+                out = [(v, s) for s, v in search(tree, x, ids, row, q, own, first, k)]
+                sizes = [len(s) for _, s in out]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(sum(sizes), k_block.as_py(), np.int32)),
-                        pa.array(np.repeat([i for i, _, _ in out], sizes).astype(np.int64)),
-                        pa.array(np.concatenate([v for _, v, _ in out]) if out else [], pa.int64()),
-                        pa.array(np.concatenate([s for _, _, s in out]) if out else [], pa.int64()),
+                        pa.array(np.repeat(own, sizes).astype(np.int64)),
+                        pa.array(np.repeat(own_ids, sizes).astype(np.int64)),
+                        pa.array(np.concatenate([v for v, _ in out]) if out else [], pa.int64()),
+                        pa.array(np.concatenate([s for _, s in out]) if out else [], pa.int64()),
                     ],
-                    names=["block", "query_id", "vec_id", "score"],
+                    names=["block", "row", "query_id", "vec_id", "score"],
                 )
 
-    found = "block int, query_id long, vec_id long, score long"
-    none = F.lit(None).cast("map<bigint,bigint>")
-    start = block.withColumn("shard", F.col("block") % shards).join(shard, "shard")
-    seeds = scratch.save(start.select("block", "shard", "rows", "queries", none).mapInArrow(find, found), "seeds")
-    kth = (
-        seeds.groupBy("block", "query_id")
-        .agg(F.min("score").alias("kth"), F.count("*").alias("n"))
-        .where(F.col("n") >= k)
-        .groupBy("block")
-        .agg(F.map_from_entries(F.collect_list(F.struct("query_id", "kth"))).alias("kth"))  # one block's queries
-    )
-    pairs = (
-        block.join(kth, "block", "left")
-        .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-        .where(F.col("shard") != F.col("block") % shards)
-        .join(shard.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), ["block", "shard"])
-    )
-    rest = pairs.select("block", "shard", "rows", "queries", "kth").mapInArrow(find, found)
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        seeds.unionAll(rest)
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    found = "block int, row long, query_id long, vec_id long, score long"
+    order = W.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    best, start, width = None, 0, 1
+    while start < shards:
+        step = F.explode(F.sequence(F.lit(start), F.lit(min(start + width, shards) - 1)))
+        meet = block.withColumn("step", step).withColumn("shard", (F.col("block") + F.col("step")) % shards).join(shard, "shard")
+        if best is None:
+            meet = meet.withColumn("kth", F.lit(None).cast("map<bigint,bigint>"))
+        else:
+            kth = best.groupBy("block", "row").agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") >= k)
+            kth = kth.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("row", "kth"))).alias("kth"))  # one block's queries
+            meet = meet.join(kth, "block", "left")
+        got = meet.select("block", "rows", "queries", "kth").mapInArrow(find, found)
+        both = got if best is None else best.unionAll(got)
+        best = scratch.save(both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"), "best")
+        start, width = start + width, start + width
+    return best.withColumn("rank", F.row_number().over(order)).select("query_id", "rank", "vec_id", "score")
