@@ -135,11 +135,16 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
 
 
 def mix_rows(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """df with each row as often as the mix takes it; the row on the edge counts as whole from half on."""
+    """df with each row as often as the mix takes it; the row on the edge counts as whole from half on.
+
+    Nulls, long texts, ties and repeated rows as in mix(); rows without words are never taken more
+    often than their source is whole. All columns of df stay, whatever their names, and none is
+    added. An empty table gives an empty table. Beyond the plan, rows move only within cut buckets.
+    """
     scratch = Scratch(df.sparkSession, "mix")
-    sized = df.withColumn("_size", n_words(F.col(text)))
-    plan = scratch.save(plan_mix(sized, key, source, "_size", **how), "plan")
-    mixed = apply_mix(sized, plan, key, source, "_size", how.get("seed", 42))
+    sized = df.select(F.struct(*(F.col(c) for c in df.columns)).alias("row"), F.col(key).alias("_key"), F.col(source).alias("_of"), n_words(F.col(text)).alias("_size"))
+    plan = scratch.save(plan_mix(sized, "_key", "_of", "_size", **how), "plan")
+    mixed = apply_mix(sized, plan, "_key", "_of", "_size", how.get("seed", 42))
     more = (F.col("extra") > 0) & (F.col("extra") * 2 >= F.col("_size"))
     times = F.array_repeat(F.lit(1), (F.col("whole") + more.cast("long")).cast("int"))
-    return mixed.withColumn("_copy", F.explode(times)).select(df.columns)
+    return mixed.select("row", F.explode(times).alias("_copy")).select("row.*")

@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .names import free
 from .scratch import Scratch
 
 STATS = (
@@ -214,7 +215,12 @@ def score_quality(
 
 
 def drop_rejected(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """df without the rows that score_quality() rejects. Equal keys with equal texts share a fate."""
+    """df without the rows that score_quality() rejects. Equal keys with equal texts share a fate.
+
+    Null keys, null, empty and long texts, ties and missing labels as in score_quality(); all columns
+    stay, whatever their names; an empty table stays empty.
+    """
+    k, h = free(df, "key", "hash")
     bad = score_quality(df, labels, key, text, label).where("predicted = 0")
-    bad = bad.select(F.col(key).alias("_key"), F.col("text_hash").alias("_hash")).distinct()
-    return df.join(bad, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_hash")), "left_anti")
+    bad = bad.select(F.col(key).alias(k), F.col("text_hash").alias(h)).distinct()
+    return df.join(bad, F.col(key).eqNullSafe(F.col(k)) & (F.xxhash64(text) == F.col(h)), "left_anti")

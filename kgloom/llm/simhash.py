@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .components import connected_components
+from .names import free
 from .scratch import Scratch
 
 BITS, DISTANCE = 64, 4
@@ -206,8 +207,11 @@ def simhash_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
     """df with the row that names each of the groups of simhash_groups() alone.
 
-    Rows that repeat that row's key and text are the same document and stay with it.
+    Rows that repeat that row's key and text are the same document and stay with it. A row with a
+    null key stays only if all of its group have none. Null and empty texts are one group, long
+    texts are read whole, all columns stay, whatever their names; an empty table stays empty.
     """
+    k, h = free(df, "key", "hash")
     stay = simhash_groups(df, key, text, words).where(F.col(key).eqNullSafe(F.col("component_id")))
-    stay = stay.select(F.col(key).alias("_key"), F.col("text_hash").alias("_hash")).distinct()
-    return df.join(stay, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_hash")), "left_semi")
+    stay = stay.select(F.col(key).alias(k), F.col("text_hash").alias(h)).distinct()
+    return df.join(stay, F.col(key).eqNullSafe(F.col(k)) & (F.xxhash64(text) == F.col(h)), "left_semi")
