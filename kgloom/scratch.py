@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a local one only where that is unset (tests)."""
+    """The folder that spark.checkpoint.dir names; where that is unset, a local one on a local master (tests).
+
+    On a cluster no folder of one machine will do, so an unset folder is an error there.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.gettempdir()}/kgloom-scratch"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
