@@ -55,16 +55,10 @@ def popularity_mrr(spark, sf_dir):
     """
 )
 def filtered_rank_mrr(spark, sf_dir):
-    """Candidates without all known items; each held item is ranked among the rest by counting."""
+    """Each held item is ranked among all items that its query does not know otherwise."""
     count, train, held = _pairs(spark, sf_dir)
     items = count.groupBy("item").agg(F.count("*").alias("freq"))
-    queries = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("q"))
-    score = F.col("freq") * 1000 + (F.col("q") * 31 + F.col("item") * 17) % 997
-    scores = queries.join(items).select("q", "item", score.cast("double").alias("score"))  # scoring is all-pairs
-    known = train.unionAll(held)
-    own = held.join(scores, ["q", "item"]).select("q", "item", F.col("score").alias("own"))
-    rest = scores.join(known, ["q", "item"], "left_anti").select("q", "score")
-    ranks = own.join(rest, "q", "left").groupBy("q", "item").agg((1 + F.count_if(F.col("score") > F.col("own"))).alias("rank"))
+    ranks = rk.tiered_ranks(items, held, train.unionAll(held), "q", "item", "freq", lambda q, i: (q * 31 + i * 17) % 997)
     out = rk.rank_metrics(ranks, ["q"])
     return out.select("q", "n", F.round("mrr", 6).alias("mrr"), F.round("hits_50", 6).alias("hits_50"))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from .ranges import places, ranged, running
+
 
 def roc_auc(df: DataFrame, by: list[str], score: str = "score", label: str = "label") -> DataFrame:
     """(by, auc): area under the ROC curve by average ranks; groups of one class are left out.
@@ -12,8 +14,8 @@ def roc_auc(df: DataFrame, by: list[str], score: str = "score", label: str = "la
     """
     pos = F.col(label).cast("long")
     values = df.groupBy(*by, score).agg(F.sum(pos).alias("p"), F.sum(1 - pos).alias("q"))
-    below = F.coalesce(F.sum("q").over(W.partitionBy(*by).orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    won = values.withColumn("won", F.col("p") * (below + F.col("q") / 2))
+    below = running(ranged(values, by, [score]), by, [score], F.sum, {"below": "q"}, inclusive=False)
+    won = below.withColumn("won", F.col("p") * (F.coalesce("below", F.lit(0)) + F.col("q") / 2))
     out = won.groupBy(*by).agg(F.sum("won").alias("w"), F.sum("p").alias("np"), F.sum("q").alias("nq"))
     return out.where("np > 0 and nq > 0").select(*by, (F.col("w") / (F.col("np") * F.col("nq"))).alias("auc"))
 
@@ -52,9 +54,8 @@ def pr_auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFra
     """(ap, best_f1): average precision and the best F1 over all distinct thresholds."""
     pos = F.col(label).cast("long")
     values = df.groupBy(score).agg(F.sum(pos).alias("p"), F.count("*").alias("n"))
-    down = W.orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    total = F.sum("p").over(W.partitionBy())
-    c = values.select("p", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("seen"), total.alias("total"))
+    total = values.agg(F.sum("p").alias("total"))  # one row
+    c = running(ranged(values, [], [F.desc(score)]), [], [F.desc(score)], F.sum, {"tp": "p", "seen": "n"}).crossJoin(F.broadcast(total))
     precision, recall = F.col("tp") / F.col("seen"), F.col("tp") / F.col("total")
     f1 = F.when(F.col("tp") > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
     return c.agg(F.sum(precision * F.col("p") / F.col("total")).alias("ap"), F.max(f1).alias("best_f1"))
@@ -93,8 +94,8 @@ def multilabel_f1(df: DataFrame, label: str, truth: str, guess: str) -> DataFram
 
 def rank_correlation(df: DataFrame, a: str, b: str, tie: str) -> DataFrame:
     """(rho): 1 - 6 sum d^2 / (n (n^2 - 1)) of ordinal ranks; 0 below two rows."""
-    place = lambda c: F.row_number().over(W.orderBy(c, tie))
-    d = df.select(((place(a) - place(b)) ** 2).alias("d2"))
+    placed = places(places(df.select(a, b, tie), [], [a, tie], "_a"), [], [b, tie], "_b")
+    d = placed.select(((F.col("_a") - F.col("_b")) ** 2).alias("d2"))
     n = F.count("*").cast("double")
     return d.agg(F.when(n >= 2, 1 - 6 * F.sum("d2") / (n * (n * n - 1))).otherwise(0.0).alias("rho"))
 
@@ -109,21 +110,35 @@ def hierarchical_consistency(df: DataFrame, key: str, level: str, correct: str)
 # statistics
 
 
+def _by_value(df: DataFrame, by: list[str], p: str) -> DataFrame:
+    """The distinct p-values of each `by`, in ranges, with `_n` equal ones, `_upto` and all `_all` of them."""
+    values = df.groupBy(*by, p).agg(F.count("*").alias("_n"))
+    total = values.groupBy(*by).agg(F.sum("_n").alias("_all"))
+    summed = running(ranged(values, by, [p]), by, [p], F.sum, {"_upto": "_n"})
+    return summed.join(total, by) if by else summed.crossJoin(F.broadcast(total))  # one row
+
+
+def _adjusted(df: DataFrame, values: DataFrame, by: list[str], p: str, name: str) -> DataFrame:
+    own = values.select(*by, p, F.least(F.col(name), F.lit(1.0)).alias(name))
+    return df.join(own, [*by, p], "left")
+
+
 def holm(df: DataFrame, by: list[str], p: str, tie: str) -> DataFrame:
-    """df with `holm`: p-values adjusted by Holm's step-down rule (Q2)."""
-    order = W.partitionBy(*by).orderBy(p, tie)
-    left = F.count("*").over(W.partitionBy(*by)) - F.row_number().over(order) + 1
-    stepped = df.withColumn("_s", F.col(p) * left)
-    high = F.max("_s").over(order.rowsBetween(W.unboundedPreceding, 0))
-    return stepped.withColumn("holm", F.least(high, F.lit(1.0))).drop("_s")
+    """df with `holm`: p-values adjusted by Holm's step-down rule (Q2).
+
+    Equal p-values have the first one's result whatever their order, so only distinct ones are
+    ordered; a null p-value gets null.
+    """
+    values = _by_value(df.where(F.col(p).isNotNull()), by, p)
+    stepped = values.withColumn("_s", F.col(p) * (F.col("_all") - F.col("_upto") + F.col("_n")))
+    return _adjusted(df, running(stepped, by, [p], F.max, {"holm": "_s"}), by, p, "holm")
 
 
 def benjamini_hochberg(df: DataFrame, by: list[str], p: str, tie: str) -> DataFrame:
-    """df with `bh`: p-values adjusted for the false discovery rate (Q5)."""
-    order = W.partitionBy(*by).orderBy(p, tie)
-    stepped = df.withColumn("_s", F.col(p) * F.count("*").over(W.partitionBy(*by)) / F.row_number().over(order))
-    low = F.min("_s").over(order.rowsBetween(0, W.unboundedFollowing))
-    return stepped.withColumn("bh", F.least(low, F.lit(1.0))).drop("_s")
+    """df with `bh`: p-values adjusted for the false discovery rate (Q5); equal ones as in holm()."""
+    values = _by_value(df.where(F.col(p).isNotNull()), by, p)
+    stepped = values.withColumn("_s", F.col(p) * F.col("_all") / F.col("_upto"))
+    return _adjusted(df, running(stepped, by, [p], F.min, {"bh": "_s"}, reverse=True), by, p, "bh")
 
 
 def cohens_d(df: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
@@ -177,8 +192,8 @@ def signed_rank(df: DataFrame, a: str, b: str) -> DataFrame:
     """(n, w, z): Wilcoxon's signed ranks of pairs that differ, average ranks for ties, with the normal score (Q1)."""
     d = df.select((F.col(a) - F.col(b)).alias("d")).where("d <> 0")
     values = d.groupBy(F.abs("d").alias("m")).agg(F.count("*").alias("c"), F.count_if(F.col("d") > 0).alias("up"))
-    before = F.coalesce(F.sum("c").over(W.orderBy("m").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = values.withColumn("r", before + (F.col("c") + 1) / 2)
+    before = running(ranged(values, [], ["m"]), [], ["m"], F.sum, {"before": "c"}, inclusive=False)
+    ranked = before.withColumn("r", F.coalesce("before", F.lit(0)) + (F.col("c") + 1) / 2)
     out = ranked.agg(F.sum("c").alias("n"), F.coalesce(F.sum(F.col("r") * F.col("up")), F.lit(0.0)).alias("w"), F.sum(F.col("c") ** 3 - F.col("c")).alias("ties"))
     n = F.col("n").cast("double")
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
@@ -190,9 +205,9 @@ def delong(df: DataFrame, a: str, b: str, label: str, key: str) -> DataFrame:
 
     def placed(score):
         values = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("q"))
-        up = W.orderBy("s").rowsBetween(W.unboundedPreceding, -1)
-        under = lambda c: F.coalesce(F.sum(c).over(up), F.lit(0)) + F.col(c) / 2
-        t = values.select("s", under("p").alias("lp"), under("q").alias("lq"))
+        summed = running(ranged(values, [], ["s"]), [], ["s"], F.sum, {"pb": "p", "qb": "q"}, inclusive=False)
+        under = lambda c: F.coalesce(f"{c}b", F.lit(0)) + F.col(c) / 2
+        t = summed.select("s", under("p").alias("lp"), under("q").alias("lq"))
         total = F.sum(F.col(label).cast("long")), F.sum(1 - F.col(label).cast("long"))
         m, n = df.agg(*total).first()
         v = F.when(F.col(label) == 1, F.col("lq") / n).otherwise(1 - F.col("lp") / m)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .ranges import places, ranged, running
+
 CUTOFFS = (1, 3, 5, 10, 50)
 
 
@@ -35,6 +37,29 @@ def filtered(scores: DataFrame, known: DataFrame, targets: DataFrame, by: list[s
     return scores.join(others, [*by, item], "left_anti")
 
 
+def tiered_ranks(items: DataFrame, targets: DataFrame, known: DataFrame, query: str, item: str, tier: str, minor) -> DataFrame:
+    """(query, item, rank) of targets among all items(item, tier) but the query's known ones.
+
+    For scores of two parts: a tier that all queries share and minor(query, item), a column that
+    only orders items within a tier. Items of higher tiers are counted once for all queries and the
+    query's known ones there taken off; only items of the target's own tier are scored. So no
+    query meets all items. A target counts against itself in no case, known(query, item) may hold it.
+    """
+    sizes = items.groupBy(tier).agg(F.count("*").alias("_n"))
+    above = running(ranged(sizes, [], [F.desc(tier)]), [], [F.desc(tier)], F.sum, {"_above": "_n"}, inclusive=False)
+    own = targets.select(query, item).distinct().join(items, item).join(above.select(tier, F.coalesce("_above", F.lit(0)).alias("_above")), tier)
+    own = own.withColumn("_own", minor(F.col(query), F.col(item)))
+    seen = known.select(query, item).distinct().join(items, item).select(query, tier, minor(F.col(query), F.col(item)).alias("_own"), F.lit(1).alias("_n"))
+    values = seen.unionAll(own.select(query, tier, "_own", F.lit(0))).groupBy(query, tier, "_own").agg(F.sum("_n").alias("_n"))
+    order = [F.desc(tier), F.desc("_own")]
+    better = running(ranged(values, [query], order), [query], order, F.sum, {"_off": "_n"}, inclusive=False)
+    off = own.join(better.select(query, tier, "_own", F.coalesce("_off", F.lit(0)).alias("_off")), [query, tier, "_own"])
+    peers = items.select(F.col(item).alias("_peer"), tier)
+    same = own.join(peers, tier).where(minor(F.col(query), F.col("_peer")) > F.col("_own")).groupBy(query, item).agg(F.count("*").alias("_same"))
+    found = off.join(same, [query, item], "left")
+    return found.select(query, item, (1 + F.col("_above") + F.coalesce("_same", F.lit(0)) - F.col("_off")).alias("rank"))
+
+
 def rank_metrics(ranks: DataFrame, by: list[str] | None = None, n_items: int | None = None, cutoffs=CUTOFFS) -> DataFrame:
     """mrr, mr, hits@k, and amr where n_items is given, over ranks(rank) (M1-M5)."""
     r = F.col("rank")
@@ -59,13 +84,11 @@ def popularity(train: DataFrame, item: str = "item") -> DataFrame:
     freq = train.groupBy(item).agg(F.count("*").alias("freq"))
     log = F.log1p("freq")
     stats = freq.agg(F.avg(log).alias("_m"), F.stddev_samp(log).alias("_s"))  # one row
-    order = W.orderBy(F.desc("freq"))
-    return freq.crossJoin(F.broadcast(stats)).select(
-        item,
-        "freq",
-        F.rank().over(order).alias("rank"),
-        F.row_number().over(W.orderBy(F.desc("freq"), item)).alias("position"),
-        ((log - F.col("_m")) / F.col("_s")).alias("zscore"),
+    order = [F.desc("freq"), item]
+    placed = places(freq, [], order, "position")
+    first = placed.groupBy("freq").agg(F.min("position").alias("rank"))  # equal counts share the first one's place
+    return placed.join(first, "freq").crossJoin(F.broadcast(stats)).select(
+        item, "freq", "rank", "position", ((log - F.col("_m")) / F.col("_s")).alias("zscore")
     )
 
 
@@ -158,3 +181,69 @@ def search_alpha(scores: DataFrame, targets: DataFrame, by: list[str], a: str, b
     mrr = ranks.groupBy("alpha").agg(F.avg(1 / F.col("rank")).alias("mrr"))
     order = W.orderBy(F.desc("mrr"), "alpha")  # one row for each alpha
     return mrr.withColumn("best", F.row_number().over(order) == 1)
+
+
+def class_candidates(queries: DataFrame, items: DataFrame, query_class: DataFrame) -> DataFrame:
+    """(query, item): the items of each query's class; a query of unknown class may have any item with a class.
+
+    items(item, class), query_class(query, class).
+    """
+    of = queries.select("query").distinct().join(query_class, "query", "left")
+    labelled = items.where(F.col("class").isNotNull()).select("item", "class")
+    known = of.where(F.col("class").isNotNull()).join(labelled, "class").select("query", "item")
+    return known.unionAll(of.where(F.col("class").isNull()).select("query").join(labelled.select("item").distinct()))
+
+
+def link_ranks(triples: DataFrame, pool: DataFrame, known: DataFrame, score) -> DataFrame:
+    """(direction, relation, anchor, item, rank): filtered ranks of both ends of triples(h, r, t).
+
+    Each triple asks for its tail and for its head among pool(relation, direction, item), the items
+    allowed there, without the anchor's other items in known(h, r, t); the target is always one.
+    score(relation, head, tail) is a column. Candidates are scored and counted in one pass, so no list
+    is sorted or kept; the pool is what a relation's type allows.
+    """
+    asked = two_way_queries(triples).distinct()
+    seen = two_way_queries(known).distinct().select("direction", "relation", "anchor", F.col("item").alias("other"))
+    of = lambda item: F.when(F.col("direction") == "tail", score(F.col("relation"), F.col("anchor"), item)).otherwise(score(F.col("relation"), item, F.col("anchor")))
+    own = asked.withColumn("own", of(F.col("item")))
+    keys = ["direction", "relation", "anchor", "item"]
+    met = own.join(pool.select("relation", "direction", F.col("item").alias("other")), ["relation", "direction"])
+    higher = met.groupBy(*keys).agg(F.count_if((F.col("other") != F.col("item")) & (of(F.col("other")) > F.col("own"))).alias("_higher"))
+    inside = pool.select("relation", "direction", F.col("item").alias("other"))
+    off = own.join(seen, ["direction", "relation", "anchor"]).join(inside, ["relation", "direction", "other"], "left_semi")
+    off = off.groupBy(*keys).agg(F.count_if((F.col("other") != F.col("item")) & (of(F.col("other")) > F.col("own"))).alias("_off"))
+    out = asked.join(higher, keys, "left").join(off, keys, "left")
+    return out.select(*keys, (1 + F.coalesce("_higher", F.lit(0)) - F.coalesce("_off", F.lit(0))).alias("rank"))
+
+
+def link_metrics(ranks: DataFrame, per_relation: bool = False, cutoffs=CUTOFFS) -> DataFrame:
+    """Metrics of link_ranks(), both directions pooled, for all or for each relation with head and tail MRR."""
+    if not per_relation:
+        return rank_metrics(ranks, None, None, cutoffs)
+    one = lambda d: F.avg(F.when(F.col("direction") == d, 1 / F.col("rank"))).alias(f"{d}_mrr")
+    return rank_metrics(ranks, ["relation"], None, cutoffs).join(ranks.groupBy("relation").agg(one("head"), one("tail")), "relation")
+
+
+def cluster_ranks(scores: DataFrame, targets: DataFrame, clusters: DataFrame, by: list[str]) -> DataFrame:
+    """(by, item, rank): each target's rank among the items of its own cluster."""
+    placed = scores.join(clusters, "item")
+    return target_ranks(placed, targets.join(clusters, "item"), [*by, "cluster"]).drop("cluster")
+
+
+def novel_hits(scores: DataFrame, held: DataFrame, by: list[str], k: int) -> DataFrame:
+    """(hits): share of the queries with a novel item in held(by, item, novel) that have one among their k best."""
+    novel = held.where("novel").select(*by, "item").distinct()
+    found = top(scores, by, k).join(novel, [*by, "item"], "left_semi").select(by).distinct().withColumn("_hit", F.lit(1))
+    return novel.select(by).distinct().join(found, by, "left").agg(F.coalesce(F.avg(F.coalesce("_hit", F.lit(0))), F.lit(0.0)).alias("hits"))
+
+
+def alignment(queries: DataFrame, partners: DataFrame, score) -> DataFrame:
+    """(mrr, n): rank of each query's own partner among all partners by score(x, y).
+
+    queries(id, x), partners(id, y). Every query meets every partner, as the measure asks.
+    """
+    own = queries.join(partners, "id").select("id", "x", score(F.col("x"), F.col("y")).alias("_own"))
+    met = own.join(partners.select(F.col("id").alias("_other"), "y")).where("id <> _other")
+    higher = met.groupBy("id").agg(F.count_if(score(F.col("x"), F.col("y")) > F.col("_own")).alias("_h"))
+    ranks = own.select("id").join(higher, "id", "left").select((1 + F.coalesce("_h", F.lit(0))).alias("rank"))
+    return ranks.agg(F.avg(1 / F.col("rank")).alias("mrr"), F.count("*").alias("n"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .ranges import places
+
 
 def seeded(*columns: str, seed: int = 42) -> Column:
     """A reproducible order by md5 of the seed and the given columns."""
@@ -18,17 +20,17 @@ def link_split(edges: DataFrame, keys: list[str], by: list[str], val: float = 0.
     """
     if not 0 < val + test < 1:
         raise ValueError("val + test must be between 0 and 1")
-    w = W.partitionBy(*by)
-    n = F.count("*").over(w)
-    place = F.row_number().over(w.orderBy(seeded(*keys) if order is None else order, *keys))
+    placed = places(edges.withColumn("_o", seeded(*keys) if order is None else order), by, ["_o", *keys], "_p")
+    sizes = edges.groupBy(*by).agg(F.count("*").alias("_n"))
+    n = F.col("_n")
 
     def size(ratio):
         k = F.floor(n * F.lit(ratio))
         return F.when(n < 3, 0).otherwise(F.least(F.greatest(k, F.lit(1)), F.floor(n / 3))) if stratified else k
 
-    placed = edges.withColumns({"_p": place, "_t": size(test), "_v": size(val)})
+    placed = placed.join(sizes, by).withColumns({"_t": size(test), "_v": size(val)})
     part = F.when(F.col("_p") <= F.col("_t"), "test").when(F.col("_p") <= F.col("_t") + F.col("_v"), "val").otherwise("train")
-    return placed.withColumn("split", part).drop("_p", "_t", "_v")
+    return placed.withColumn("split", part).drop("_p", "_t", "_v", "_n", "_o")
 
 
 def leaks(train: DataFrame, held: DataFrame, inverse: DataFrame) -> DataFrame:
@@ -112,8 +114,8 @@ def group_split(df: DataFrame, group: str) -> DataFrame:
 
 def folds(df: DataFrame, k: int, key: str, by: list[str] | None = None) -> DataFrame:
     """df with `fold` from 0 to k - 1, dealt in turn within each class."""
-    w = W.partitionBy(*(by or [F.lit(0)])).orderBy(seeded(key), key)
-    return df.withColumn("fold", (F.row_number().over(w) - 1) % k)
+    placed = places(df.withColumn("_o", seeded(key)), by or [], ["_o", key], "_p")
+    return placed.withColumn("fold", ((F.col("_p") - 1) % k).cast("int")).drop("_p", "_o")
 
 
 def novel(held: DataFrame, train: DataFrame, target: str) -> DataFrame:
