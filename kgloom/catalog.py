@@ -555,4 +555,4 @@ def additive_scores(spark, sf_dir):
     return ag.additive_scores(x, i).withColumn("score", F.round("score", 6))
 
 
-from . import catalog_rank  # noqa: E402, F401  registers the rest
+from . import catalog_more, catalog_rank  # noqa: E402, F401  registers the rest
