@@ -19,9 +19,9 @@ KEEP = 3
 SIMILARITY = 0.8
 #: Before the exact comparison, up to SAMPLE of a line's shingles, those of the least hashes, are
 #: compared. A pair goes on unless its similarity there is over SPREAD standard deviations below SIMILARITY.
-SAMPLE, SPREAD = 256, 3.5
+SAMPLE, SPREAD = 384, 3.0
 #: Lines of a band that are still to be compared meet in pairs of blocks of about so many.
-BLOCK = 16
+BLOCK = 64
 #: The set of candidate lines that goes to every task has up to 2**SKETCH_BITS bits (2 MB), about
 #: SPARE for each candidate; if there are more candidates, all lines are exchanged instead.
 SKETCH_BITS, SPARE = 24, 8
@@ -37,14 +37,10 @@ def _window(u: Column, at: Column) -> Column:
 
 
 def _all_shingles(line: Column) -> Column:
+    """The shingles of a line, repeats included, by 64-bit hash."""
     return F.transform(F.array(F.encode(line, "UTF-32")), lambda u: F.transform(_starts(u), lambda at: _window(u, at)))[0]
 
 
-def shingle_hashes(line: Column) -> Column:
-    """The distinct shingles of a line, by 64-bit hash."""
-    return F.array_distinct(_all_shingles(line))
-
-
 def minima(lines: DataFrame) -> DataFrame:
     """(h, m0, m1, ...) of each distinct line of lines(h, line): the least shingle hash of each bin, or null.
 
@@ -73,16 +69,16 @@ def bands(signatures: DataFrame) -> DataFrame:
 
 
 def with_sample(texts: DataFrame) -> DataFrame:
-    """texts(h, line) with sample: its shingles, in 32 bits of their hashes, up to cut.
+    """texts(h, line) with sample: n, how many shingles it has, and those up to cut, in 32 bits of their hashes.
 
     cut halves the range of hashes until a line has SAMPLE shingles there at most, about.
     """
-    u = texts.select("h", "line", F.encode("line", "UTF-32").alias("u")).select("h", "line", "u", _starts(F.col("u")).alias("starts"))
-    halvings = F.greatest(F.lit(0), F.ceil(F.log2(F.size("starts") / F.lit(SAMPLE))))
-    u = u.select("h", "line", "u", "starts", (F.pow(F.lit(2.0), 32 - halvings) - 2.0**31 - 1).cast("int").alias("cut"))
-    short = F.transform(F.array("u"), lambda u: F.transform("starts", lambda at: F.shiftright(_window(u, at), 32).cast("int")))[0]
-    u = u.select("h", "line", "cut", short.alias("short"))
-    return u.select("h", "line", F.struct("cut", F.array_distinct(F.filter("short", lambda x: x <= F.col("cut"))).alias("own")).alias("sample"))
+    u = texts.select("h", "line", _all_shingles(F.col("line")).alias("all"))
+    halvings = F.greatest(F.lit(0), F.ceil(F.log2(F.size("all") / F.lit(SAMPLE))))
+    cut = (F.pow(F.lit(2.0), 32 - halvings) - 2.0**31 - 1).cast("int")
+    u = u.select("h", "line", "all", cut.alias("cut"), F.size(F.array_distinct("all")).alias("n"))
+    u = u.select("h", "line", "n", "cut", F.transform("all", lambda x: F.shiftright(x, 32).cast("int")).alias("short"))
+    return u.select("h", "line", F.struct("n", "cut", F.array_distinct(F.filter("short", lambda x: x <= F.col("cut"))).alias("own")).alias("sample"))
 
 
 def _likely(p: Column, q: Column) -> Column:
@@ -97,7 +93,8 @@ def _likely(p: Column, q: Column) -> Column:
 
     same = F.array(F.struct(up_to(p, q["cut"]).alias("a"), up_to(q, p["cut"]).alias("b")))
     counts = F.transform(same, lambda t: F.struct((F.size(t["a"]) + F.size(t["b"])).alias("size"), F.size(F.array_intersect(t["a"], t["b"])).alias("shared")))
-    return F.exists(counts, fit)
+    near_sizes = F.least(p["n"], q["n"]) >= SIMILARITY * F.greatest(p["n"], q["n"])
+    return F.when(near_sizes, F.exists(counts, fit)).otherwise(False)
 
 
 def split_lines(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -109,13 +106,6 @@ def split_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def _similar(a: Column, b: Column) -> Column:
-    """Exact Jaccard similarity of two shingle sets is SIMILARITY at least; sets of sizes far apart are not compared."""
-    shared = F.size(F.array_intersect(a, b))
-    fit = F.least(F.size(a), F.size(b)) >= SIMILARITY * F.greatest(F.size(a), F.size(b))
-    return F.when(fit, shared >= SIMILARITY * (F.size(a) + F.size(b) - shared)).otherwise(False)
-
-
 def _shared_bands(lines: DataFrame) -> DataFrame:
     """(h, b, lo, hi, n): lines that share a band with others, the band's lowest and highest line, and size."""
     banded = bands(minima(lines)).repartition("b")
@@ -137,7 +127,7 @@ def _seen(lines: DataFrame, shared: DataFrame) -> DataFrame:
 
 
 def _similar_pairs(pairs: DataFrame, texts: DataFrame, sample: bool = True) -> DataFrame:
-    """The pairs(a, b, ...) of lines that are similar, by a sample first, if wanted, and by all shingles."""
+    """The pairs(a, b, ...) of lines whose exact Jaccard similarity is SIMILARITY at least; by a sample first, if wanted."""
 
     def both(of: DataFrame, what: str) -> DataFrame:
         one, two = texts.select(F.col("h").alias("a"), F.col(what).alias("_p")), texts.select(F.col("h").alias("b"), F.col(what).alias("_q"))
@@ -145,8 +135,11 @@ def _similar_pairs(pairs: DataFrame, texts: DataFrame, sample: bool = True) -> D
 
     if sample:
         pairs = both(pairs, "sample").where(_likely(F.col("_p"), F.col("_q"))).select(pairs.columns)
-    sets = both(pairs, "line").select(*pairs.columns, shingle_hashes(F.col("_p")).alias("_s"), shingle_hashes(F.col("_q")).alias("_t"))
-    return sets.select(*pairs.columns, _similar(F.col("_s"), F.col("_t")).alias("_similar")).where("_similar").select(pairs.columns)
+    texts = texts.select("h", F.struct("line", "sample.n").alias("own"))
+    shared = F.size(F.array_intersect(_all_shingles(F.col("_p.line")), _all_shingles(F.col("_q.line"))))
+    met = both(pairs, "own").select(*pairs.columns, (F.col("_p.n") + F.col("_q.n")).alias("_n"), shared.alias("_shared"))
+    similar = met.select(*pairs.columns, (F.col("_shared") >= SIMILARITY * (F.col("_n") - F.col("_shared"))).alias("_similar"))
+    return similar.where("_similar").select(pairs.columns)
 
 
 def _open_members(shared: DataFrame, of: DataFrame) -> DataFrame:
@@ -165,30 +158,47 @@ def _merged(of: DataFrame, members: DataFrame, more: DataFrame, scratch: Scratch
     return scratch.save(lines.join(joined, "c", "left").select("h", F.coalesce("top", "c").alias("component")), "components")
 
 
-def _block_links(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): components to join, by exact similarity among the lines members(b, h, c, rest) of each band.
+def _blocks(members: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(b, rest, kind, k, x): the lines members(b, h, c, rest) of each band in blocks x of about BLOCK.
 
-    A band's lines are dealt into blocks, those of its lowest line's component last, which do not
-    meet each other. Every other two blocks of a band are one row, within which lines are compared:
-    rows grow with the number of blocks, not of pairs, and only likely pairs leave a row. Lines of
-    one component are not compared, nor is a pair in other bands than the lowest that it shares:
-    there it is compared as well.
+    kind is a lower band that all of a block's lines share, or b itself where there is none or too
+    few lines share it: lines of one kind below b meet there and need not meet here.
     """
     own = members.groupBy("h").agg(F.array_sort(F.collect_list("b")).alias("bands"))  # as many as a line has bands
-    blocks_of = lambda rows: F.ceil(F.count_if(rows) / BLOCK).cast("int")
-    sizes = members.groupBy("b").agg(blocks_of(F.col("rest")).alias("first"), blocks_of(~F.col("rest")).alias("then"))
-    at = F.when(F.col("rest"), F.pmod(F.xxhash64("h", F.lit(1)), "first")).otherwise(F.col("first") + F.pmod(F.xxhash64("h", F.lit(1)), "then"))
-    dealt = members.join(sizes, "b").withColumn("block", at.cast("int")).join(own, "h").join(texts.select("h", "sample"), "h")
-    blocks = dealt.groupBy("b", "first", "then", "block").agg(F.collect_list(F.struct("h", "c", "bands", "sample")).alias("x"))  # about BLOCK lines
-    left = blocks.where("block < first").withColumn("other", F.explode(F.sequence(F.col("block"), F.col("first") + F.col("then") - 1)))
-    both = left.select("b", "other", "x").join(blocks.select("b", F.col("block").alias("other"), F.col("x").alias("y")), ["b", "other"])
-
-    def wanted(p, q):
+    dealt = members.join(own, "h").withColumn("low", F.get("bands", F.lit(0)))
+    counts = dealt.groupBy("b", "rest", "low").agg(F.count("*").alias("n"))
+    kind = F.when((F.col("low") < F.col("b")) & (F.col("n") >= BLOCK), F.col("low")).otherwise(F.col("b"))
+    kinds = counts.withColumn("kind", kind)
+    sizes = kinds.groupBy("b", "rest", "kind").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("nb"))
+    dealt = dealt.join(kinds.drop("n").join(sizes, ["b", "rest", "kind"]), ["b", "rest", "low"])
+    dealt = dealt.withColumn("k", F.pmod(F.xxhash64("h", F.lit(1)), "nb").cast("int")).join(texts.select("h", "sample"), "h")
+    blocks = dealt.groupBy("b", "rest", "kind", "k").agg(F.collect_list(F.struct("h", "c", "bands", "sample")).alias("x"))  # about BLOCK lines
+    return scratch.save(blocks, "blocks")
+
+
+def _block_links(members: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): components to join, by exact similarity among the lines members(b, h, c, rest) of each band.
+
+    Two blocks of a band are one row, within which lines are compared: rows grow with the number of
+    blocks, not of pairs, and only likely pairs leave a row. Blocks of the component of a band's
+    lowest line do not meet each other, nor do blocks of one kind below the band. Lines of one
+    component are not compared, nor is a pair in other bands than the lowest that it shares: there
+    it is compared as well.
+    """
+    blocks = _blocks(members, texts, scratch)
+    at = ["rest", "kind", "k"]
+    one = blocks.select("b", F.struct(*at).alias("p"))
+    pairs = one.join(one.withColumnRenamed("p", "q"), "b").where("p <= q and (p.rest or q.rest) and (p.kind <> q.kind or p.kind = b)")
+    both = pairs.join(blocks.select("b", F.struct(*at).alias("p"), "x"), ["b", "p"]).join(blocks.select("b", F.struct(*at).alias("q"), F.col("x").alias("y")), ["b", "q"])
+
+    def near(p, q):
+        other = (p["c"] < q["c"]) | ((p["c"] > q["c"]) & F.col("apart"))  # within one block each pair once
         lowest = F.array_min(F.array_intersect(p["bands"], q["bands"])) == F.col("b")
-        return F.when(p["c"] == q["c"], False).when(lowest, _likely(p["sample"], q["sample"])).otherwise(False)
+        return F.when(other, F.when(lowest, _likely(p["sample"], q["sample"])).otherwise(False)).otherwise(False)
 
-    near = both.select("b", "y", F.explode("x").alias("p")).select("p.h", "p.c", F.explode(F.filter("y", lambda q: wanted(F.col("p"), q))).alias("q"))
-    pairs = near.select(F.col("h").alias("a"), F.col("q.h").alias("b"), F.col("c").alias("p"), F.col("q.c").alias("q"))
+    each = both.select("b", "y", (F.col("p") != F.col("q")).alias("apart"), F.explode("x").alias("one"))
+    found = each.select("one.h", "one.c", F.explode(F.filter("y", lambda q: near(F.col("one"), q))).alias("q"))
+    pairs = found.select(F.col("h").alias("a"), F.col("q.h").alias("b"), F.col("c").alias("p"), F.col("q.c").alias("q"))
     return _similar_pairs(pairs, texts, False).select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()
 
 
@@ -201,7 +211,7 @@ def _components(shared: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFr
     members = scratch.save(_open_members(shared, of), "members")
     if members.isEmpty():
         return of
-    more = scratch.save(_block_links(members, texts), "links")
+    more = scratch.save(_block_links(members, texts, scratch), "links")
     return of if more.isEmpty() else _merged(of, members, more, scratch)
 
 
