@@ -31,6 +31,10 @@ def text_of(t):
     return t or ""
 
 
+def shingles(line):
+    return {line[k : k + 8] for k in range(max(1, len(line) - 7))}
+
+
 def test_bpe_equals_tiktoken_and_decodes(docs, empty):
     import base64
     import hashlib
@@ -52,6 +56,20 @@ def test_bpe_equals_tiktoken_and_decodes(docs, empty):
     assert bpe.encode(empty, BPE).count() == 0 and bpe.decode(bpe.encode(empty, BPE), BPE).count() == 0
 
 
+def test_bpe_splits_every_code_point_as_tiktoken(spark):
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{chr(c)} {chr(c)}b" for c in points[k : k + 2048]) for k in range(0, len(points), 2048)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in bpe.encode_proven(df, BPE).collect():
+        assert r.round_trip and r.ids == enc.encode_ordinary(texts[r.doc_id])
+
+
 def test_bpe_special_strings_are_text(spark):
     df = spark.createDataFrame([(1, "a<|endoftext|>b")], "doc_id long, text string")
     assert 50256 not in bpe.encode(df, BPE).first().ids
@@ -109,11 +127,35 @@ def test_lines_that_share_a_band_are_all_compared(spark):
                 own[k] = word()
             texts.append(" ".join(own))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    of = line_dedup.with_bands(df, "text").select("doc_id", "bands", line_dedup.shingle_hashes(F.col("text")).alias("s")).collect()
+    bands = {}
+    for r in line_dedup.bands(line_dedup.minima(df.select(F.col("doc_id").alias("h"), F.col("text").alias("line")))).collect():
+        bands.setdefault(r.h, set()).add(r.b)
+    sets = [shingles(t) for t in texts]
     near = lambda x, y: len(x & y) >= 0.8 * len(x | y)
-    pairs = ((a.doc_id, b.doc_id) for a, b in itertools.combinations(of, 2) if set(a.bands) & set(b.bands) and near(set(a.s), set(b.s)))
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if bands[a] & bands[b] and near(sets[a], sets[b])]
     got = {r.doc_id: r.component_doc for r in line_dedup.line_components(df).collect()}
-    assert got == components(range(len(texts)), pairs)
+    assert got == components(range(len(texts)), pairs) and len(pairs) > 400
+
+
+def test_lines_without_letters_are_apart(spark):
+    data = [(k, t) for k, t in enumerate(["\x01", "\x7f\x7f\x7f", "\u00a0", "\x01", "\u200b\u200b"])]
+    got = {r.doc_id: r.component_doc for r in line_dedup.line_components(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 0, 4: 4}
+
+
+def test_candidates_beyond_the_sketch(docs, monkeypatch):
+    want = sorted(map(str, line_dedup.line_components(docs).collect()))
+    monkeypatch.setattr(line_dedup, "SKETCH_BITS", 4)
+    assert sorted(map(str, line_dedup.line_components(docs).collect())) == want
+
+
+def test_clashing_columns(spark):
+    names = ["doc_id", "text", "source", "_key", "_hash", "_gone", "key", "hash", "gone", "left", "row", "target", "whole", "cut", "extra", "need", "_size", "_of", "_copy", "size", "stats", "predicted"]
+    data = [(k, f"line one of {k} stands here\nand the same line for all", "s", *range(len(names) - 3)) for k in range(12)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names[3:]))
+    labels = df.select("doc_id", (F.col("doc_id") % 2).alias("quality"))
+    for out in (line_dedup.drop_lines(df), simhash.drop_near_duplicates(df), mixing.mix_rows(df), quality.drop_rejected(df, labels)):
+        assert out.columns == names and all(tuple(r)[3:] == data[0][3:] for r in out.collect())
 
 
 def test_lines_with_one_edit_are_linked(spark):
@@ -128,9 +170,8 @@ def test_lines_with_one_edit_are_linked(spark):
         edited = [*line[:at], line[at][:-1] + "#", *line[at + 1 :]]  # one letter
         data += [(2 * k, " ".join(line)), (2 * k + 1, " ".join(edited))]
     got = {r.doc_id: r.component_doc for r in line_dedup.line_components(spark.createDataFrame(data, "doc_id long, text string")).collect()}
-    starts = lambda t: {t[k : k + 8] for k in range(len(t)) if k == 0 or t[k - 1] == " "}
-    near = [a for (a, x), (_, y) in zip(data[::2], data[1::2]) if len(starts(x) & starts(y)) >= 0.8 * len(starts(x) | starts(y))]
-    assert len(near) >= 150 and sum(got[a + 1] == a for a in near) >= 0.98 * len(near)
+    near = [a for (a, x), (_, y) in zip(data[::2], data[1::2]) if len(shingles(x) & shingles(y)) >= 0.8 * len(shingles(x) | shingles(y))]
+    assert len(near) >= 60 and sum(got[a + 1] == a for a in near) >= 0.98 * len(near)
 
 
 def test_lines_of_rows_that_share_a_key(spark):
@@ -243,10 +284,48 @@ def test_topk_edges(vecs):
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(vecs).orderBy("query_id", "rank").collect()]
     want = sorted(((256 * math.floor(256 * v[0]), -i) for i, v in ((1, [2.0]), (2, [1.0]), (3, [0.0]), (8, [1.0]), (9, [1.0]), (10, [1.0]), (11, [0.0]))), reverse=True)
     assert [g[0] for g in got[:5]] == [0] * 5 and [(256 * g[3] // 256, -g[2]) for g in got if g[0] == 0][:1] == [(want[0][0], want[0][1])]
-    assert [g[2] for g in got if g[0] == 50][:2] == [1, 8]
+    assert [g[2] for g in got if g[0] == 50][:3] == [1, 1, 8]  # both rows of id 1
     assert topk.top_k(vecs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [(4096, 512), (64, 4)])
+def test_topk_of_repeated_ids(spark, monkeypatch, sizes):
+    """Every row but the query's own is a candidate, also one that repeats its id."""
+    import numpy as np
+
+    monkeypatch.setattr(topk, "SHARD_ROWS", sizes[0])
+    monkeypatch.setattr(topk, "BLOCK_ROWS", sizes[1])
+    rng = np.random.default_rng(6)
+    x = rng.integers(-3, 4, (500, 4)) / 256.0
+    ids = [k % 200 for k in range(500)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    q = np.floor(256 * x).astype(int)
+    want = []
+    for i in (k for k in range(500) if ids[k] % 50 == 0):
+        best = sorted((-(q[i] @ q[j]), ids[j]) for j in range(500) if j != i)[:5]
+        want += [(ids[i], n + 1, j, int(-s)) for n, (s, j) in enumerate(best)]
+    assert sorted(map(tuple, topk.top_k(df).collect())) == sorted(want)
+
+
+def test_vectors_in_many_tiles(spark, monkeypatch):
+    """More than one tile a label, and components whose squares no double holds."""
+    import numpy as np
+
+    from tests.llm.test_queries import components
+
+    monkeypatch.setattr(embedding_dedup, "TILE", 32)
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((60, 16))
+    x = np.concatenate([base[rng.integers(0, 60, 300)] + 0.07 * rng.standard_normal((300, 16))]) * np.array([1e200, 1e-200, 1.0])[rng.integers(0, 3, 300), None]
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    unit = x / np.abs(x).max(1, keepdims=True)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.93
+    comp = components(range(300), [(a, b) for a in range(300) for b in range(a) if near[a, b]])
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_groups(df).collect()}
+    assert got == {k: (int(near[k].sum()) - 1, comp[k]) for k in range(300)}
+
+
 def test_topk_equals_brute_force(spark):
     import numpy as np
 
