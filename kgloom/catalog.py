@@ -214,16 +214,13 @@ def undirected_pairs(spark, sf_dir):
 
 @query(
     f"""
-    WITH e AS (SELECT 'o' || o_orderkey AS s, 'c' || o_custkey AS t FROM orders WHERE o_orderpriority LIKE '1%')
-    SELECT node_id, node_type FROM {NODES} WHERE node_type IN ('customer', 'order')
-      AND node_id NOT IN (SELECT s FROM e) AND node_id NOT IN (SELECT t FROM e)
+    WITH e AS (SELECT * FROM {EDGES} WHERE relation IN ('contains', 'supplied_by'))
+    SELECT node_id, node_type FROM {NODES} WHERE node_id NOT IN (SELECT source_id FROM e) AND node_id NOT IN (SELECT target_id FROM e)
     """
 )
 def orphan_nodes(spark, sf_dir):
-    some = table(spark, sf_dir, "orders").where(F.col("o_orderpriority").startswith("1"))
-    edges = build.build_edges({"orders": some}, [RELATIONS[3]])
-    nodes = nodes_of(spark, sf_dir).where(F.col("node_type").isin("customer", "order"))
-    return joins.orphans(nodes, edges).select("node_id", "node_type")
+    """Nodes that no line of an order touches."""
+    return joins.orphans(nodes_of(spark, sf_dir), edges_of(spark, sf_dir, "contains", "supplied_by")).select("node_id", "node_type")
 
 
 @query(f"SELECT DISTINCT target_id AS node_id FROM {EDGES} WHERE target_id NOT IN (SELECT 'n' || n_nationkey FROM nation) AND relation <> 'in_region'")
@@ -264,13 +261,13 @@ PROJECTED = "(SELECT 'k' || l_partkey AS source_id, 'k' || l_suppkey AS target_i
 
 @query(
     f"""
-    WITH n AS (SELECT 'k' || p_partkey AS node_id FROM part WHERE p_size % 2 = 0),
+    WITH n AS (SELECT 'k' || c_custkey AS node_id FROM customer),
     e AS (SELECT DISTINCT * FROM {PROJECTED} WHERE source_id <> target_id AND source_id IN (SELECT node_id FROM n) AND target_id IN (SELECT node_id FROM n))
     SELECT source_id, target_id, relation FROM e
     """
 )
 def autofix_edges(spark, sf_dir):
-    nodes = table(spark, sf_dir, "part").where("p_size % 2 = 0").select(F.concat(F.lit("k"), "p_partkey").alias("node_id"))
+    nodes = table(spark, sf_dir, "customer").select(F.concat(F.lit("k"), "c_custkey").alias("node_id"))  # parts beyond them dangle
     edges = build.build_edges({"lineitem": table(spark, sf_dir, "lineitem")}, [build.Relation("lineitem", "supplied_by", "l_partkey", "l_suppkey", "k", "k")])
     return validate.repair(nodes, edges)[1]
 
@@ -366,30 +363,32 @@ def fuzzy_name_match(spark, sf_dir):
 
 @query(
     """
-    WITH own AS (SELECT DISTINCT s_nationkey AS item, 's' || s_suppkey AS value FROM supplier WHERE s_suppkey % 4 = 0),
-    i AS (SELECT n_nationkey AS item, (n_nationkey + 1) % 25 AS parent FROM nation),
+    WITH own AS (SELECT DISTINCT CAST(user_id AS BIGINT) AS item, event_type AS value FROM events WHERE user_id IN (SELECT c_custkey FROM customer)),
+    i AS (SELECT CAST(c_custkey AS BIGINT) AS item, CAST(c_custkey + 1 AS BIGINT) AS parent FROM customer),
     d AS (SELECT * FROM own), l1 AS (SELECT * FROM i WHERE item NOT IN (SELECT item FROM d)),
     up AS (SELECT DISTINCT l1.item, own.value FROM l1 JOIN own ON own.item = parent),
     l2 AS (SELECT item FROM l1 WHERE item NOT IN (SELECT item FROM up)),
     down AS (SELECT DISTINCT i.parent AS item, own.value FROM i JOIN l2 ON l2.item = i.parent JOIN own ON own.item = i.item)
-    SELECT CAST(item AS INTEGER) AS item, value FROM (SELECT * FROM d UNION ALL SELECT * FROM up UNION ALL SELECT * FROM down)
+    SELECT item, value FROM (SELECT * FROM d UNION ALL SELECT * FROM up UNION ALL SELECT * FROM down)
     """
 )
 def one_hop_inheritance(spark, sf_dir):
-    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("item"), ((F.col("n_nationkey") + 1) % 25).alias("parent"))
-    own = table(spark, sf_dir, "supplier").where("s_suppkey % 4 = 0").select(F.col("s_nationkey").alias("item"), F.concat(F.lit("s"), "s_suppkey").alias("value"))
-    return joins.inherit(nations, own, nations)
+    """Customers and the kinds of their events; those without any take their neighbours' by number."""
+    key = F.col("c_custkey").cast("long")
+    items = table(spark, sf_dir, "customer").select(key.alias("item"), (key + 1).alias("parent"))
+    own = table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("item"), F.col("event_type").alias("value"))
+    return joins.inherit(items, own.join(items, "item", "left_semi"), items)
 
 
 @query(
     f"""
-    WITH n AS (SELECT node_id, node_type, label FROM {NODES} WHERE node_type = 'part' AND CAST(node_id[2:] AS INTEGER) % 2 = 0)
-    SELECT * FROM n UNION ALL SELECT DISTINCT 'p' || l_partkey, 'part', 'p' || l_partkey FROM lineitem WHERE l_partkey % 2 <> 0
+    WITH n AS (SELECT 'k' || c_custkey AS node_id, 'customer' AS node_type, c_name AS label FROM customer)
+    SELECT * FROM n UNION ALL SELECT DISTINCT 'k' || l_partkey, 'part', 'k' || l_partkey FROM lineitem WHERE 'k' || l_partkey NOT IN (SELECT node_id FROM n)
     """
 )
 def missing_nodes_appended(spark, sf_dir):
-    nodes = nodes_of(spark, sf_dir).where("node_type = 'part' and substring(node_id, 2) % 2 = 0").select("node_id", "node_type", "label")
-    used = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("node_id"))
+    nodes = table(spark, sf_dir, "customer").select(F.concat(F.lit("k"), "c_custkey").alias("node_id"), F.lit("customer").alias("node_type"), F.col("c_name").alias("label"))
+    used = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("k"), "l_partkey").alias("node_id"))
     return joins.missing_nodes(nodes, used, "part")
 
 

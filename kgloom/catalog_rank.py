@@ -249,16 +249,40 @@ def bootstrap_interval(spark, sf_dir):
     return me.bootstrap_ci(table(spark, sf_dir, "events"), "value", "event_id", 200)
 
 
-@query()
+@query(
+    """
+    WITH p AS (SELECT l_discount * 100 - l_tax * 100 AS d FROM lineitem), t AS (SELECT count(*) AS n, avg(d) / sqrt(var_samp(d) / count(*)) AS t FROM p),
+    k AS (SELECT round(d) AS d, rank() OVER (ORDER BY abs(round(d))) + (count(*) OVER (PARTITION BY abs(round(d))) - 1) / 2.0 AS r FROM p WHERE round(d) <> 0),
+    w AS (SELECT sum(r) FILTER (WHERE d > 0) AS w FROM k) SELECT n, round(t, 6) AS t, CAST(w AS DOUBLE) AS w FROM t, w
+    """
+)
 def paired_tests(spark, sf_dir):
     o = table(spark, sf_dir, "lineitem").select((F.col("l_discount") * 100).alias("a"), (F.col("l_tax") * 100).alias("b"))
-    return me.paired_test(o, "a", "b").crossJoin(me.signed_rank(o, "a", "b").select("w", "z"))  # one row by one row
+    whole = o.select(F.round(F.col("a") - F.col("b")).alias("a"), F.lit(0.0).alias("b"))
+    return me.paired_test(o, "a", "b").select("n", F.round("t", 6).alias("t")).crossJoin(me.signed_rank(whole, "a", "b").select("w"))  # one row by one row
 
 
 @query()
+def chosen_test(spark, sf_dir):
+    """Mean balances of customers and suppliers, paired by nation."""
+    mean = lambda t, k, v, n: table(spark, sf_dir, t).groupBy(F.col(k).alias("nation")).agg(F.avg(v).alias(n))
+    return me.chosen_test(mean("customer", "c_nationkey", "c_acctbal", "a").join(mean("supplier", "s_nationkey", "s_acctbal", "b"), "nation"), "a", "b")
+
+
+@query(
+    f"""
+    WITH {LABELLED}, e AS (SELECT *, doc_id % 13 AS other FROM d),
+    x AS (SELECT p.doc_id AS i, q.doc_id AS j, CASE WHEN p.score > q.score THEN 1 WHEN p.score = q.score THEN 0.5 ELSE 0 END AS a,
+      CASE WHEN p.other > q.other THEN 1 WHEN p.other = q.other THEN 0.5 ELSE 0 END AS b FROM e p JOIN e q ON p.label = 1 AND q.label = 0),
+    v AS (SELECT i, avg(a) AS a, avg(b) AS b FROM x GROUP BY i), u AS (SELECT j, avg(a) AS a, avg(b) AS b FROM x GROUP BY j),
+    s AS (SELECT (SELECT (var_samp(a) + var_samp(b) - 2 * covar_samp(a, b)) / count(*) FROM v) + (SELECT (var_samp(a) + var_samp(b) - 2 * covar_samp(a, b)) / count(*) FROM u) AS var)
+    SELECT round(avg(a), 6) AS auc_a, round(avg(b), 6) AS auc_b, round((avg(a) - avg(b)) / sqrt(max(var)), 6) AS z FROM v, s
+    """
+)
 def delong_test(spark, sf_dir):
     d = _labelled(spark, sf_dir).withColumn("other", F.col("doc_id") % 13)
-    return me.delong(d, "score", "other", "label", "doc_id")
+    out = me.delong(d, "score", "other", "label", "doc_id")
+    return out.select(*(F.round(c, 6).alias(c) for c in ("auc_a", "auc_b", "z")))
 
 
 # splits
@@ -306,14 +330,15 @@ def leak_check(spark, sf_dir):
 
 @query(
     """
-    SELECT p AS l_partkey, s AS l_suppkey FROM (SELECT DISTINCT p_partkey AS p, (p_partkey * 31 + k * 17) % 97 AS s FROM part, range(4) r(k)) c
+    SELECT p AS l_partkey, s AS l_suppkey FROM (SELECT DISTINCT p_partkey AS p, (p_partkey * 31 + k * 17) % (SELECT count(*) FROM supplier) + 1 AS s FROM part, range(4) r(k)) c
     WHERE s IN (SELECT s_suppkey FROM supplier) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p AND l_suppkey = s) ORDER BY (p * 7919 + s * 31) % 10007, p, s LIMIT 100
     """
 )
 def typed_negatives(spark, sf_dir):
     """Negative pairs out of four candidates for each part, none of them positive."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
-    pairs = p.select("l_partkey", ((F.col("l_partkey") * 31 + F.col("k") * 17) % 97).alias("l_suppkey"))
+    n = table(spark, sf_dir, "supplier").agg(F.count("*").alias("n"))  # one row
+    pairs = p.crossJoin(F.broadcast(n)).select("l_partkey", ((F.col("l_partkey") * 31 + F.col("k") * 17) % F.col("n") + 1).alias("l_suppkey"))
     real = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"))
     pairs = pairs.join(real, "l_suppkey", "left_semi")
     order = (F.col("l_partkey") * 7919 + F.col("l_suppkey") * 31) % 10007
@@ -422,12 +447,17 @@ def clustering_triangles(spark, sf_dir):
     return out.select("node", "degree", "triangles", F.round("coefficient", 6).alias("coefficient"))
 
 
-@query()
+#: Rounds of trimming in the SQL; the operator goes on until nothing changes.
+TRIMS = 12
+TRIMMED = "e0 AS (SELECT DISTINCT l_partkey AS s, l_suppkey AS t FROM lineitem), " + ", ".join(
+    f"e{k} AS MATERIALIZED (SELECT * FROM e{k - 1} WHERE s IN (SELECT t FROM e{k - 1}) AND t IN (SELECT s FROM e{k - 1}))" for k in range(1, TRIMS + 1)
+)
+
+
+@query(f"WITH {TRIMMED} SELECT s AS node FROM e{TRIMS} UNION SELECT t FROM e{TRIMS}")
 def cycle_members(spark, sf_dir):
-    """Nations on cycles of a ring with tails."""
-    n = table(spark, sf_dir, "nation")
-    ring = n.select(F.col("n_nationkey").alias("source_id"), F.when(F.col("n_nationkey") < 10, (F.col("n_nationkey") + 1) % 10).otherwise(F.col("n_nationkey") - 10).alias("target_id"))
-    return graph.cycle_nodes(ring)
+    """Keys on or between cycles where parts and suppliers share one range of keys."""
+    return graph.cycle_nodes(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("source_id"), F.col("l_suppkey").alias("target_id")))
 
 
 @query(f"WITH e AS (SELECT DISTINCT * FROM {EDGES}) SELECT source_id, target_id, relation FROM e WHERE regexp_matches(source_id, '^S1$', 'i') OR regexp_matches(target_id, '^S1$', 'i')")
@@ -436,9 +466,9 @@ def search_incident(spark, sf_dir):
     return graph.incident(edges_of(spark, sf_dir), found)
 
 
-@query(f"SELECT node_id, sum(i)::BIGINT AS n_in, sum(o)::BIGINT AS n_out FROM (SELECT source_id AS node_id, 0 AS i, 1 AS o FROM {EDGES} WHERE relation = 'in_nation' UNION ALL SELECT target_id, 1, 0 FROM {EDGES} WHERE relation = 'in_nation') GROUP BY node_id")
+@query(f"SELECT node_id, sum(i)::BIGINT AS n_in, sum(o)::BIGINT AS n_out FROM (SELECT source_id AS node_id, 0 AS i, 1 AS o FROM {EDGES} UNION ALL SELECT target_id, 1, 0 FROM {EDGES}) GROUP BY node_id")
 def node_degrees(spark, sf_dir):
-    return graph.degrees(edges_of(spark, sf_dir, "in_nation"))
+    return graph.degrees(edges_of(spark, sf_dir))
 
 
 @query(

@@ -70,26 +70,27 @@ def weighted_window_mean(vectors: Column, position: Column, half: int = 16, deca
 def canonical_position(isoform: pd.Series, canonical: pd.Series, position: pd.Series) -> pd.Series:
     """The canonical position of an isoform's 1-based position (F8).
 
-    Equal or equally long sequences keep it. Else the ten residues on either side are compared with
-    those around each canonical position within 50; the best of at least half equal residues (the
-    nearest, then the lower, of equal ones) is taken if its own residue is the same. Null without one.
+    Equal sequences keep it; equally long ones do if the residue there is the same. Else the residues
+    up to ten before and after are held, from their starts on, against those around each equal residue
+    within 50 positions; the first of the best shares is taken if it is a half at least. Null without one.
     """
 
     def place(iso, can, p):
         if iso is None or can is None or pd.isna(p) or not 1 <= p <= len(iso):
             return None
-        p = int(p)
-        if iso == can or len(iso) == len(can):
+        p, own = int(p), iso[int(p) - 1]
+        if iso == can:
             return p
-        here, best = iso[max(0, p - 11) : p + 10], None
-        before = min(p - 1, 10)
+        if len(iso) == len(can):
+            return p if can[p - 1] == own else None
+        around = lambda s, k: s[max(0, k - 11) : k + 10]
+        here, most, found = around(iso, p), 0.0, None
         for q in range(max(1, p - 50), min(len(can), p + 50) + 1):
-            if can[q - 1] != iso[p - 1]:
-                continue
-            there = can[max(0, q - 1 - before) : q + 10]
-            same = sum(a == b for a, b in zip(here, there)) / max(len(here), 1)
-            if same >= 0.5 and (best is None or (-same, abs(q - p), q) < best):
-                best = (-same, abs(q - p), q)
-        return best[2] if best else None
+            if can[q - 1] == own:
+                pairs = list(zip(here, around(can, q)))
+                share = sum(x == y for x, y in pairs) / len(pairs)
+                if share > most:
+                    most, found = share, q
+        return found if most >= 0.5 else None
 
     return pd.Series([place(*r) for r in zip(isoform, canonical, position)], dtype="Int32")

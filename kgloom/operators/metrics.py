@@ -157,8 +157,13 @@ def bootstrap_ci(df: DataFrame, value: str, key: str, resamples: int = 1000, lev
     Each row draws its weight in every resample from a hash of its key, so resamples are sums and no
     row is gathered or moved; equal seeds give equal intervals.
     """
+    import math
+
     u = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("b")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
+    cuts, term = [], math.exp(-1)
+    for k in range(1, 16):  # the Poisson distribution, to the last of u's 40 bits
+        cuts.append((cuts[-1] if cuts else 0.0) + term)
+        term /= k
     weight = sum(((u >= c).cast("int") for c in cuts[1:]), (u >= cuts[0]).cast("int"))
     drawn = df.select(F.col(key), F.col(value), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).withColumn("w", weight)
     means = drawn.groupBy("b").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("m"))
@@ -168,7 +173,7 @@ def bootstrap_ci(df: DataFrame, value: str, key: str, resamples: int = 1000, lev
 
 
 def paired_test(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(n, t, p): paired t-test by normal tail beyond 30 pairs, else by Student's integral; equal pairs give p = 1 (Q1).
+    """(n, t, p): paired t-test by Student's integral; equal pairs give p = 1 (Q1).
 
     Sums are taken in Spark; only they reach the driver.
     """
@@ -200,6 +205,78 @@ def signed_rank(df: DataFrame, a: str, b: str) -> DataFrame:
     return out.select(F.coalesce("n", F.lit(0)).alias("n"), "w", F.when(spread > 0, (F.col("w") - n * (n + 1) / 4) / spread).otherwise(0.0).alias("z"))
 
 
+def shapiro_wilk(values: list[float]) -> tuple[float, float]:
+    """W and its p-value by Royston's approximation (AS R94), for 3 to 5000 values (Q1)."""
+    import math
+    from statistics import NormalDist
+
+    x, n, normal = sorted(values), len(values), NormalDist()
+    mean = sum(x) / n
+    spread = sum((v - mean) ** 2 for v in x)
+    if not spread:
+        return 1.0, 1.0
+    m = [normal.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)]
+    whole, u = sum(v * v for v in m), 1 / math.sqrt(n)
+    poly = lambda at, *c: sum(k * at**i for i, k in enumerate(c))
+    if n == 3:
+        a = [-math.sqrt(0.5), 0.0, math.sqrt(0.5)]
+    else:
+        last = poly(u, m[-1] / math.sqrt(whole), 0.221157, -0.147981, -2.071190, 4.434685, -2.706056)
+        if n > 5:
+            second = poly(u, m[-2] / math.sqrt(whole), 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
+            phi = (whole - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
+            a = [-last, -second, *(v / math.sqrt(phi) for v in m[2:-2]), second, last]
+        else:
+            phi = (whole - 2 * m[-1] ** 2) / (1 - 2 * last**2)
+            a = [-last, *(v / math.sqrt(phi) for v in m[1:-1]), last]
+    w = min(1.0, sum(p * q for p, q in zip(a, x)) ** 2 / spread)
+    if n == 3:
+        return w, max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
+    if w >= 1:
+        return w, 1.0
+    if n <= 11:
+        low = poly(n, -2.273, 0.459) - math.log(1 - w)
+        if low <= 0:
+            return w, 0.0
+        at, mu, sigma = -math.log(low), poly(n, 0.5440, -0.39978, 0.025054, -0.0006714), math.exp(poly(n, 1.3822, -0.77857, 0.062767, -0.0020322))
+    else:
+        at, k = math.log(1 - w), math.log(n)
+        mu, sigma = poly(k, -1.5861, -0.31082, -0.083751, 0.0038915), math.exp(poly(k, -0.4803, -0.082676, 0.0030302))
+    return w, 1 - normal.cdf((at - mu) / sigma)
+
+
+def chosen_test(df: DataFrame, a: str, b: str, alpha: float = 0.05, most: int = 5000) -> DataFrame:
+    """(test, statistic, p, normality): paired t-test if the differences look normal, else signed ranks (Q1).
+
+    Fewer than three pairs take signed ranks; equal pairs give p = 1. For runs and folds: `most` pairs
+    at most, as the test of normality is defined; more raise an error. Signed ranks are exact up to
+    50 differing pairs without ties, else by the normal score.
+    """
+    from statistics import NormalDist
+
+    d = [r[0] for r in df.select((F.col(a) - F.col(b)).cast("double").alias("d")).where("d is not null").limit(most + 1).collect()]
+    if len(d) > most:
+        raise ValueError(f"the test of normality takes {most} pairs at most")
+    normality = shapiro_wilk(d)[1] if len(d) >= 3 else 0.0
+    if not any(d):
+        row = ("signed ranks", 0.0, 1.0, normality)
+    elif normality >= alpha:
+        _, t, p = paired_test(df, a, b).first()
+        row = ("paired t", t, p, normality)
+    else:
+        n, w, z = signed_rank(df, a, b).first()
+        least = min(w, n * (n + 1) / 2 - w)
+        if n <= 50 and n == len(d) and len({abs(v) for v in d}) == n:
+            ways = [1]  # how many subsets of the ranks have each sum
+            for r in range(1, n + 1):
+                ways = [(ways[k] if k < len(ways) else 0) + (ways[k - r] if k >= r else 0) for k in range(len(ways) + r)]
+            p = min(1.0, 2 * sum(ways[: int(least) + 1]) / 2**n)
+        else:
+            p = 2 * NormalDist().cdf(-abs(z))
+        row = ("signed ranks", float(least), p, normality)
+    return df.sparkSession.createDataFrame([row], "test string, statistic double, p double, normality double")
+
+
 def delong(df: DataFrame, a: str, b: str, label: str, key: str) -> DataFrame:
     """(auc_a, auc_b, z): DeLong's test of two AUCs on the same rows, by placement values (Q6)."""
 

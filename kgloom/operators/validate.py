@@ -7,13 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import first_of, has_id_format, is_canonical, parse_site_id
-from .dedup import duplicate_report
+from .dedup import duplicate_report, first_by
 from .graph import component_sizes, cycle_nodes, degrees
 from .joins import dangling, endpoint_types, orphans
 
 REPORT = "check string, severity string, n bigint, sample array<string>"
 SAMPLE = 10
-#: Relations that must have no cycle, and the types that relations must join.
+# Relations that must have no cycle, and the types that relations must join.
 ACYCLIC = ("inhibits", "has_variant")
 ENDPOINTS = (
     ("has_site", ("protein", "enzyme"), ("site",)),
@@ -103,7 +103,8 @@ def quality_profile(df: DataFrame, required: list[str], key: str, good_id: Colum
 
 def repair(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges without repeated edges, self loops, dangling ends and orphans, in this order (V5)."""
-    e = edges.dropDuplicates(["source_id", "target_id", "relation"]).where("source_id <> target_id")
+    keys = ["source_id", "target_id", "relation"]
+    e = first_by(edges, keys, [c for c in edges.columns if c not in keys] or keys).where("source_id <> target_id")
     ids = nodes.select("node_id")
     e = e.join(ids.withColumnRenamed("node_id", "source_id"), "source_id", "left_semi")
     e = e.join(ids.withColumnRenamed("node_id", "target_id"), "target_id", "left_semi").select(edges.columns)

@@ -299,3 +299,68 @@ def test_stream_equals_batch(spark, tmp_path):
     key = lambda r: (str(r.start), r.event_type, r.n, round(r.total, 4))
     assert sorted(map(key, spark.table("counts").collect())) == sorted(map(key, ev.windowed_counts(batch).collect()))
     assert ev.sessions(batch).count() > 0
+
+
+# places over ranges, paired tests
+
+
+def test_places_and_running_values_equal_windows(spark):
+    from pyspark.sql import Window as W
+
+    from kgloom.operators import ranges
+
+    data = [(None if k % 50 == 0 else k % 3, (k * 7919) % 101 / 7.0, k) for k in range(600)]
+    df = spark.createDataFrame(data, "g int, v double, id int").repartition(3)
+    got = {r.id: (r.place, r.g) for r in ranges.places(df, ["g"], [F.desc("v"), "id"]).collect()}
+    w = W.partitionBy("g").orderBy(F.desc("v"), "id")
+    assert got == {r.id: (r.p, r.g) for r in df.withColumn("p", F.row_number().over(w)).collect()}
+    held = ranges.ranged(df, [], ["v", "id"])
+    for reverse, f in ((False, F.max), (True, F.min), (False, F.sum)):
+        out = {r.id: r.x for r in ranges.running(held, [], ["v", "id"], f, {"x": "v"}, inclusive=False, reverse=reverse).collect()}
+        order = sorted(((v, i) for _, v, i in data), reverse=reverse)
+        one = {F.max: max, F.min: min, F.sum: sum}[f]
+        for n, (_, i) in enumerate(order):
+            before = [v for v, _ in order[:n]]
+            assert out[i] is None if not before else abs(out[i] - one(before)) < 1e-9
+    assert ranges.places(df.where("false"), ["g"], ["v", "id"]).count() == 0
+
+
+def test_step_down_and_false_discovery(spark):
+    df = spark.createDataFrame([(k, 1, p) for k, p in enumerate((0.01, 0.04, 0.03, 0.005, None, 0.04))], "id int, g int, p double")
+    h = {r.id: r.holm for r in me.holm(df, ["g"], "p", "id").collect()}
+    b = {r.id: r.bh for r in me.benjamini_hochberg(df, ["g"], "p", "id").collect()}
+    assert [h[k] and round(h[k], 9) for k in range(6)] == [0.04, 0.09, 0.09, 0.025, None, 0.09]
+    assert [b[k] and round(b[k], 9) for k in range(6)] == [0.025, 0.04, 0.04, 0.025, None, 0.04]
+
+
+def test_chosen_test(spark):
+    w, p = me.shapiro_wilk([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236])
+    assert abs(w - 0.7888) < 2e-3 and abs(p - 0.0067) < 5e-4
+    of = lambda d: me.chosen_test(spark.createDataFrame([(float(x), 0.0) for x in d], "a double, b double"), "a", "b").first()
+    assert of([0.3, 0.1, 0.2, 0.4, 0.25]).test == "paired t"
+    skewed = of([0.01, 0.02, 0.03, 0.015, 0.025, 0.012, 9.0])
+    assert (skewed.test, skewed.statistic) == ("signed ranks", 0.0) and abs(skewed.p - 2 / 128) < 1e-12
+    assert (of([0, 0, 0]).p, of([1.0, 2.0]).test) == (1.0, "signed ranks")
+
+
+def test_lookups(spark):
+    from kgloom.operators import lookups as lk
+
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "id string, n int")
+    assert lk.whitelisted(df, "id", None).count() == 2 and lk.whitelisted(df, "id", df.where("n = 1")).count() == 1
+    with pytest.raises(ValueError):
+        lk.whitelisted(df, "id", df, "other")
+    kinds = spark.createDataFrame([("N-linked (GlcNAc)",), ("o-linked",), (None,)], "t string")
+    assert [r[0] for r in kinds.select(lk.linkage_class(F.col("t"))).collect()] == ["N-linked", "O-linked", None]
+    assert [r[0] for r in kinds.select(lk.type_contains(F.col("t"), "GlcNAc")).collect()] == [True, False, False]
+    seqs = spark.createDataFrame([("P1", "AAA"), ("P2-1", "CCC")], "node_id string, sequence string")
+    ids = spark.createDataFrame([("P1-2",), ("P2",), ("P3",)], "id string")
+    assert {r.id: r.sequence for r in lk.sequence_of(ids, "id", seqs).collect()} == {"P1-2": "AAA", "P2": "CCC", "P3": None}
+
+
+def test_position_of_an_isoform(spark):
+    from kgloom.functions import sequence as sq
+
+    rows = [("ACDNA", "ACDNA", 4), ("ACDNA", "ACDQA", 4), ("ACDNA", "ACDNG", 4), ("MNKTA", "MNKTANKT", 2)]
+    got = spark.createDataFrame(rows, "i string, c string, p int").select(sq.canonical_position("i", "c", "p")).collect()
+    assert [r[0] for r in got] == [4, None, 4, 2]
