@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog import EDGES, NODES, edges_of, nodes_of, query
-from .functions import sequence as sq, text as tx, vectors as vx
+from .functions import sequence as sq, structure as st, text as tx, vectors as vx
 from .operators import aggregates as ag, build, graph, joins, lookups as lk, metrics as me, ranking as rk, splits, validate
 from .session import table
 
@@ -573,3 +573,58 @@ def sequons(spark, sf_dir):
 def expression_groups(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_type", F.hour("ts").cast("long").alias("h"), (F.col("value") - 50).alias("v"))
     return ag.expression_profile(e, ["event_type", "h"], "v").select("event_type", "h", F.round("mean", 6).alias("mean"), F.round("fraction", 6).alias("fraction"), "n")
+
+
+# structures: three kinds of parts, as strings of two unique residues in a chain of three
+
+KINDS = ("a2122h-1b_1-5_2*NCC/3=O", "a2112h-1b_1-5", "a1221m-1a_1-5")
+
+
+def _structures(spark, sf_dir):
+    first = F.get(F.array(*map(F.lit, KINDS)), F.col("p_size") % 3)
+    text = F.concat(F.lit("WURCS=2.0/2,3,2/["), first, F.lit("][a1122h-1b_1-5]/1-1-2/a4-b1_b4-c1"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.alias("structure"))
+
+
+@query(
+    """
+    SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'GlcNAc' WHEN 1 THEN 'Gal' ELSE 'Fuc' END AS name, CASE p_size % 3 WHEN 2 THEN 'alpha' ELSE 'beta' END AS anomer, 'pyranose' AS ring,
+      CASE p_size % 3 WHEN 0 THEN 'n_acetyl' WHEN 1 THEN '' ELSE 'deoxy' END AS changes, 2 AS n_residues, 3 AS n_chain, 2 AS n_links, 4 AS carbon,
+      1 AS hex, CASE p_size % 3 WHEN 0 THEN 2 ELSE 0 END AS hexnac, CASE p_size % 3 WHEN 2 THEN 2 ELSE 0 END AS dhex, CASE p_size % 3 WHEN 1 THEN 2 ELSE 0 END AS neuac, 3.0::DOUBLE AS size,
+      1 AS man, CASE p_size % 3 WHEN 1 THEN 'complex' ELSE 'other' END AS core, CASE p_size % 3 WHEN 2 THEN 'complex_fucosylated' ELSE 'high_mannose' END AS class FROM part
+    """
+)
+def structure_profile(spark, sf_dir):
+    s = F.col("structure")
+    code, counts = F.get(st.residues(s), F.lit(0)), st.class_counts(s)
+    of = {n: F.get(counts, F.lit(k)) for k, n in enumerate(("hex", "hexnac", "dhex", "neuac"))}
+    return _structures(spark, sf_dir).select(
+        "p_partkey", st.residue_name(code).alias("name"), st.anomer(code).alias("anomer"), st.ring_form(code).alias("ring"), F.array_join(st.modifications(code), ",").alias("changes"),
+        F.size(st.residues(s)).alias("n_residues"), F.size(st.topology(s)).alias("n_chain"), F.size(st.linkages(s)).alias("n_links"),
+        F.get(F.transform(st.linkages(s), lambda t: st.linkage_carbons(t)["parent_carbon"]), F.lit(1)).alias("carbon"), *(c.alias(n) for n, c in of.items()),
+        F.get(st.structure_features(s), F.lit(9)).alias("size"), F.try_element_at(st.composition(s), F.lit("Man")).alias("man"), st.core_class(st.composition(s)).alias("core"), st.nlinked_class(s).alias("class"),
+    )
+
+
+@query("SELECT p_partkey, CAST(k AS INTEGER) AS node, CAST(k AS INTEGER) AS depth FROM part, range(3) r(k)")
+def structure_depths(spark, sf_dir):
+    nodes, bonds = st.tree_tables(_structures(spark, sf_dir), "p_partkey", "structure")
+    return st.tree_depths(nodes, bonds, "p_partkey").select("p_partkey", F.col("node").cast("int").alias("node"), "depth")
+
+
+@query(
+    """
+    SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'P' || o_custkey || '-1' ELSE 'P' || o_custkey END AS canonical, lower(replace(o_orderpriority, ' ', '')) AS squeezed,
+      'T' AS residue, CAST(o_orderkey AS INTEGER) AS position, CAST(o_custkey AS VARCHAR) AS segment, CAST(o_custkey AS INTEGER) AS digits FROM orders
+    """
+)
+def id_and_text_rules(spark, sf_dir):
+    """A third of the accessions name isoform 2, a third isoform 1 and the rest none."""
+    k = F.col("o_orderkey") % 3
+    accession = F.concat(F.lit("P"), F.col("o_custkey").cast("string"), F.when(k == 0, "-2").when(k == 1, "-1").otherwise(""))
+    token = tx.residue_token(F.concat(F.lit("T"), F.col("o_orderkey").cast("string")))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", tx.canonical_accession(accession).alias("canonical"), tx.squeezed(F.col("o_orderpriority")).alias("squeezed"), token["residue"].alias("residue"),
+        token["position"].cast("int").alias("position"), tx.last_segment(F.concat(F.lit("http://a.b/c/"), F.col("o_custkey").cast("string"))).alias("segment"),
+        tx.trailing_digits(F.concat(F.lit("Asn"), F.col("o_custkey").cast("string"))).cast("int").alias("digits"),
+    )

@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .ranges import places
+
 # Relation names of hierarchy records.
 SUBSUMPTION = (("ancestor", "child_of"), ("descendant", "parent_of"), ("subsumes", "subsumes"), ("subsumedby", "subsumed_by"))
 NODE_COLUMNS = ("node_id", "node_type", "label", "sequence")
@@ -118,21 +120,16 @@ def crosstalk_edges(df: DataFrame) -> DataFrame:
 def dense_index(nodes: DataFrame, order: str = "node_id") -> DataFrame:
     """nodes with `idx`, from 0 within each type, and `global_id`, which goes on over the sorted types.
 
-    Row numbers are taken in hash ranges of each type and moved by the ranges' counts, so a type
-    with most nodes is not numbered by one task.
+    Places are counted in ranges of (type, order), so a type with most nodes is not numbered by one
+    task; ids in `order` must be unique within a type.
     """
     from pyspark.sql import Window as W
 
-    ranged = nodes.withColumn("_r", F.substring(F.lpad(F.col(order).cast("string"), 3, " "), 1, 3))
-    counts = ranged.groupBy("node_type", "_r").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.partitionBy("node_type").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.withColumn("_start", before)
-    types = counts.groupBy("node_type").agg(F.sum("_n").alias("_t"))
-    offsets = types.select("node_type", F.coalesce(F.sum("_t").over(W.orderBy("node_type").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    inside = F.row_number().over(W.partitionBy("node_type", "_r").orderBy(order))
-    out = ranged.withColumn("_i", inside).join(starts.drop("_n"), ["node_type", "_r"]).join(offsets, "node_type")
-    out = out.withColumn("idx", F.col("_start") + F.col("_i") - 1)
-    return out.withColumn("global_id", F.col("_off") + F.col("idx")).drop("_r", "_i", "_start", "_off")
+    types = nodes.groupBy("node_type").agg(F.count("*").alias("_t"))
+    offsets = types.select("node_type", F.coalesce(F.sum("_t").over(W.orderBy("node_type").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off"))  # one row a type
+    out = places(nodes, ["node_type"], [order], "_place").join(offsets, "node_type")
+    out = out.withColumn("idx", F.col("_place") - 1)
+    return out.withColumn("global_id", F.col("_off") + F.col("idx")).drop("_place", "_off")
 
 
 def global_triples(nodes: DataFrame, edges: DataFrame) -> DataFrame:
