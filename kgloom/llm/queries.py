@@ -83,9 +83,39 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import filter_audit
+
+    return filter_audit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontamination
+
+    found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    n_hit = decontamination.hit_words(F.col("spans")).cast("long")
+    return found.select(
+        "doc_id",
+        F.col("n_words").cast("long").alias("n_words"),
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import spelling
+
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op10_topk": op10_topk,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_decontamination": op12_decontamination,
+    "op13_spelling_variants": op13_spelling_variants,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_line_dedup": op3_line_dedup,
     "op4_shard_by_bytes": op4_shard_by_bytes,
@@ -147,4 +177,91 @@ SQL: dict[str, str] = {
            CAST(whole * size + greatest(0, least(size, CAST(round(target) AS BIGINT) - whole * source_size - before)) AS BIGINT) AS taken
     FROM r JOIN s6 ON r.source IS NOT DISTINCT FROM s6.source
     """,
+    "op11_filter_audit": r"""
+    WITH l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+    d AS (
+      SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+             regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    f AS (
+      SELECT doc_id, part,
+             concat(CASE WHEN len(ws) < 200 THEN 'A' END,
+                    CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' END,
+                    CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t) THEN 'C' END,
+                    CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END,
+                    CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' END) AS fails FROM d),
+    c AS (
+      SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+      FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails),
+    x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    o AS (
+      SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+    s AS (SELECT filter_order, CAST(step AS INTEGER) AS step FROM o, range(1, 6) r(step)),
+    m AS (
+      SELECT part, filter_order, step, n, good, toxic, filter_order[step] AS own, fails = filter_order[step] AS alone,
+             contains(fails, filter_order[step]) AS now,
+             len(list_filter(range(1, step), lambda k: contains(fails, filter_order[k]))) > 0 AS before FROM c, s),
+    g AS (
+      SELECT part, filter_order, step, any_value(own) AS own,
+             coalesce(sum(n) FILTER (NOT now AND NOT before), 0) AS kept, coalesce(sum(n) FILTER (now AND NOT before), 0) AS removed,
+             coalesce(sum(n) FILTER (now AND before), 0) AS redundant, coalesce(sum(n) FILTER (alone), 0) AS unique_fails,
+             coalesce(sum(good) FILTER (now AND NOT before), 0) AS good_lost,
+             coalesce(sum(toxic) FILTER (now AND NOT before), 0) AS toxic_lost
+      FROM m GROUP BY part, filter_order, step)
+    SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+           CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+           CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM g
+    """,
+    "op12_decontamination": r"""
+    WITH d AS (
+      SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+    b AS (
+      SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE item_id IS NOT NULL),
+    w AS (
+      SELECT DISTINCT item, least(len(ws), 10) AS w, array_to_string(ws[k : k + least(len(ws), 10) - 1], ' ') AS said
+      FROM b, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) r(k) WHERE len(ws) > 0),
+    p AS (
+      SELECT row, k, lens.w, array_to_string(ws[k : k + lens.w - 1], ' ') AS said
+      FROM d, (SELECT DISTINCT w FROM w) lens, unnest(range(1, len(ws) - lens.w + 2)) r(k)),
+    h AS (SELECT DISTINCT row, k, w, item FROM p JOIN w USING (w, said)),
+    n AS (SELECT row, count(DISTINCT place) AS n_hit FROM (SELECT row, unnest(range(k, k + w)) AS place FROM h) GROUP BY row),
+    i AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item FROM h) GROUP BY row)
+    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN n USING (row) LEFT JOIN i USING (row)
+    """,
+    "op13_spelling_variants": r"""
+    WITH RECURSIVE crc AS (
+      SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) ORDER BY i) AS tab
+      FROM range(256) r(i)),
+    r AS (
+      SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+    o AS (
+      SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+      FROM r GROUP BY ALL),
+    h AS (
+      SELECT run, n, xor(4294967295, list_reduce(
+               list_concat([4294967295], list_transform(range(strlen(id || ':' || run)), lambda k: CAST('0x' || hex(encode(id || ':' || run))[2 * k + 1 : 2 * k + 2] AS BIGINT))),
+               lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]))) AS h FROM o, crc),
+    w AS (
+      SELECT CASE WHEN h % 97 = 0 THEN run[1 : h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n
+      FROM h GROUP BY 1),
+    v AS (SELECT word, n FROM w WHERE length(word) >= 5 AND n >= 3),
+    cut AS (SELECT word, n, k, word[1 : k - 1] || word[k + 1 :] AS less FROM v, unnest(range(1, length(word) + 1)) r(k)),
+    near AS (
+      SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.less = b.less AND a.k = b.k AND a.word <> b.word
+      UNION SELECT c.word, c.n, v.word, v.n FROM cut c JOIN v ON c.less = v.word
+      UNION SELECT v.word, v.n, c.word, c.n FROM cut c JOIN v ON c.less = v.word),
+    best AS (
+      SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n, any_value(n) AS n FROM near GROUP BY word),
+    f AS (SELECT word, near AS form, near_n AS form_n FROM best WHERE near_n >= 2 * n),
+    walk AS (
+      SELECT word, form AS last FROM f
+      UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON walk.last = f.word),
+    roots AS (SELECT word, last AS root FROM walk WHERE last NOT IN (SELECT word FROM f))
+    SELECT v.word, f.form, coalesce(root, v.word) AS root, v.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, form_n
+    FROM v LEFT JOIN best USING (word) LEFT JOIN f USING (word) LEFT JOIN roots USING (word)
+    """,
 }
