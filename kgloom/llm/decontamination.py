@@ -32,7 +32,7 @@ def _powers(base: int, n: int) -> np.ndarray:
         size = max(n, 1 << 16)
         out = np.full(size, base, np.uint64)
         out[0] = 1
-        if size > 2 * RUN:
+        if size > max(2 * RUN, 1 << 16):  # one very long word; its powers are not kept
             return np.multiply.accumulate(out)
         _POWERS[base] = np.multiply.accumulate(out)
     return _POWERS[base][:n]
