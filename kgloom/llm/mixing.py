@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .names import free
 from .scratch import Scratch
 
 #: Words are runs of anything but ASCII white space.
@@ -78,7 +79,9 @@ def plan_mix(
     """One row a source: (source, source_size, target, whole, cut, need).
 
     Every row of the source is taken `whole` times, those in buckets before `cut` once more, and
-    those of bucket `cut` until `need` more words are taken.
+    those of bucket `cut` until `need` more words are taken. A null source is a source, a null key an
+    empty one; rows may repeat; null sizes count nothing; columns but key, source and size, whatever
+    their names, are ignored; an empty table gives no rows.
     """
     buckets = rows.groupBy(F.col(source).alias("source"), _bucket(_at(key, seed)).alias("bucket")).agg(F.sum(size).alias("bucket_size"))
     sources = targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, budget, epochs)
@@ -99,18 +102,22 @@ def plan_mix(
 
 
 def apply_mix(df: DataFrame, plan: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", seed: int = 42) -> DataFrame:
-    """df with source_size, target, whole and extra; rows stay where they are, but for the cut buckets'."""
-    p = plan.select(F.col("source").alias("_source"), "source_size", "target", "whole", "cut", "need")
-    dealt = (
-        df.withColumn("_at", _at(key, seed))
-        .withColumn("_bucket", _bucket(F.col("_at")))
-        .join(p, F.col(source).eqNullSafe(F.col("_source")))
-    )
-    clear = dealt.where("_bucket <> cut").withColumn("extra", F.when(F.col("_bucket") < F.col("cut"), F.col(size)).otherwise(0).cast("long"))
-    inside = W.partitionBy("_source").orderBy("_at", key, size).rowsBetween(W.unboundedPreceding, -1)
-    left = F.col("need") - F.coalesce(F.sum(size).over(inside), F.lit(0))
-    edge = dealt.where("_bucket = cut").withColumn("extra", F.greatest(F.lit(0), F.least(F.col(size), left)).cast("long"))
-    return clear.unionByName(edge).drop("_at", "_bucket", "_source", "cut", "need")
+    """df with source_size, target, whole and extra; rows stay where they are, but for the cut buckets'.
+
+    plan is plan_mix()'s. Columns of df with those four names are replaced, all others stay whatever
+    their names. Null sources, null and repeated keys are taken as in mix(); rows of a source that
+    the plan lacks are left out; an empty table gives no rows.
+    """
+    at, bucket, of, cut, need, *made = free(df, "at", "bucket", "of", "cut", "need", "source_size", "target", "whole", "extra")
+    p = plan.select(F.col("source").alias(of), F.col("source_size").alias(made[0]), F.col("target").alias(made[1]), F.col("whole").alias(made[2]), F.col("cut").alias(cut), F.col("need").alias(need))
+    dealt = df.withColumn(at, _at(key, seed)).withColumn(bucket, _bucket(F.col(at))).join(p, F.col(source).eqNullSafe(F.col(of)))
+    clear = dealt.where(F.col(bucket) != F.col(cut)).withColumn(made[3], F.when(F.col(bucket) < F.col(cut), F.col(size)).otherwise(0).cast("long"))
+    inside = W.partitionBy(of).orderBy(at, key, size).rowsBetween(W.unboundedPreceding, -1)
+    left = F.col(need) - F.coalesce(F.sum(size).over(inside), F.lit(0))
+    edge = dealt.where(F.col(bucket) == F.col(cut)).withColumn(made[3], F.greatest(F.lit(0), F.least(F.col(size), left)).cast("long"))
+    names = ("source_size", "target", "whole", "extra")
+    own = [F.col(c) for c in df.columns if c.lower() not in names]
+    return clear.unionByName(edge).select(*own, *(F.col(c).alias(n) for c, n in zip(made, names)))
 
 
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
@@ -123,15 +130,17 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     how: weights, budget, epochs and seed, as in plan_mix().
 
     Null texts have size 0; a null source is a source; null keys sort as empty ones; rows with the
-    same key are ordered by size. An empty table gives no rows. Sizes are summed by bucket of the
+    same key are ordered by size. Other columns, whatever their names, are ignored, and so are the
+    names of key and source. An empty table gives no rows. Sizes are summed by bucket of the
     seeded order, and only one bucket of each source is ever ordered row by row, so a source with
     most rows fills no task.
     """
     scratch = Scratch(df.sparkSession, "mix")
-    rows = scratch.save(df.select(key, source, n_words(F.col(text)).alias("size")), "sizes")
-    plan = scratch.save(plan_mix(rows, key, source, "size", **how), "plan")
-    mixed = apply_mix(rows, plan, key, source, "size", how.get("seed", 42))
-    return mixed.withColumn("taken", F.col("whole") * F.col("size") + F.col("extra"))
+    rows = scratch.save(df.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")), "sizes")
+    plan = scratch.save(plan_mix(rows, "key", "source", "size", **how), "plan")
+    mixed = apply_mix(rows, plan, "key", "source", "size", how.get("seed", 42))
+    made = ("size", "source_size", "target", "whole", "extra")
+    return mixed.select(F.col("key").alias(key), F.col("source").alias(source), *made, (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"))
 
 
 def mix_rows(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:

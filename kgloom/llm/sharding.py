@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import bisect
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .names import free
 from .scratch import Scratch
 
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
@@ -79,7 +83,8 @@ def splitters(keys: DataFrame, n: int, every: int) -> tuple[list[tuple[int, int]
         below = _bytes_below(keys, order)
         for k, (lo, lo_bytes, hi, hi_bytes) in list(open_.items()):
             want = total * k / n
-            inside = [(b, p) for p, b in zip(order, below) if lo < p < hi]
+            a, z = bisect.bisect_right(order, lo), bisect.bisect_left(order, hi)
+            inside = list(zip(below[a:z], order[a:z]))
             best = min(inside, key=lambda x: abs(x[0] - want), default=None)
             if best and abs(best[0] - want) <= near:
                 done[k] = best[1]
@@ -99,6 +104,25 @@ def splitters(keys: DataFrame, n: int, every: int) -> tuple[list[tuple[int, int]
     return [done[k] for k in sorted(done)], total
 
 
+def _part(cuts: list[tuple[int, int]]):
+    """The number of boundaries at or before (k1, k2), as a function of two columns.
+
+    Every so many-th boundary is counted first, then those of one stretch: about twice the square
+    root of all comparisons a row.
+    """
+    step = math.isqrt(len(cuts)) + 1
+    edges = lambda some: F.array(*(F.struct(F.lit(a).alias("k1"), F.lit(b).alias("k2")) for a, b in some))
+
+    def part(a: Column, b: Column) -> Column:
+        if not cuts:
+            return F.lit(0)
+        count = lambda some: F.size(F.filter(some, lambda x: (x.k1 < a) | ((x.k1 == a) & (x.k2 <= b))))
+        whole = count(edges(cuts[step - 1 :: step])) * step if len(cuts) >= step else F.lit(0)  # boundaries of full stretches below
+        return whole + count(F.slice(edges(cuts), whole + 1, F.lit(step)))
+
+    return part
+
+
 def shard_by_bytes(df: DataFrame, n_shards: int = 16, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df with size, shard and slot: shards of near-equal bytes, each in one total order.
 
@@ -119,29 +143,28 @@ def shard_by_bytes(df: DataFrame, n_shards: int = 16, key: str = "doc_id", text:
     total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     every = min(max(-(-total // (n_shards * RANGE_BYTES)), RANGES[0]), RANGES[1])
     cuts, _ = splitters(keys, n_shards * every, every)
-    edge = F.array(*(F.struct(F.lit(a).alias("k1"), F.lit(b).alias("k2")) for a, b in cuts))
-
-    def part(a: Column, b: Column) -> Column:
-        if not cuts:
-            return F.lit(0)
-        return F.size(F.filter(edge, lambda x: (x.k1 < a) | ((x.k1 == a) & (x.k2 <= b))))
-
+    part = _part(cuts)
     counts = dict(map(tuple, keys.groupBy(part(F.col("k1"), F.col("k2")).alias("part")).count().collect()))
     first, run = [], 0
     for p in range(n_shards * every):
         run = 0 if p % every == 0 else run
         first.append(run)
         run += counts.get(p, 0)
-    dealt = df.withColumns({"_k1": k1, "_k2": k2, "size": n_bytes(F.col(text))}).withColumn("_part", part(F.col("_k1"), F.col("_k2")))
-    inside = F.row_number().over(W.partitionBy("_part").orderBy("_k1", "_k2"))
+    one, two, place = free(df, "k1", "k2", "part")
+    dealt = df.withColumns({one: k1, two: k2, "size": n_bytes(F.col(text))}).withColumn(place, part(F.col(one), F.col(two)))
+    inside = F.row_number().over(W.partitionBy(place).orderBy(one, two))
     return dealt.withColumns(
         {
-            "shard": F.floor(F.col("_part") / every).cast("int"),
-            "slot": F.get(F.array(*map(F.lit, first)), F.col("_part")).cast("long") + inside - 1,
+            "shard": F.floor(F.col(place) / every).cast("int"),
+            "slot": F.get(F.array(*map(F.lit, first)), F.col(place)).cast("long") + inside - 1,
         }
-    ).drop("_k1", "_k2", "_part")
+    ).drop(one, two, place)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder of Parquet files for each shard."""
+    """One folder of Parquet files for each shard, in path, which must not be there yet.
+
+    All other columns are in the files, nulls included; the shard is in the folder's name. Rows that
+    repeat are written as often; an empty table writes no folder but the root.
+    """
     sharded.write.partitionBy("shard").parquet(path)

@@ -158,6 +158,44 @@ def test_clashing_columns(spark):
         assert out.columns == names and all(tuple(r)[3:] == data[0][3:] for r in out.collect())
 
 
+def test_columns_named_as_the_operators_own(spark):
+    """Whatever columns are called, they stay; key and source may have any name."""
+    names = ["doc_id", "text", "k1", "k2", "part", "at", "bucket", "of", "cut", "need", "_k1", "_part", "_at", "_bucket", "url", "host", "ids", "Whole"]
+    data = [(k, f"text {k % 5} of some", *range(len(names) - 2)) for k in range(20)]
+    df = spark.createDataFrame(data, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names[2:]))
+    out = sharding.shard_by_bytes(df, 3)
+    assert out.columns == [*names, "size", "shard", "slot"] and all(tuple(r)[2:-3] == data[0][2:] for r in out.collect())
+    mixed = mixing.mix(df.withColumnsRenamed({"at": "source"}).select("*", F.col("doc_id").alias("target")), "target", source="bucket")
+    assert mixed.columns == ["target", "bucket", "size", "source_size", "target", "whole", "extra", "taken"]
+    mixed = mixing.mix(df.select(F.col("doc_id").alias("_at"), F.col("of").alias("_bucket"), "text"), "_at", source="_bucket")
+    assert mixed.columns[:2] == ["_at", "_bucket"] and {r._at for r in mixed.collect()} == set(range(20))
+    sizes = df.withColumn("n", F.lit(4).cast("long"))
+    got = mixing.apply_mix(sizes, mixing.plan_mix(sizes, "doc_id", "of", "n"), "doc_id", "of", "n")
+    assert got.columns == [*names[:-1], "n", "source_size", "target", "whole", "extra"] and got.count() == 20
+    assert bpe.encode(df.drop("ids"), BPE).columns[: len(names) - 1] == [n for n in names if n != "ids"]
+    judged = url_filter.judge_urls(df.withColumns({"url": F.lit("http://a.com/en/x"), "page_id": F.col("doc_id")}))
+    assert judged.count() == 20 and all(r.host == "a.com" for r in judged.collect())
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 50, 400])
+def test_places_among_boundaries(spark, n):
+    import bisect
+    import random
+
+    rng = random.Random(n)
+    cuts = sorted({(rng.randrange(30), rng.randrange(9)) for _ in range(n)})
+    rows = [(a, b) for a in range(-1, 32) for b in range(10)]
+    part = sharding._part(cuts)
+    got = spark.createDataFrame(rows, "a long, b long").select("a", "b", part(F.col("a"), F.col("b")).alias("p")).collect()
+    assert all(r.p == bisect.bisect_right(cuts, (r.a, r.b)) for r in got)
+
+
+def test_shards_are_written(spark, docs, tmp_path):
+    sharding.write_shards(sharding.shard_by_bytes(docs, 3), f"{tmp_path}/s")
+    back = spark.read.parquet(f"{tmp_path}/s")
+    assert back.count() == docs.count() and set(back.columns) == {*docs.columns, "slot"}
+
+
 def test_lines_with_one_edit_are_linked(spark):
     import random
 
