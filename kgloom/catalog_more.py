@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog import EDGES, NODES, edges_of, nodes_of, query
+from .catalog_rank import wrapped_scoring
 from .functions import sequence as sq, structure as st, text as tx, vectors as vx
-from .operators import aggregates as ag, build, graph, joins, lookups as lk, metrics as me, ranking as rk, splits, validate
+from .operators import aggregates as ag, build, graph, joins, lookups as lk, metrics as me, ranking as rk, splits, tiles, validate
 from .session import table
 
 # lookups and filters
@@ -254,8 +255,11 @@ LINKS = """t AS (SELECT o_orderkey AS h, o_orderstatus AS r, o_custkey AS t FROM
 def _link_ranks(spark, sf_dir):
     known = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("h"), F.col("o_orderstatus").alias("r"), F.col("o_custkey").alias("t"))
     asked = known.where("h % 29 = 0")  # the held-out triples
+    factor = F.when(F.col("direction") == "tail", 17).otherwise(31)  # the score is (31 h + 17 t) % 997
     side = lambda d, c: asked.select(F.col("r").alias("relation"), F.lit(d).alias("direction"), F.col(c).alias("item")).distinct()
-    return rk.link_ranks(asked, side("tail", "t").unionAll(side("head", "h")), known, lambda r, h, t: (h * 31 + t * 17) % 997)
+    pool = side("tail", "t").unionAll(side("head", "h")).withColumn("b", F.col("item") * factor % 997)
+    anchor = lambda q: q.withColumn("a", F.col("anchor") * (48 - factor) % 997)
+    return rk.link_ranks(asked, pool, known, anchor, wrapped_scoring())
 
 
 @query(f"WITH {LINKS} SELECT count(*) AS n, round(avg(1.0 / rank), 6) AS mrr, round(avg(rank), 6) AS mr, round(avg((rank <= 10)::INT), 6) AS hits_10 FROM ranks")
@@ -271,6 +275,32 @@ def link_prediction_by_relation(spark, sf_dir):
     return rk.link_metrics(_link_ranks(spark, sf_dir), True).select("relation", "n", *(F.round(c, 6).alias(c) for c in ("mrr", "head_mrr", "tail_mrr")))
 
 
+@query(
+    """
+    WITH v AS (SELECT vec_id, label % 4 AS r, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    t AS (SELECT a.vec_id AS h, a.r, b.vec_id AS t, b.vec_id - a.vec_id AS gap FROM v a JOIN v b ON b.vec_id = a.vec_id + 1 OR b.vec_id = a.vec_id + 2),
+    k AS (SELECT 'tail' AS direction, r, h AS anchor, t AS item, gap FROM t UNION ALL SELECT 'head', r, t, h, gap FROM t),
+    s AS (SELECT k.*, p.vec_id AS other, list_inner_product(x.e, y.e) AS own, list_inner_product(x.e, p.e) AS score
+          FROM k JOIN v x ON x.vec_id = anchor JOIN v y ON y.vec_id = item CROSS JOIN v p WHERE gap = 1),
+    g AS (SELECT s.direction, s.r, s.anchor, s.item, 1 + count(*) FILTER (WHERE score > own AND k.item IS NULL) AS rank
+          FROM s LEFT JOIN k ON k.direction = s.direction AND k.r = s.r AND k.anchor = s.anchor AND k.item = s.other GROUP BY ALL)
+    SELECT CAST(r AS INTEGER) AS relation, count(*) AS n, round(avg(1.0 / rank), 6) AS mrr, round(avg(rank), 6) AS mr,
+           round(avg(1.0 / rank) FILTER (WHERE direction = 'head'), 6) AS head_mrr, round(avg(1.0 / rank) FILTER (WHERE direction = 'tail'), 6) AS tail_mrr FROM g GROUP BY r
+    """
+)
+def vector_link_prediction(spark, sf_dir):
+    """Filtered ranks of neighbouring vectors by inner product, each among all vectors."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", (F.col("label") % 4).alias("r"))
+    known = v.select(F.col("vec_id").alias("h"), "r", F.explode(F.array(F.col("vec_id") + 1, F.col("vec_id") + 2)).alias("t")).join(v.select(F.col("vec_id").alias("t")), "t", "left_semi")
+    items = tiles.with_direction(v.select(F.col("vec_id").alias("item"), "embedding"), "embedding", "item")
+    kinds = F.explode(F.array(*(F.struct(F.lit(d).alias("direction"), F.lit(r).cast("int").alias("relation")) for d in ("head", "tail") for r in range(4)))).alias("kind")
+    pool = items.select("*", kinds).select("kind.*", "item", "embedding", "pivot", "along")
+    anchors = v.select(F.col("vec_id").alias("anchor"), F.col("embedding").alias("x"))
+    scoring = tiles.by_inner_product("x", "embedding", ("pivot", "along"))
+    ranks = rk.link_ranks(known.where("t = h + 1"), pool, known, lambda q: q.join(anchors, "anchor"), scoring)
+    return rk.link_metrics(ranks, True).select("relation", "n", *(F.round(c, 6).alias(c) for c in ("mrr", "mr", "head_mrr", "tail_mrr")))
+
+
 @query(
     """
     WITH i AS (SELECT p_partkey AS item, p_brand AS class FROM part), q AS (SELECT s_suppkey AS query, CASE WHEN s_suppkey % 3 > 0 THEN (SELECT p_brand FROM part WHERE p_partkey = s_suppkey) END AS class FROM supplier)
@@ -327,7 +357,7 @@ def alignment_mrr(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     q = v.where("vec_id % 2 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"))
     p = v.where("vec_id % 2 = 1").select((F.col("vec_id") - 1).alias("id"), F.col("embedding").alias("y"))
-    return rk.alignment(q, p, vx.dot).select(F.round("mrr", 6).alias("mrr"), "n")
+    return rk.alignment(q, p).select(F.round("mrr", 6).alias("mrr"), "n")
 
 
 @query(f"WITH {SPEND}, t AS (SELECT * FROM (SELECT q, item, round(score, 2) AS score, row_number() OVER (PARTITION BY q ORDER BY round(score, 2) DESC, item) AS position FROM s WHERE item % 5 > 0)) SELECT q, item, score, CAST(position AS INTEGER) AS position FROM t WHERE position <= 7")

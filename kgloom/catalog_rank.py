@@ -7,6 +7,7 @@ from pyspark.sql import Window as W, functions as F
 from .catalog import EDGES, edges_of, nodes_of, query
 from .functions import vectors as vx
 from .operators import aggregates as ag, graph, metrics as me, ranking as rk, splits
+from .operators.tiles import Scoring, between, least_and_most
 from .session import table
 
 # ranking: suppliers are queries, parts items, even orders the training part
@@ -44,6 +45,26 @@ def popularity_mrr(spark, sf_dir):
     return out.select("n", *(F.round(c, 6).alias(c) for c in ("mrr", "mr", "hits_10")))
 
 
+def wrapped_scoring(tier=None) -> Scoring:
+    """1000 * tier + (a + b) % 997, of the asking row's a and the item's tier and b."""
+    whole = (lambda x: tier(x)) if tier else (lambda x: F.lit(0))  # noqa: PLW0108
+
+    def of_items(xs):
+        return least_and_most(xs, whole, ("low_tier", "high_tier")) | least_and_most(xs, lambda x: x["b"])
+
+    def of_tiles(ts):
+        part = lambda n: F.transform(ts, lambda t: t[n])
+        return {"low_tier": F.array_min(part("low_tier")), "lo": F.array_min(part("lo")), "high_tier": F.array_max(part("high_tier")), "hi": F.array_max(part("hi"))}
+
+    def bounds(t):
+        at = lambda c: (F.col("a") + c) % 997
+        whole_run = (t["low_tier"] == t["high_tier"]) & (F.floor((F.col("a") + t["lo"]) / 997) == F.floor((F.col("a") + t["hi"]) / 997))
+        lo, hi = F.when(whole_run, at(t["lo"])).otherwise(0), F.when(whole_run, at(t["hi"])).otherwise(996)
+        return between(1000 * t["low_tier"] + lo, 1000 * t["high_tier"] + hi)
+
+    return Scoring(("freq", "b") if tier else ("b",), of_items, of_tiles, bounds, lambda x: 1000 * whole(x) + (F.col("a") + x["b"]) % 997)
+
+
 @query(
     f"""
     WITH {PAIRS}, s AS (SELECT s_suppkey AS q, item, freq * 1000 + (s_suppkey * 31 + item * 17) % 997 AS score FROM supplier, p),
@@ -58,7 +79,11 @@ def filtered_rank_mrr(spark, sf_dir):
     """Each held item is ranked among all items that its query does not know otherwise."""
     count, train, held = _pairs(spark, sf_dir)
     items = count.groupBy("item").agg(F.count("*").alias("freq"))
-    ranks = rk.tiered_ranks(items, held, train.unionAll(held), "q", "item", "freq", lambda q, i: (q * 31 + i * 17) % 997)
+    items = items.withColumn("b", F.col("item") * 17 % 997)
+    wrapped = wrapped_scoring(lambda x: x["freq"])
+    asks = held.join(items, "item").withColumn("a", F.col("q") * 31 % 997)
+    asks = asks.select("q", "item", "a", wrapped.score({"freq": F.col("freq"), "b": F.col("b")}).alias("own"))
+    ranks = rk.filtered_ranks(asks, items, train.unionAll(held), [], ["q"], "item", wrapped)
     out = rk.rank_metrics(ranks, ["q"])
     return out.select("q", "n", F.round("mrr", 6).alias("mrr"), F.round("hits_50", 6).alias("hits_50"))
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .ranges import places, ranged, running
+from .ranges import places
+from .tiles import LOWEST, Scoring, by_inner_product, by_value, count_higher, with_direction
 
 CUTOFFS = (1, 3, 5, 10, 50)
 
@@ -16,19 +17,31 @@ def optimistic_rank(scores: DataFrame, by: list[str], score: str = "score") -> D
 
 
 def target_ranks(scores: DataFrame, targets: DataFrame, by: list[str], item: str = "item", score: str = "score") -> DataFrame:
-    """(by, item, rank) of targets only, by counting higher scores: no list is sorted.
+    """(by, item, rank) of targets only, by counting higher scores in tiles: no list is sorted.
 
     A target that is no candidate ranks behind all of them.
     """
-    own = targets.select(*by, item).join(scores, [*by, item], "left").select(*by, F.col(item), F.col(score).alias("_own"))
-    others = scores.select(*by, F.nanvl(F.col(score), F.lit(float("-inf"))).alias("_score"))
-    floor_ = F.nanvl(F.coalesce("_own", F.lit(float("-inf"))), F.lit(float("-inf")))
-    found = (
-        own.join(others, by, "left")
-        .groupBy(*by, item, "_own")
-        .agg(F.count("_score").alias("_n"), F.coalesce(F.sum((F.col("_score") > floor_).cast("long")), F.lit(0)).alias("_higher"))
-    )
-    return found.select(*by, item, (1 + F.when(F.col("_own").isNull(), F.col("_n")).otherwise(F.col("_higher"))).alias("rank"))
+    own = targets.select(*by, item).distinct().join(scores.select(*by, item, F.col(score).alias("_own")), [*by, item], "left")
+    there = own.where("_own is not null").withColumn("_own", F.nanvl(F.col("_own").cast("double"), F.lit(LOWEST)))
+    found = count_higher(there, {"_n": (scores.select(*by, item, score), by)}, item, by_value(score), "_own").select(*by, item, (1 + F.col("_n")).alias("rank"))
+    lack = own.where("_own is null").select(*by, item)
+    sizes = scores.groupBy(*by).agg(F.count("*").alias("_n"))
+    last = lack.join(sizes, by, "left") if by else lack.crossJoin(F.broadcast(sizes))  # one row
+    return found.unionAll(last.select(*by, item, (1 + F.coalesce("_n", F.lit(0))).alias("rank")))
+
+
+def restricted_ranks(scores: DataFrame, allowed: DataFrame, targets: DataFrame, by: list[str], item: str = "item", score: str = "score") -> DataFrame:
+    """(by, item, rank) of targets among the items that allowed(by, item) leaves their query.
+
+    The target is always a candidate, whether allowed or not: it ranks by its own score. A query
+    without any allowed item has all items. A target without a score is left out.
+    """
+    candidates = scores.join(allowed.select(*by, item).distinct(), [*by, item], "left_semi")
+    free = targets.select(by).distinct().join(allowed.select(by).distinct(), by, "left_anti")
+    candidates = candidates.unionByName(scores.join(free, by, "left_semi").select(candidates.columns)).select(*by, item, score)
+    clean = F.nanvl(F.col(score).cast("double"), F.lit(LOWEST)).alias("_own")
+    own = targets.select(*by, item).distinct().join(scores.select(*by, item, clean), [*by, item])
+    return count_higher(own, {"_n": (candidates, by)}, item, by_value(score), "_own").select(*by, item, (1 + F.col("_n")).alias("rank"))
 
 
 def filtered(scores: DataFrame, known: DataFrame, targets: DataFrame, by: list[str], item: str = "item") -> DataFrame:
@@ -37,27 +50,17 @@ def filtered(scores: DataFrame, known: DataFrame, targets: DataFrame, by: list[s
     return scores.join(others, [*by, item], "left_anti")
 
 
-def tiered_ranks(items: DataFrame, targets: DataFrame, known: DataFrame, query: str, item: str, tier: str, minor) -> DataFrame:
-    """(query, item, rank) of targets among all items(item, tier) but the query's known ones.
+def filtered_ranks(asks: DataFrame, items: DataFrame, known: DataFrame, by: list[str], query: list[str], item: str, scoring: Scoring) -> DataFrame:
+    """asks(query, item, own, ...) with `rank` among all items of their group but the query's known ones.
 
-    For scores of two parts: a tier that all queries share and minor(query, item), a column that
-    only orders items within a tier. Items of higher tiers are counted once for all queries and the
-    query's known ones there taken off; only items of the target's own tier are scored. So no
-    query meets all items. A target counts against itself in no case, known(query, item) may hold it.
+    items(by, item, ...) and scoring as count_higher() takes them; known(query, item) may hold the
+    target, which never counts against itself. The known items that score higher are counted in
+    tiles of their query and taken off, so a query with very many of them is no list either.
     """
-    sizes = items.groupBy(tier).agg(F.count("*").alias("_n"))
-    above = running(ranged(sizes, [], [F.desc(tier)]), [], [F.desc(tier)], F.sum, {"_above": "_n"}, inclusive=False)
-    own = targets.select(query, item).distinct().join(items, item).join(above.select(tier, F.coalesce("_above", F.lit(0)).alias("_above")), tier)
-    own = own.withColumn("_own", minor(F.col(query), F.col(item)))
-    seen = known.select(query, item).distinct().join(items, item).select(query, tier, minor(F.col(query), F.col(item)).alias("_own"), F.lit(1).alias("_n"))
-    values = seen.unionAll(own.select(query, tier, "_own", F.lit(0))).groupBy(query, tier, "_own").agg(F.sum("_n").alias("_n"))
-    order = [F.desc(tier), F.desc("_own")]
-    better = running(ranged(values, [query], order), [query], order, F.sum, {"_off": "_n"}, inclusive=False)
-    off = own.join(better.select(query, tier, "_own", F.coalesce("_off", F.lit(0)).alias("_off")), [query, tier, "_own"])
-    peers = items.select(F.col(item).alias("_peer"), tier)
-    same = own.join(peers, tier).where(minor(F.col(query), F.col("_peer")) > F.col("_own")).groupBy(query, item).agg(F.count("*").alias("_same"))
-    found = off.join(same, [query, item], "left")
-    return found.select(query, item, (1 + F.col("_above") + F.coalesce("_same", F.lit(0)) - F.col("_off")).alias("rank"))
+    seen = known.select(*query, item).distinct().join(items, [*(b for b in by if b in query), item])
+    seen = seen.select(*query, *(c for c in items.columns if c not in query))
+    found = count_higher(asks, {"_above": (items, by), "_off": (seen, query)}, item, scoring)
+    return found.select(*asks.columns, (1 + F.col("_above") - F.col("_off")).alias("rank"))
 
 
 def rank_metrics(ranks: DataFrame, by: list[str] | None = None, n_items: int | None = None, cutoffs=CUTOFFS) -> DataFrame:
@@ -194,26 +197,21 @@ def class_candidates(queries: DataFrame, items: DataFrame, query_class: DataFram
     return known.unionAll(of.where(F.col("class").isNull()).select("query").join(labelled.select("item").distinct()))
 
 
-def link_ranks(triples: DataFrame, pool: DataFrame, known: DataFrame, score) -> DataFrame:
+def link_ranks(triples: DataFrame, pool: DataFrame, known: DataFrame, anchor, scoring: Scoring) -> DataFrame:
     """(direction, relation, anchor, item, rank): filtered ranks of both ends of triples(h, r, t).
 
-    Each triple asks for its tail and for its head among pool(relation, direction, item), the items
-    allowed there, without the anchor's other items in known(h, r, t); the target is always one.
-    score(relation, head, tail) is a column. Candidates are scored and counted in one pass, so no list
-    is sorted or kept; the pool is what a relation's type allows.
+    Each triple asks for its tail and for its head among pool(relation, direction, item, ...), the
+    items that a relation's type allows there with what scoring needs of them, without the anchor's
+    other items in known(h, r, t). The pool must hold the targets. anchor(asked) adds to
+    asked(direction, relation, anchor, item) the columns of the asking row that scoring uses. No
+    asked row meets all of the pool: candidates are counted in tiles.
     """
-    asked = two_way_queries(triples).distinct()
-    seen = two_way_queries(known).distinct().select("direction", "relation", "anchor", F.col("item").alias("other"))
-    of = lambda item: F.when(F.col("direction") == "tail", score(F.col("relation"), F.col("anchor"), item)).otherwise(score(F.col("relation"), item, F.col("anchor")))
-    own = asked.withColumn("own", of(F.col("item")))
-    keys = ["direction", "relation", "anchor", "item"]
-    met = own.join(pool.select("relation", "direction", F.col("item").alias("other")), ["relation", "direction"])
-    higher = met.groupBy(*keys).agg(F.count_if((F.col("other") != F.col("item")) & (of(F.col("other")) > F.col("own"))).alias("_higher"))
-    inside = pool.select("relation", "direction", F.col("item").alias("other"))
-    off = own.join(seen, ["direction", "relation", "anchor"]).join(inside, ["relation", "direction", "other"], "left_semi")
-    off = off.groupBy(*keys).agg(F.count_if((F.col("other") != F.col("item")) & (of(F.col("other")) > F.col("own"))).alias("_off"))
-    out = asked.join(higher, keys, "left").join(off, keys, "left")
-    return out.select(*keys, (1 + F.coalesce("_higher", F.lit(0)) - F.coalesce("_off", F.lit(0))).alias("rank"))
+    pair = ["direction", "relation"]
+    asked = anchor(two_way_queries(triples).distinct())
+    own = asked.join(pool.select(*pair, "item", F.struct(*(c for c in pool.columns if c not in pair)).alias("_x")), [*pair, "item"])
+    own = scoring.prepared(own).withColumn("own", scoring.score(F.col("_x"))).select(*asked.columns, "own")
+    seen = two_way_queries(known).distinct()
+    return filtered_ranks(own, pool, seen, pair, [*pair, "anchor"], "item", scoring).select(*pair, "anchor", "item", "rank")
 
 
 def link_metrics(ranks: DataFrame, per_relation: bool = False, cutoffs=CUTOFFS) -> DataFrame:
@@ -237,13 +235,14 @@ def novel_hits(scores: DataFrame, held: DataFrame, by: list[str], k: int) -> Dat
     return novel.select(by).distinct().join(found, by, "left").agg(F.coalesce(F.avg(F.coalesce("_hit", F.lit(0))), F.lit(0.0)).alias("hits"))
 
 
-def alignment(queries: DataFrame, partners: DataFrame, score) -> DataFrame:
-    """(mrr, n): rank of each query's own partner among all partners by score(x, y).
+def alignment(queries: DataFrame, partners: DataFrame) -> DataFrame:
+    """(mrr, n): rank of each query's own partner among all partners by inner product.
 
-    queries(id, x), partners(id, y). Every query meets every partner, as the measure asks.
+    queries(id, x), partners(id, y). Partners stand in tiles of like directions, and only tiles
+    that straddle the own partner's score are opened.
     """
-    own = queries.join(partners, "id").select("id", "x", score(F.col("x"), F.col("y")).alias("_own"))
-    met = own.join(partners.select(F.col("id").alias("_other"), "y")).where("id <> _other")
-    higher = met.groupBy("id").agg(F.count_if(score(F.col("x"), F.col("y")) > F.col("_own")).alias("_h"))
-    ranks = own.select("id").join(higher, "id", "left").select((1 + F.coalesce("_h", F.lit(0))).alias("rank"))
+    placed = with_direction(partners, "y", "id")
+    scoring = by_inner_product("x", "y", ("pivot", "along"))
+    own = queries.join(partners.select("id", F.struct("y").alias("_y")), "id").withColumn("own", scoring.score(F.col("_y"))).drop("_y")
+    ranks = count_higher(own, {"_n": (placed, [])}, "id", scoring).select((1 + F.col("_n")).alias("rank"))
     return ranks.agg(F.avg(1 / F.col("rank")).alias("mrr"), F.count("*").alias("n"))
