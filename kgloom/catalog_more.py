@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .catalog import EDGES, NODES, edges_of, nodes_of, query
 from .catalog_rank import wrapped_scoring
 from .functions import sequence as sq, structure as st, text as tx, vectors as vx
-from .operators import aggregates as ag, build, graph, joins, lookups as lk, metrics as me, ranking as rk, splits, tiles, validate
+from .operators import aggregates as ag, build, clustering, graph, joins, lookups as lk, metrics as me, ranking as rk, splits, tiles, validate
 from .session import table
 
 # lookups and filters
@@ -658,3 +658,13 @@ def id_and_text_rules(spark, sf_dir):
         token["position"].cast("int").alias("position"), tx.last_segment(F.concat(F.lit("http://a.b/c/"), F.col("o_custkey").cast("string"))).alias("segment"),
         tx.trailing_digits(F.concat(F.lit("Asn"), F.col("o_custkey").cast("string"))).cast("int").alias("digits"),
     )
+
+
+# clustering
+
+
+@query()
+def ward_clusters(spark, sf_dir):
+    """Documents' sources by their languages and length classes, in at most four clusters by Ward's method."""
+    d = table(spark, sf_dir, "documents").select("source", F.concat_ws("|", "lang", F.floor(F.log2(F.col("n_chars") + 1)).cast("string")).alias("kind")).distinct()
+    return clustering.set_clusters(d, "source", "kind", d.select("source"), 4)
