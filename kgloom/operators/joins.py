@@ -96,14 +96,43 @@ def inherit(items: DataFrame, direct: DataFrame, parents: DataFrame) -> DataFram
     return own.unionAll(up).unionAll(down)
 
 
+#: Characters of a gram of the containment join; shorter texts are one gram.
+GRAM = 3
+
+
+def contained_pairs(small: DataFrame, large: DataFrame) -> DataFrame:
+    """(small, large): distinct texts of small(t) and the texts of large(t) that contain them.
+
+    large is indexed by its texts' grams. A small text waits at that of its own grams which fewest
+    large texts have, and only texts that have it are searched for the small one. A text with a gram
+    that no large text has is nowhere. The empty text, which has no gram, must not be among small.
+    """
+    size = F.least(F.length("t"), F.lit(GRAM))
+    windows = lambda n: F.transform(F.sequence(F.lit(1), F.length("t") - n + 1), lambda k: F.substring(F.col("t"), k, n))
+    tiny = [F.when(F.length("t") >= n, windows(F.lit(n))).otherwise(F.array().cast("array<string>")) for n in range(1, GRAM + 1)]
+    index = large.select("t", F.explode(F.array_distinct(F.concat(*tiny))).alias("gram"))
+    often = index.groupBy("gram").agg(F.count("*").alias("n"))
+    needed = small.where("t <> ''").select("t", F.explode(F.array_distinct(windows(size))).alias("gram"))
+    rarest = needed.join(often, "gram", "left").groupBy("t").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
+    waits = rarest.where("least.n > 0").select(F.col("t").alias("small"), "least.gram")
+    return waits.join(index.select("gram", F.col("t").alias("large")), "gram").where(F.col("large").contains(F.col("small"))).select("small", "large")
+
+
 def contains_match(a: DataFrame, b: DataFrame, left: str, right: str) -> DataFrame:
     """(left, right): for each name the least name that contains it or is contained in it, letter case ignored.
 
-    A theta join over two lists of distinct names (tissues), not over rows.
+    An empty name is contained in all. Nulls match nothing.
     """
-    x, y = a.select(left).distinct(), b.select(right).distinct()
-    low, high = F.lower(left), F.lower(right)
-    return x.join(y, low.contains(high) | high.contains(low)).groupBy(left).agg(F.min(right).alias(right))
+    x = a.select(F.col(left).alias("x"), F.lower(left).alias("t")).where("x is not null").distinct()
+    y = b.select(F.col(right).alias("y"), F.lower(right).alias("t")).where("y is not null").distinct()
+    low = y.groupBy("t").agg(F.min("y").alias("y"))  # names alike but for letter case
+    inner = contained_pairs(low.select("t"), x.select("t").distinct()).select(F.col("large").alias("t"), F.col("small").alias("other"))
+    outer = contained_pairs(x.select("t").distinct(), low.select("t")).select(F.col("small").alias("t"), F.col("large").alias("other"))
+    named = inner.unionAll(outer).join(low.select(F.col("t").alias("other"), "y"), "other").groupBy("t").agg(F.min("y").alias("y"))
+    least = low.agg(F.min("y").alias("least"), F.min(F.when(F.col("t") == "", F.col("y"))).alias("blank"))  # one row
+    found = x.join(named, "t", "left").crossJoin(F.broadcast(least))
+    every = F.when(F.col("t") == "", F.col("least")).otherwise(F.least("y", "blank"))
+    return found.select(F.col("x").alias(left), every.alias(right)).where(F.col(right).isNotNull())
 
 
 def two_routes(first: DataFrame, second: DataFrame, columns: list[str]) -> DataFrame:

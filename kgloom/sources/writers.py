@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -57,3 +59,59 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
     """(path, bytes, sha256) of every file below a folder (K9)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def _files(spark: SparkSession, path: str):
+    """The store's file system for path, and its path class."""
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    return of(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), of
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The committed versions of a table of replace_table(), oldest first."""
+    fs, of = _files(spark, path)
+    there = fs.listStatus(of(f"{path}/commits")) if fs.exists(of(f"{path}/commits")) else []
+    return sorted(int(f.getPath().getName()) for f in there if f.getPath().getName().isdigit())
+
+
+def replace_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), keep: int = 2) -> int:
+    """Replace the table at path as a whole or not at all; the number of the new version (K3).
+
+    The rows are written to a folder of their own, which nobody reads yet. A small commit file that
+    names it is moved into place last, and readers go by the newest commit file, so a write that
+    fails half-way, or a lost driver, leaves the old table as it is. df may read the old version.
+    Of two writers at once the second fails. All but the newest `keep` versions are removed.
+    """
+    spark = df.sparkSession
+    fs, of = _files(spark, path)
+    done = versions(spark, path)
+    version = (done[-1] if done else 0) + 1
+    folder = f"data-{version}-{uuid.uuid4().hex[:12]}"
+    df.write.partitionBy(*partition_by).parquet(f"{path}/{folder}")
+    fs.mkdirs(of(f"{path}/commits"))
+    pending = of(f"{path}/commits/.{folder}")
+    out = fs.create(pending, False)
+    out.write(bytearray(folder.encode()))
+    out.close()
+    final = of(f"{path}/commits/{version}")
+    if fs.exists(final) or not fs.rename(pending, final):
+        fs.delete(pending, False)
+        fs.delete(of(f"{path}/{folder}"), True)
+        raise RuntimeError(f"version {version} of {path} is another writer's")
+    for old in done[: max(0, len(done) + 1 - keep)]:
+        where = _folder(spark, path, old)
+        fs.delete(of(f"{path}/commits/{old}"), False)
+        fs.delete(of(f"{path}/{where}"), True)
+    return version
+
+
+def _folder(spark: SparkSession, path: str, version: int) -> str:
+    return spark.read.text(f"{path}/commits/{version}").first()[0]
+
+
+def read_table(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The newest committed version of a table of replace_table(), or one that is still kept."""
+    done = versions(spark, path)
+    if not done or (version and version not in done):
+        raise FileNotFoundError(f"{path} has no committed version" + (f" {version}" if version else ""))
+    return spark.read.parquet(f"{path}/{_folder(spark, path, version or done[-1])}")
