@@ -22,6 +22,8 @@ SIMILARITY = 0.8
 SAMPLE, SPREAD = 384, 3.0
 #: Lines of a band that are still to be compared meet in pairs of blocks of about so many.
 BLOCK = 64
+#: Lines up to so many characters stand in the blocks as text; pairs with a longer one fetch both texts.
+CARRIED = 1 << 14
 #: The set of candidate lines that goes to every task has up to 2**SKETCH_BITS bits (2 MB), about
 #: SPARE for each candidate; if there are more candidates, all lines are exchanged instead.
 SKETCH_BITS, SPARE = 24, 8
@@ -171,16 +173,18 @@ def _blocks(members: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame
     kinds = counts.withColumn("kind", kind)
     sizes = kinds.groupBy("b", "rest", "kind").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("nb"))
     dealt = dealt.join(kinds.drop("n").join(sizes, ["b", "rest", "kind"]), ["b", "rest", "low"])
-    dealt = dealt.withColumn("k", F.pmod(F.xxhash64("h", F.lit(1)), "nb").cast("int")).join(texts.select("h", "sample"), "h")
-    blocks = dealt.groupBy("b", "rest", "kind", "k").agg(F.collect_list(F.struct("h", "c", "bands", "sample")).alias("x"))  # about BLOCK lines
+    text = F.when(F.length("line") <= CARRIED, F.col("line")).alias("line")
+    dealt = dealt.withColumn("k", F.pmod(F.xxhash64("h", F.lit(1)), "nb").cast("int")).join(texts.select("h", "sample", text), "h")
+    blocks = dealt.groupBy("b", "rest", "kind", "k").agg(F.collect_list(F.struct("h", "c", "bands", "sample", "line")).alias("x"))  # about BLOCK lines
     return scratch.save(blocks, "blocks")
 
 
 def _block_links(members: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b): components to join, by exact similarity among the lines members(b, h, c, rest) of each band.
 
-    Two blocks of a band are one row, within which lines are compared: rows grow with the number of
-    blocks, not of pairs, and only likely pairs leave a row. Blocks of the component of a band's
+    Two blocks of a band are one row, within which lines are compared, by samples and then exactly:
+    rows grow with the number of blocks, not of pairs, and only links leave a row (and likely pairs
+    with a line too long to stand in a block, which are compared outside). Blocks of the component of a band's
     lowest line do not meet each other, nor do blocks of one kind below the band. Lines of one
     component are not compared, nor is a pair in other bands than the lowest that it shares: there
     it is compared as well.
@@ -194,12 +198,18 @@ def _block_links(members: DataFrame, texts: DataFrame, scratch: Scratch) -> Data
     def near(p, q):
         other = (p["c"] < q["c"]) | ((p["c"] > q["c"]) & F.col("apart"))  # within one block each pair once
         lowest = F.array_min(F.array_intersect(p["bands"], q["bands"])) == F.col("b")
-        return F.when(other, F.when(lowest, _likely(p["sample"], q["sample"])).otherwise(False)).otherwise(False)
+        shared = F.size(F.array_intersect(F.col("mine"), _all_shingles(q["line"])))
+        exact = F.transform(F.array(shared), lambda n: n >= SIMILARITY * (p["sample"]["n"] + q["sample"]["n"] - n))[0]
+        similar = F.when(p["line"].isNull() | q["line"].isNull(), True).otherwise(exact)
+        return F.when(other, F.when(lowest, F.when(_likely(p["sample"], q["sample"]), similar).otherwise(False)).otherwise(False)).otherwise(False)
 
     each = both.select("b", "y", (F.col("p") != F.col("q")).alias("apart"), F.explode("x").alias("one"))
-    found = each.select("one.h", "one.c", F.explode(F.filter("y", lambda q: near(F.col("one"), q))).alias("q"))
-    pairs = found.select(F.col("h").alias("a"), F.col("q.h").alias("b"), F.col("c").alias("p"), F.col("q.c").alias("q"))
-    return _similar_pairs(pairs, texts, False).select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()
+    each = each.select("b", "y", "apart", "one", _all_shingles(F.col("one.line")).alias("mine"))
+    links = F.transform(F.filter("y", lambda q: near(F.col("one"), q)), lambda q: F.struct(q["h"].alias("h"), q["c"].alias("c"), (q["line"].isNull() | F.col("one.line").isNull()).alias("open")))
+    found = each.select("one.h", "one.c", F.explode(links).alias("q"))
+    pairs = scratch.save(found.select(F.col("h").alias("a"), F.col("q.h").alias("b"), F.col("c").alias("p"), F.col("q.c").alias("q"), "q.open"), "pairs")
+    long = _similar_pairs(pairs.where("open").drop("open"), texts, False)
+    return pairs.where("not open").drop("open").unionByName(long).select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()
 
 
 def _components(shared: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:

@@ -158,6 +158,30 @@ def test_clashing_columns(spark):
         assert out.columns == names and all(tuple(r)[3:] == data[0][3:] for r in out.collect())
 
 
+def test_lines_too_long_for_a_block(spark, monkeypatch):
+    """Groups of near lines come out alike whether lines stand in the blocks or fetch their texts."""
+    import random
+
+    rng = random.Random(6)
+    base = ["".join(rng.choice("abcdefghij ") for _ in range(300)) for _ in range(3)]
+    data = []
+    for k in range(90):
+        line = list(base[k % 3])
+        for _ in range(rng.randrange(6)):
+            line[rng.randrange(300)] = "#"
+        data.append((k, "".join(line)))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    seen = []
+    for most in (1 << 14, 0, 250):
+        monkeypatch.setattr(line_dedup, "CARRIED", most)
+        monkeypatch.setattr(line_dedup, "BLOCK", 8)
+        seen.append({r.doc_id: r.component_doc for r in line_dedup.line_components(df).collect()})
+    assert seen[0] == seen[1] == seen[2] and len(set(seen[0].values())) < 60
+    sets = [shingles(t) for _, t in data]
+    near = [(a, b) for a in range(90) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert sum(seen[0][a] == seen[0][b] for a, b in near) >= 0.99 * len(near) > 200
+
+
 def test_columns_named_as_the_operators_own(spark):
     """Whatever columns are called, they stay; key and source may have any name."""
     names = ["doc_id", "text", "k1", "k2", "part", "at", "bucket", "of", "cut", "need", "_k1", "_part", "_at", "_bucket", "url", "host", "ids", "Whole"]
