@@ -278,12 +278,6 @@ def self_loops(spark, sf_dir):
     return edges.where("source_id = target_id").groupBy("source_id", "target_id").agg(F.count("*").alias("n"))
 
 
-@query()
-def graph_report(spark, sf_dir):
-    """All checks of the typed graph, one row each."""
-    return validate.check_graph(nodes_of(spark, sf_dir), edges_of(spark, sf_dir))
-
-
 @query(
     """
     SELECT check_name AS "check", 'warning' AS severity, CAST(n AS BIGINT) AS n FROM (
@@ -554,4 +548,4 @@ def additive_scores(spark, sf_dir):
     return ag.additive_scores(x, i).withColumn("score", F.round("score", 6))
 
 
-from . import catalog_more, catalog_rank  # noqa: E402, F401  registers the rest
+from . import catalog_more, catalog_rank, catalog_sites  # noqa: E402, F401  registers the rest

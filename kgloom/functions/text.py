@@ -34,6 +34,7 @@ ID_PATTERNS = {
     "compound": r"^CHEMBL\d+$",
     "site": r"^SITE::[A-Z0-9]+-?\d*::\d+::[A-Z]$",
     "location": r"^LOC::[a-z_]+$",
+    "cellular_location": r"^LOC::[a-z_]+$",
     "reaction": r"^rxn\..+",
     "motif": r"^GGM\.\d+$",
 }

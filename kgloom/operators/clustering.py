@@ -10,6 +10,10 @@ from .lookups import jaccard
 from .ranges import places
 
 
+#: Clusters of a class that are paired in one part, about.
+TURN = 64
+
+
 def _squared(n_a: Column, s_a: Column, n_b: Column, s_b: Column, shared: Column | float = 0.0) -> Column:
     """Ward's squared distance of two clusters from their sizes and sums.
 
@@ -48,8 +52,10 @@ def _unlike(clusters: DataFrame) -> DataFrame:
     members = clusters.join(best.where("best is not null"), ["n", "s"])
     a, b = F.least("id", "best.to"), F.greatest("id", "best.to")
     other = members.select(a.alias("a"), b.alias("b"), F.col("best.d2").alias("d2"), F.lit(2).alias("kind"), F.col("id").alias("asks"))
-    turn = places(clusters.join(kind.where("m > 1").select("n", "s"), ["n", "s"], "left_semi"), ["n", "s"], ["id"], "place")
-    pair = turn.groupBy("n", "s", F.floor((F.col("place") - 1) / 2).alias("k")).agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
+    some = F.pmod(F.xxhash64("id"), F.greatest(F.floor(F.col("m") / TURN), F.lit(1).cast("long"))).alias("some")  # a large class in parts
+    turn = clusters.join(kind.where("m > 1").select("n", "s", "m"), ["n", "s"]).select("n", "s", "id", some)
+    turn = turn.withColumn("place", F.row_number().over(W.partitionBy("n", "s", "some").orderBy("id")))
+    pair = turn.groupBy("n", "s", "some", F.floor((F.col("place") - 1) / 2).alias("k")).agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
     same = pair.select("a", "b", _squared(F.col("n"), F.col("s"), F.col("n"), F.col("s")).alias("d2"), F.lit(1).alias("kind"))
     both = same.select("a", "b", "d2", "kind", F.explode(F.array("a", "b")).alias("asks"))
     return other.unionByName(both)

@@ -364,3 +364,26 @@ def test_position_of_an_isoform(spark):
     rows = [("ACDNA", "ACDNA", 4), ("ACDNA", "ACDQA", 4), ("ACDNA", "ACDNG", 4), ("MNKTA", "MNKTANKT", 2)]
     got = spark.createDataFrame(rows, "i string, c string, p int").select(sq.canonical_position("i", "c", "p")).collect()
     assert [r[0] for r in got] == [4, None, 4, 2]
+
+
+def test_report_of_a_small_graph(spark):
+    """Every kind of finding once, repeated ids and edges, null metadata; the order of the checks."""
+    site = "SITE::P12345-1::5::N"
+    nodes = [("P12345", "protein", "{}"), ("P12345", "protein", '{"a": 1}'), (site, "site", None), ("SITE::P12345-2::5::N", "site", " "), ("SITE::P99999::7::B", "site", "x"), ("SITE::x", "site", "x"), ("G1", "glycan", "x"), ("lonely", "disease", "x")]
+    edges = [("P12345", site, "has_site")] * 3 + [(site, "SITE::P99999::7::B", "ptm_crosstalk"), (site, "G1", "ptm_crosstalk"), ("G1", "G1", "inhibits"), ("ghost", "SITE::x", "has_site"), ("P12345", "LOC::nowhere", "localized_in"), ("SITE::P12345-2::5::N", "SITE::x", "has_variant")]
+    n = spark.createDataFrame(nodes, "node_id string, node_type string, metadata string")
+    e = spark.createDataFrame(edges, "source_id string, target_id string, relation string")
+    rows = validate.check_graph(n, e).orderBy("place").collect()
+    names = [r.check for r in rows]
+    got = {r.check: (r.severity, r.n, r.sample) for r in rows if r.n and r.sample}
+    assert got == {
+        "orphans": ("warning", 1, ["lonely"]), "duplicate_edges": ("warning", 2, [f"P12345|has_site|{site}"]), "dangling_sources": ("error", 1, ["ghost"]), "dangling_targets": ("error", 1, ["LOC::nowhere"]),
+        "self_loops": ("warning", 1, ["G1|inhibits|G1"]), "cycle_inhibits": ("error", 1, ["G1"]), "bad_ids_glycan": ("warning", 1, ["G1"]), "localized_in_targets": ("warning", 1, ["LOC::nowhere"]), "site_format": ("warning", 1, ["SITE::x"]),
+        "site_isoform": ("warning", 1, ["SITE::P12345-2::5::N"]), "site_residue": ("warning", 1, ["SITE::P99999::7::B"]), "unmapped_sites": ("warning", 1, ["SITE::P99999::7::B"]), "has_site_sources": ("warning", 1, ["ghost"]), "ptm_crosstalk_targets": ("warning", 1, ["G1"]),
+    }
+    values = {r.check: (r.n, r.value) for r in rows}
+    assert values["nodes"] == (8, None) and values["metadata"] == (5, 62.5) and values["in_degree"] == (3, 1.8) and values["components"][0] == 4 and values["out_degree_zero"] == (3, None)
+    order = ["density", "orphans", "duplicate_edges", "dangling_sources", "self_loops", "cycle_inhibits", "in_degree", "components", "metadata", "bad_ids_glycan", "localized_in_sources", "site_format", "unmapped_sites", "has_site_sources", "ptm_crosstalk_sources"]
+    assert [x for x in names if x in order] == order
+    empty = {r.check: r.n for r in validate.check_graph(n.where("false"), e.where("false")).collect()}
+    assert not any(empty.values())
