@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .catalog import EDGES, NODES, edges_of, nodes_of, query
 from .catalog_rank import wrapped_scoring
-from .functions import sequence as sq, structure as st, text as tx, vectors as vx
+from .functions import sequence as sq, structure as st, text as tx, trees, vectors as vx
 from .operators import aggregates as ag, build, clustering, graph, joins, lookups as lk, metrics as me, ranking as rk, splits, tiles, validate
 from .session import table
 
@@ -636,10 +636,33 @@ def structure_profile(spark, sf_dir):
     )
 
 
+@query(
+    """
+    WITH RECURSIVE s AS (SELECT p_partkey, p_size % 50 + 1 AS n FROM part),
+    b AS (SELECT p_partkey, k AS node, (k * 7 + p_partkey) % k AS parent FROM s, range(1, n) r(k)),
+    t AS (SELECT p_partkey, CAST(0 AS BIGINT) AS node, CAST(NULL AS BIGINT) AS parent, 0 AS depth, CAST([] AS BIGINT[]) AS path FROM s
+      UNION ALL SELECT b.p_partkey, b.node, b.parent, depth + 1, list_append(path, b.node) FROM t JOIN b ON b.p_partkey = t.p_partkey AND b.parent = t.node),
+    c AS (SELECT p_partkey, parent, count(*) AS k FROM b GROUP BY ALL)
+    SELECT t.p_partkey, CAST(t.node AS INTEGER) AS node, CAST(t.parent AS INTEGER) AS parent, depth, CAST(coalesce(c.k, 0) AS INTEGER) AS n_children, CAST(coalesce(u.k - 1, 0) AS INTEGER) AS n_siblings,
+      coalesce(c.k, 0) > 1 AS branching, CAST(row_number() OVER (PARTITION BY t.p_partkey ORDER BY list_append(path, 1000)) AS INTEGER) AS bottom_up
+    FROM t LEFT JOIN c ON c.p_partkey = t.p_partkey AND c.parent = t.node LEFT JOIN c u ON u.p_partkey = t.p_partkey AND u.parent = t.parent
+    """
+)
+def structure_trees(spark, sf_dir):
+    """Trees of one to fifty nodes, each hung on an earlier one by a rule."""
+    letter = lambda k: F.char(k + F.when(k < 26, ord("a")).otherwise(ord("A") - 26))
+    k = F.sequence(F.lit(1), F.col("p_size") % 50)
+    some = F.when(F.col("p_size") % 50 > 0, k).otherwise(F.array().cast("array<int>"))
+    bond = lambda k: F.concat(letter((k * 7 + F.col("p_partkey")) % k), F.lit("4-"), letter(k), F.lit("1"))
+    chain = F.array_join(F.array_repeat(F.lit("1"), F.col("p_size") % 50 + 1), "-")
+    text = F.concat(F.lit("WURCS=2.0/1,1,1/[a1122h-1b_1-5]/"), chain, F.lit("/"), F.array_join(F.transform(some, bond), "_"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", text.alias("structure"))
+    return trees.trees(parts, "p_partkey", "structure").select("p_partkey", "node", "parent", "depth", "n_children", "n_siblings", "branching", "bottom_up")
+
+
 @query("SELECT p_partkey, CAST(k AS INTEGER) AS node, CAST(k AS INTEGER) AS depth FROM part, range(3) r(k)")
 def structure_depths(spark, sf_dir):
-    nodes, bonds = st.tree_tables(_structures(spark, sf_dir), "p_partkey", "structure")
-    return st.tree_depths(nodes, bonds, "p_partkey").select("p_partkey", F.col("node").cast("int").alias("node"), "depth")
+    return trees.trees(_structures(spark, sf_dir), "p_partkey", "structure").select("p_partkey", "node", "depth")
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
 # Residue names by pattern, in the order in which they are tried.
 RESIDUE_RULES = (
@@ -117,42 +117,6 @@ def linkage_carbons(token: Column) -> Column:
     )
 
 
-def tree_tables(df: DataFrame, key: str, structure: str) -> tuple[DataFrame, DataFrame]:
-    """Node and bond tables of every structure (F26): nodes (key, node, residue, name), bonds (key, parent, child, carbons).
-
-    Nodes are numbered from 0 in chain order and lettered a, b, …; bonds name letters, so those of
-    nodes past the 26th are lost, as in the notation's short form.
-    """
-    codes = residues(F.col(structure))
-    nodes = (
-        df.select(F.col(key), codes.alias("codes"), F.posexplode(topology(F.col(structure))).alias("node", "number"))
-        .withColumn("residue", F.get("codes", F.col("number") - 1))
-        .select(key, "node", "residue", residue_name(F.col("residue")).alias("name"))
-    )
-    letter = lambda c: F.ascii(F.lower(c)) - F.lit(ord("a"))
-    bonds = (
-        df.select(F.col(key), F.explode(linkages(F.col(structure))).alias("token"))
-        .withColumn("b", linkage_carbons(F.col("token")))
-        .where("b is not null")
-        .select(key, letter(F.col("b.parent")).alias("parent"), letter(F.col("b.child")).alias("child"), "b.parent_carbon", "b.child_carbon")
-    )
-    return nodes, bonds
-
-
-def tree_depths(nodes: DataFrame, bonds: DataFrame, key: str, most: int = 64) -> DataFrame:
-    """(key, node, depth): distance from node 0 along bonds, by rounds over all structures at once."""
-    front = nodes.where("node = 0").select(key, "node", F.lit(0).alias("depth"))
-    out = front
-    for d in range(1, most):
-        front = front.join(bonds.withColumnRenamed("parent", "node"), [key, "node"]).select(
-            key, F.col("child").alias("node"), F.lit(d).alias("depth")
-        )
-        if front.isEmpty():
-            break
-        out = out.unionAll(front)
-    return out.groupBy(key, "node").agg(F.min("depth").alias("depth"))
-
-
 def _class_of(code: Column) -> Column:
     return F.coalesce(*(F.when(code.rlike(p), F.lit(c)) for p, c in CLASS_RULES), F.lit(0))
 
@@ -204,6 +168,12 @@ def composition(structure: Column) -> Column:
     )
 
 
+def antennae(structure: Column) -> Column:
+    """Complexity by the number of linkage separators: 2, 3, 4 or more branches, as 1 to 4."""
+    marks = F.length(structure) - F.length(F.replace(structure, F.lit("_")))
+    return F.when(marks <= 2, 1).when(marks <= 4, 2).when(marks <= 6, 3).otherwise(4)
+
+
 def core_class(comp: Column) -> Column:
     """Core class of a composition."""
     of = lambda n: F.coalesce(F.try_element_at(comp, F.lit(n)), F.lit(0))

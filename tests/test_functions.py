@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from kgloom.functions import sequence as sq, structure as st, text as tx, vectors as vx
+from kgloom.functions import sequence as sq, structure as st, trees, text as tx, vectors as vx
 
 
 @pytest.fixture
@@ -104,15 +104,38 @@ def test_structure(spark, one):
     assert r.f[9] == 5 and len(r.f) == 24 and r.z == [0.0] * 24
     assert (r.name, r.an, r.ring, r.m) == ("Man", "beta", "pyranose", ["sulfation"])
     df = spark.createDataFrame([("G1", S)], "g string, s string")
-    nodes, bonds = st.tree_tables(df, "g", "s")
-    assert {(x.parent, x.child) for x in bonds.collect()} == {(0, 1), (1, 2), (2, 3), (2, 4)}
-    depth = {x.node: x.depth for x in st.tree_depths(nodes, bonds, "g").collect()}
-    assert depth == {0: 0, 1: 1, 2: 2, 3: 3, 4: 3}
+    rows = {x.node: x for x in trees.trees(df, "g", "s").collect()}
+    assert {(x.parent, x.node) for x in rows.values() if x.node} == {(0, 1), (1, 2), (2, 3), (2, 4)}
+    assert [rows[k].depth for k in range(5)] == [0, 1, 2, 3, 3] and [rows[k].bottom_up for k in range(5)] == [5, 4, 3, 1, 2]
+    assert [rows[k].branching for k in range(5)] == [False, False, True, False, False] and rows[3].n_siblings == 1 and rows[0].n_siblings == 0
     comp = one(c=st.composition(F.lit(S))).c
     assert comp["GlcNAc"] == 2 and comp["Man"] == 3
     assert one(c=st.core_class(st.composition(F.lit(S)))).c == "pauci_mannose" and one(c=st.nlinked_class(F.lit(S))).c == "high_mannose"
 
 
+def test_odd_trees(spark):
+    """Branches out of order, circles, nodes on their own, two bonds to one node, unknown letters, long chains, none at all."""
+    head = "WURCS=2.0/1,1,1/[a1122h-1b_1-5]/"
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    chain = "_".join(f"{a}4-{b}1" for a, b in zip(letters, letters[1:]))
+    data = [
+        ("order", head + "1-1-1-1/a3-d1_a4-b1_b4-c1"), ("circle", head + "1-1-1-1/a4-b1_c4-d1_d4-c1"), ("alone", head + "1-1-1/a4-c1"), ("two", head + "1-1-1/a4-b1_a4-c1_b4-c1"),
+        ("unknown", head + "1-1/a?-b1_Z4-b1_b4-a1"), ("long", head + "-".join("1" * 52) + "/" + chain), ("one", head + "1/"), ("none", "WURCS"), ("null", None), ("number", head + "2-1/a4-b1"),
+    ]
+    got = {}
+    for r in trees.trees(spark.createDataFrame(data, "g string, s string"), "g", "s").collect():
+        got.setdefault(r.g, {})[r.node] = r
+    show = lambda g, c: [got[g][k][c] for k in sorted(got[g])]
+    assert show("order", "bottom_up") == [4, 3, 2, 1] and show("order", "depth") == [0, 1, 2, 1]
+    assert show("circle", "depth") == [0, 1, None, None] and show("circle", "bottom_up") == [2, 1, None, None] and show("circle", "parent") == [None, 0, 3, 2]
+    assert show("alone", "depth") == [0, None, 1] and show("two", "parent") == [None, 0, 0] and show("two", "n_children") == [2, 0, 0]
+    assert show("unknown", "parent") == [None, 0] and show("unknown", "parent_carbon") == [None, 0]
+    assert show("long", "depth") == list(range(52)) and show("long", "bottom_up") == list(range(52, 0, -1))
+    assert show("one", "depth") == [0] and "none" not in got and "null" not in got and show("number", "name") == ["Unknown", "Man"]
+    counts = spark.createDataFrame([("a_b_c",), ("____",), ("_" * 6,), ("_" * 7,)], "s string")
+    assert [r.a for r in counts.select(st.antennae(F.col("s")).alias("a")).collect()] == [1, 2, 3, 4]
+
+
 def test_vectors(one):
     a, b, z = (F.array(*map(F.lit, v)) for v in ([1.0, 2.0], [2.0, 1.0], [0.0, 0.0]))
     r = one(c=vx.cosine(a, b), z=vx.cosine(a, z), t=vx.translational(a, b, z), l=vx.translational(a, b, z, 1), d=vx.bilinear(a, b, a), rot=vx.rotation(a, F.array(F.lit(0.0)), a),
