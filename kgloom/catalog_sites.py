@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog import query
-from .operators import chains, validate
+from .functions import sequence as sq, structure as st
+from .operators import aggregates as ag, build, chains, ranking as rk, validate
 from .session import table
 
 # the site graph: suppliers are proteins, quantities positions, return flags residues; some of each are broken
@@ -190,3 +191,127 @@ def chain_counters(spark, sf_dir):
     """What every chain rejected, by reason, and kept."""
     parts = [f(spark, sf_dir).report().select(F.lit(n).alias("chain"), "reason", "n") for n, f in (("sites", _sites), ("pairs", _pairs), ("loaded", _loaded), ("features", _features))]
     return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3]).where("reason <> 'read' and n > 0")
+
+
+# builders with folded metadata: lines returned as A and R are two sources of sites
+
+FIRST = "SELECT 'P' || l_suppkey AS uniprot_id, CAST(l_quantity AS INT) AS site_position, CASE WHEN l_linenumber % 2 = 1 THEN 'N' ELSE 'S' END AS site_residue, 't' || (l_linenumber % 3) AS site_type, CASE WHEN l_tax > 0.045 THEN 'ECO:1' END AS evidence_code, l_orderkey * 8 + l_linenumber AS ord FROM lineitem WHERE l_returnflag = 'A'"
+SECOND = "SELECT 'P' || l_suppkey || CASE WHEN l_linenumber % 3 = 0 THEN '-1' ELSE '' END AS uniprot_id, CAST(l_quantity AS INT) AS site_position, CASE WHEN l_linenumber % 2 = 1 THEN 'N' ELSE 'S' END AS site_residue, 'p' || (l_linenumber % 2) AS ptm_type, l_orderkey * 8 + l_linenumber AS ord FROM lineitem WHERE l_returnflag = 'R'"
+FOLDED = f"""a AS ({FIRST}), b AS ({SECOND}),
+    x AS (SELECT *, 0 AS src, 'UniProt' AS source, NULL AS ptm_type FROM a UNION ALL BY NAME SELECT *, 1 AS src, 'PTMCode' AS source FROM b),
+    s AS (SELECT *, split_part(uniprot_id, '-', 1) AS base, 'SITE::' || split_part(uniprot_id, '-', 1) || '-1::' || site_position || '::' || site_residue AS site FROM x),
+    kv AS (SELECT site, base, src, ord, unnest(['source', 'site_type', 'evidence_code', 'ptm_type', 'position', 'residue']) AS k, unnest([source, site_type, evidence_code, ptm_type, CAST(site_position AS VARCHAR), site_residue]) AS v FROM s),
+    d AS (SELECT {{0}}, k, v, min(src * 1000000000000 + ord) AS came FROM kv WHERE v IS NOT NULL {{1}} GROUP BY ALL),
+    f AS (SELECT {{0}}, k, CASE WHEN count(*) = 1 THEN '"' || any_value(v) || '"' ELSE '[' || string_agg('"' || v || '"', ',' ORDER BY came) || ']' END AS j FROM d GROUP BY ALL),
+    m AS (SELECT {{0}}, '{{{{' || string_agg('"' || k || '": ' || j, ', ' ORDER BY k) || '}}}}' AS metadata FROM f GROUP BY ALL)"""
+
+
+def _site_sources(spark, sf_dir):
+    return [("UniProt", _chain(spark, sf_dir, FIRST, "lineitem"), ["site_type", "evidence_code"]), ("PTMCode", _chain(spark, sf_dir, SECOND, "lineitem"), ["ptm_type"])]
+
+
+@query(f"WITH {FOLDED.format('site', '').replace('{{', '{').replace('}}', '}')}, l AS (SELECT site, arg_min(uniprot_id || ':' || site_residue || site_position, src * 1000000000000 + ord) AS label FROM s GROUP BY site) SELECT site AS node_id, 'site' AS node_type, label, metadata FROM m JOIN l USING (site)")
+def folded_site_nodes(spark, sf_dir):
+    """Sites of two sources, their metadata folded where both name one."""
+    return build.site_nodes(_site_sources(spark, sf_dir))
+
+
+@query(f"""WITH {FOLDED.format('site, base', "AND k NOT IN ('position', 'residue')").replace('{{', '{').replace('}}', '}')}, p AS (SELECT 'P' || s_suppkey || CASE WHEN s_suppkey % 3 = 0 THEN '-1' ELSE '' END AS id FROM supplier WHERE s_suppkey % 7 > 0)
+    SELECT id AS source_id, site AS target_id, 'has_site' AS relation, metadata FROM m JOIN p ON split_part(id, '-', 1) = base""")
+def folded_site_edges(spark, sf_dir):
+    """Edges from proteins to those sites, by id, base or first isoform."""
+    ids = F.concat(F.lit("P"), "s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, "-1").otherwise(""))
+    return build.site_edges(_site_sources(spark, sf_dir), table(spark, sf_dir, "supplier").where("s_suppkey % 7 > 0").select(ids.alias("node_id")))
+
+
+@query("SELECT DISTINCT 'compound' AS kind, 'C' || l_partkey AS a, p_name AS b, CAST(NULL AS DOUBLE) AS value FROM lineitem JOIN part ON p_partkey = l_partkey UNION ALL SELECT 'edge', 'S' || l_suppkey, 'C' || l_partkey, l_quantity FROM lineitem JOIN part ON p_partkey = l_partkey UNION ALL SELECT DISTINCT 'enzyme', 'S' || s_suppkey, s_name, NULL FROM supplier")
+def compounds_and_enzymes(spark, sf_dir):
+    """Compounds and enzymes once each, and every pair that was measured."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    rows = lines.select(F.concat(F.lit("S"), "l_suppkey").alias("enzyme_uniprot_id"), F.concat(F.lit("C"), "l_partkey").alias("compound_chembl_id"), F.col("p_name").alias("compound_name"), F.lit("IC50").alias("type"), F.col("l_quantity").alias("value"), F.lit("nM").alias("units"))
+    compounds, edges = build.compounds_and_edges(rows)
+    enzymes = build.renamed_distinct(table(spark, sf_dir, "supplier").withColumn("ac", F.concat(F.lit("S"), "s_suppkey")), enzyme_id="ac", gene_symbol="s_name")
+    as_rows = lambda df, kind, a, b, v: df.select(F.lit(kind).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b"), v.cast("double").alias("value"))
+    none = F.lit(None)
+    return as_rows(compounds, "compound", "compound_id", "name", none).unionAll(as_rows(edges, "edge", "enzyme_id", "compound_id", F.col("value"))).unionAll(as_rows(enzymes, "enzyme", "enzyme_id", "gene_symbol", none))
+
+
+@query(
+    """
+    WITH r AS (SELECT l_suppkey AS p, CAST(l_quantity AS INT) AS pos, l_partkey AS item, CASE WHEN l_returnflag = 'N' THEN '' ELSE l_returnflag END AS kind FROM lineitem), k AS (SELECT p_partkey AS item FROM part WHERE p_size > 10)
+    SELECT 'proteins' AS measure, NULL AS name, count(DISTINCT p) AS n, CAST(NULL AS DOUBLE) AS percent FROM r UNION ALL SELECT 'sites', NULL, count(DISTINCT (p, pos)), NULL FROM r UNION ALL SELECT 'items', NULL, count(DISTINCT item), NULL FROM r
+    UNION ALL SELECT 'triples', NULL, count(DISTINCT (p, pos, item)), NULL FROM r
+    UNION ALL SELECT 'known items', NULL, count(DISTINCT r.item) FILTER (k.item IS NOT NULL), round(100 * count(DISTINCT r.item) FILTER (k.item IS NOT NULL) / count(DISTINCT r.item), 2) FROM r LEFT JOIN k USING (item)
+    UNION ALL SELECT 'kind', CASE WHEN kind = '' THEN 'unknown' ELSE kind END, count(*), NULL FROM r GROUP BY kind
+    """
+)
+def site_statistics(spark, sf_dir):
+    r = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("p"), F.col("l_quantity").cast("int").alias("at"), F.col("l_partkey").alias("item"), F.when(F.col("l_returnflag") == "N", "").otherwise(F.col("l_returnflag")).alias("kind"))
+    return ag.site_statistics(r, "p", "at", "item", "kind", table(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("item")))
+
+
+@query("SELECT 'n' || s_nationkey AS key, string_agg('s' || s_suppkey, ',' ORDER BY 's' || s_suppkey) AS items FROM supplier GROUP BY s_nationkey UNION ALL SELECT 'p' || l_partkey, string_agg(DISTINCT 's' || l_suppkey, ',' ORDER BY 's' || l_suppkey) FROM lineitem GROUP BY l_partkey")
+def sets_either_way(spark, sf_dir):
+    """Suppliers of nations, whose edges lead to the set's owner, and of parts, whose edges come from it."""
+    from .catalog import edges_of, nodes_of
+    from .operators import joins
+
+    typed = joins.endpoint_types(nodes_of(spark, sf_dir), edges_of(spark, sf_dir, "in_nation", "supplied_by"))
+    both = ag.sets_either_way(typed, "in_nation", "nation", "supplier").unionAll(ag.sets_either_way(typed, "supplied_by", "part", "supplier"))
+    return both.select("key", F.array_join("items", ",").alias("items"))
+
+
+ALPHAS = (0.0, 0.3, 0.5, 0.7, 1.0)
+
+
+@query(
+    """
+    WITH i AS (SELECT l_partkey AS item, count(*) AS pop, sum(CAST(l_quantity AS BIGINT)) AS qty FROM lineitem GROUP BY 1), a AS (SELECT unnest([0, 3, 5, 7, 10]) AS alpha),
+    r AS (SELECT alpha, item, row_number() OVER (PARTITION BY alpha ORDER BY alpha * qty + (10 - alpha) * pop DESC, item) AS place FROM i, a),
+    g AS (SELECT DISTINCT l_suppkey AS grp, l_partkey AS item FROM lineitem),
+    b AS (SELECT alpha, grp, min(place) AS rank FROM g JOIN r USING (item) GROUP BY ALL)
+    SELECT CAST(alpha AS INTEGER) AS alpha, count(*) AS n, round(avg(1.0 / rank), 6) AS mrr, round(avg((rank <= 10)::INT), 6) AS hits_10 FROM b GROUP BY alpha
+    """
+)
+def group_best_ranks(spark, sf_dir):
+    """Best place of any of a supplier's parts in five blends of quantity and popularity."""
+    lines = table(spark, sf_dir, "lineitem")
+    items = lines.groupBy(F.col("l_partkey").alias("item")).agg(F.count("*").alias("pop"), F.sum(F.col("l_quantity").cast("long")).alias("qty"))
+    alphas = F.explode(F.array(*(F.lit(round(10 * a)) for a in ALPHAS))).alias("alpha")
+    blends = items.select("item", "pop", "qty", alphas).select("alpha", "item", (F.col("alpha") * F.col("qty") + (10 - F.col("alpha")) * F.col("pop")).alias("score"))
+    groups = lines.select(F.col("l_suppkey").alias("group"), F.col("l_partkey").alias("item"))
+    ranks = rk.group_best_ranks(groups, blends, ["alpha"], 0)
+    return rk.rank_metrics(ranks, ["alpha"]).select("alpha", "n", F.round("mrr", 6).alias("mrr"), F.round("hits_10", 6).alias("hits_10"))
+
+
+@query(
+    """
+    WITH s AS (SELECT doc_id, translate(text, 'eaio', 'NSTN') AS c FROM documents), i AS (SELECT doc_id, c, c[1:20] || c[26:] AS iso, doc_id % 60 + 1 AS p FROM s),
+    q AS (SELECT doc_id, p, c, iso, unnest(range(greatest(1, p - 50), least(length(c), p + 50) + 1)) AS q FROM i WHERE p <= length(iso)),
+    h AS (SELECT doc_id, q, iso[greatest(p - 10, 1) : p + 10] AS here, c[greatest(q - 10, 1) : q + 10] AS there FROM q WHERE c[q] = iso[p]),
+    j AS (SELECT doc_id, q, len(list_filter(range(1, least(length(here), length(there)) + 1), lambda k: here[k] = there[k])) / least(length(here), length(there)) AS share FROM h),
+    b AS (SELECT doc_id, max(share) AS share, arg_min(q, (-share, q)) AS q FROM j GROUP BY doc_id)
+    SELECT i.doc_id, CAST(CASE WHEN p > length(iso) THEN NULL WHEN iso = c THEN p WHEN length(iso) = length(c) THEN CASE WHEN iso[p] = c[p] THEN p END WHEN share >= 0.5 THEN q END AS INTEGER) AS position,
+      len(regexp_extract_all(c, 'N[^P][ST]')) AS sequons FROM i LEFT JOIN b USING (doc_id)
+    """
+)
+def isoform_positions(spark, sf_dir):
+    """Places of residues in the whole of a sequence of which five residues are left out; and its motifs."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.translate("text", "eaio", "NSTN").alias("c"))
+    d = d.withColumns({"iso": F.concat(F.substring("c", 1, 20), F.col("c").substr(F.lit(26), F.length("c"))), "p": (F.col("doc_id") % 60 + 1).cast("int")})
+    return d.select("doc_id", sq.canonical_position("iso", "c", "p").alias("position"), F.size(sq.sequon_positions(F.col("c"))).cast("long").alias("sequons"))
+
+
+@query(
+    """
+    WITH x AS (SELECT p_partkey, p_size % 7 + 1 AS n FROM part)
+    SELECT p_partkey, CAST(n AS DOUBLE) AS man, round(ln(1 + n), 9) AS man_log, CASE WHEN n < 3 THEN 4 WHEN n >= 5 THEN 0 ELSE 3 END AS core_type, CASE WHEN n - 2 <= 2 THEN 1 WHEN n - 2 <= 4 THEN 2 ELSE 3 END AS antennae, CAST(n AS INTEGER) AS total FROM x
+    """
+)
+def composition_features(spark, sf_dir):
+    """Features of chains of one to seven mannoses."""
+    n = F.col("p_size") % 7 + 1
+    bonds = F.array_join(F.array_repeat(F.lit("a4-b1"), n - 1), "_")
+    text = F.concat(F.lit("WURCS=2.0/1,1,1/[a1122h-1b_1-5]/"), F.array_join(F.array_repeat(F.lit("1"), n), "-"), F.lit("/"), bonds)
+    f = table(spark, sf_dir, "part").select("p_partkey", st.composition_features(text).alias("f"))
+    return f.select("p_partkey", F.get("f.composition", F.lit(1)).alias("man"), F.round(F.get("f.composition_log", F.lit(1)), 9).alias("man_log"), "f.core_type", "f.antennae", "f.total")

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
 
@@ -17,13 +16,16 @@ def sequon_count(sequence: Column, last: str = "ST") -> Column:
     return F.regexp_count(sequence, F.lit(f"N[^P][{last}]"))
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def sequon_positions(sequence: pd.Series) -> pd.Series:
-    """1-based starts of the same matches; Spark's own functions give matches without places."""
-    import re
+def sequon_positions(sequence: Column) -> Column:
+    """1-based starts of the same matches: the text is cut after each match, so ends are sums of lengths."""
+    pieces = F.regexp_extract_all(sequence, F.lit("(?s).*?N[^P][ST]"), F.lit(0))
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("starts"))
 
-    motif = re.compile("N[^P][ST]")
-    return sequence.map(lambda s: [m.start() + 1 for m in motif.finditer(s)] if s is not None else None)
+    def add(s: Column, piece: Column) -> Column:
+        end = s["end"] + F.length(piece)
+        return F.struct(end.alias("end"), F.concat(s["starts"], F.array(end - 2)).alias("starts"))
+
+    return F.aggregate(pieces, start, add, lambda s: s["starts"])
 
 
 def sequence_features(sequence: Column) -> Column:
@@ -66,31 +68,34 @@ def weighted_window_mean(vectors: Column, position: Column, half: int = 16, deca
     return F.transform(added, lambda x: x / total)
 
 
-@F.pandas_udf(T.IntegerType())
-def canonical_position(isoform: pd.Series, canonical: pd.Series, position: pd.Series) -> pd.Series:
+#: How far a canonical position may lie from an isoform's, how far around both are compared, and the least share alike.
+REACH, AROUND, ALIKE = 50, 10, 0.5
+
+
+def canonical_position(isoform: Column | str, canonical: Column | str, position: Column | str) -> Column:
     """The canonical position of an isoform's 1-based position (F8).
 
-    Equal sequences keep it; equally long ones do if the residue there is the same. Else the residues
-    up to ten before and after are held, from their starts on, against those around each equal residue
-    within 50 positions; the first of the best shares is taken if it is a half at least. Null without one.
+    Equal sequences keep it; equally long ones do if the residue there is the same. Else every equal
+    residue of the canonical sequence within REACH positions is a candidate. The stretches of AROUND
+    residues to both sides are laid over each other from their starts on, and the first candidate of
+    the largest share of equal residues is taken if that is ALIKE at least. Null without one.
     """
-
-    def place(iso, can, p):
-        if iso is None or can is None or pd.isna(p) or not 1 <= p <= len(iso):
-            return None
-        p, own = int(p), iso[int(p) - 1]
-        if iso == can:
-            return p
-        if len(iso) == len(can):
-            return p if can[p - 1] == own else None
-        around = lambda s, k: s[max(0, k - 11) : k + 10]
-        here, most, found = around(iso, p), 0.0, None
-        for q in range(max(1, p - 50), min(len(can), p + 50) + 1):
-            if can[q - 1] == own:
-                pairs = list(zip(here, around(can, q)))
-                share = sum(x == y for x, y in pairs) / len(pairs)
-                if share > most:
-                    most, found = share, q
-        return found if most >= 0.5 else None
-
-    return pd.Series([place(*r) for r in zip(isoform, canonical, position)], dtype="Int32")
+    iso, can, p = (F.col(c) if isinstance(c, str) else c for c in (isoform, canonical, position))
+    letter = lambda s, k: F.substring(s, k, F.lit(1))
+    begin = lambda k: F.greatest(k - AROUND, F.lit(1))
+    stretch = lambda s, k: F.substring(s, begin(k), k + AROUND + 1 - begin(k))
+    here = stretch(iso, p)
+
+    def judged(q: Column) -> Column:
+        there = stretch(can, q)
+        n = F.least(F.length(here), F.length(there))
+        same = F.size(F.filter(F.sequence(F.lit(1), n), lambda j: letter(here, j) == letter(there, j)))
+        return F.struct((same / n).alias("share"), (-q).alias("back"))
+
+    low, high = F.greatest(F.lit(1), p - REACH), F.least(F.length(can), p + REACH)
+    candidates = F.when(low <= high, F.filter(F.sequence(low, high), lambda q: letter(can, q) == letter(iso, p)))
+    best = F.array_max(F.transform(candidates, judged))
+    found = F.when(best["share"] >= ALIKE, (-best["back"]).cast("int"))
+    kept = F.when(letter(can, p) == letter(iso, p), p)
+    whole = F.when(iso == can, p).when(F.length(iso) == F.length(can), kept).otherwise(found)
+    return F.when((p >= 1) & (p <= F.length(iso)) & can.isNotNull(), whole).cast("int")

@@ -169,9 +169,25 @@ def composition(structure: Column) -> Column:
 
 
 def antennae(structure: Column) -> Column:
-    """Complexity by the number of linkage separators: 2, 3, 4 or more branches, as 1 to 4."""
-    marks = F.length(structure) - F.length(F.replace(structure, F.lit("_")))
-    return F.when(marks <= 2, 1).when(marks <= 4, 2).when(marks <= 6, 3).otherwise(4)
+    """Branches by the linkage section's separators: up to 2, 4, 6 and more give 1 to 4; 1 without that section, 0 for null."""
+    parts = F.split(structure, "/")
+    last = F.element_at(parts, -1)
+    marks = F.length(last) - F.length(F.replace(last, F.lit("_")))
+    return F.when(structure.isNull(), 0).when((F.size(parts) < 5) | (marks <= 2), 1).when(marks <= 4, 2).when(marks <= 6, 3).otherwise(4)
+
+
+# The names of composition vectors and core classes, in order.
+MONO_NAMES = ("GlcNAc", "Man", "Gal", "Fuc", "NeuAc", "GalNAc", "NeuGc", "Xyl", "GlcA", "Other")
+CORE_TYPES = ("high_mannose", "complex", "hybrid", "pauci_mannose", "minimal", "other")
+
+
+def composition_features(structure: Column) -> Column:
+    """struct(composition, composition_log, core_type, antennae, total): what a composition model reads."""
+    comp = composition(structure)
+    counts = F.transform(F.array(*map(F.lit, MONO_NAMES)), lambda n: F.coalesce(F.try_element_at(comp, n), F.lit(0)).cast("double"))
+    core = F.array_position(F.array(*map(F.lit, CORE_TYPES)), core_class(comp)).cast("int") - 1
+    total = F.aggregate(F.map_values(comp), F.lit(0), lambda a, x: a + x)
+    return F.struct(counts.alias("composition"), F.transform(counts, F.log1p).alias("composition_log"), core.alias("core_type"), F.least(antennae(structure), F.lit(4)).alias("antennae"), total.alias("total"))
 
 
 def core_class(comp: Column) -> Column:

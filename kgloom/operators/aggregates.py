@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 
 def relation_entropy(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -141,6 +141,27 @@ def neighbour_features(edges: DataFrame, values: DataFrame) -> DataFrame:
     return joined.groupBy("target_id").agg(F.sum("value").alias("sum"), F.avg("value").alias("mean"), F.max("value").alias("max"), F.stddev_pop("value").alias("std"))
 
 
-def sampled_window(df: DataFrame, by: list[str], order: str, n: int) -> DataFrame:
-    """The n broadest groups' rows by order, ties by key."""
-    return df.withColumn("_p", F.row_number().over(W.partitionBy(*by).orderBy(F.desc(order)))).where(F.col("_p") <= n).drop("_p")
+def site_statistics(df: DataFrame, protein: str, position: str, item: str, kind: str, known: DataFrame) -> DataFrame:
+    """(measure, name, n, percent): distinct proteins, sites, items and triples, items that known(item) has, rows by kind."""
+    triples = df.select(protein, position, item).distinct()
+    sites = triples.groupBy(protein, position).agg(F.count("*").alias("n"))
+    n = triples.agg(F.count("*").alias("triples")).crossJoin(F.broadcast(sites.agg(F.count("*").alias("sites"), F.countDistinct(protein).alias("proteins"))))  # one row by one row
+    whole = n.crossJoin(F.broadcast(coverage(df, item, known, item)))
+    rows = F.array(*(F.struct(F.lit(m).alias("measure"), F.lit(None).cast("string").alias("name"), F.col(c).alias("n"), (F.col("percent") if m == "known items" else F.lit(None).cast("double")).alias("percent"))
+                     for m, c in (("proteins", "proteins"), ("sites", "sites"), ("items", "n"), ("triples", "triples"), ("known items", "covered"))))
+    kinds = df.groupBy(F.when(F.coalesce(kind, F.lit("")) == "", "unknown").otherwise(F.col(kind)).alias("name")).agg(F.count("*").alias("n"))
+    return whole.select(F.explode(rows).alias("r")).select("r.*").unionByName(kinds.select(F.lit("kind").alias("measure"), "name", "n", F.lit(None).cast("double").alias("percent")))
+
+
+def sets_either_way(edges: DataFrame, relation: str, of: str, members: str) -> DataFrame:
+    """(key, items): for each node of type `of` the nodes of type `members` that a relation joins it with, in either direction.
+
+    edges have source_type and target_type. Where a relation has edges of both directions, the one
+    from members to `of` counts.
+    """
+    own = edges.where(F.col("relation") == relation)
+    forward = own.where((F.col("source_type") == members) & (F.col("target_type") == of)).select(F.col("target_id").alias("key"), F.col("source_id").alias("item"), F.lit(0).alias("turn"))
+    back = own.where((F.col("source_type") == of) & (F.col("target_type") == members)).select(F.col("source_id"), F.col("target_id"), F.lit(1))
+    both = forward.unionAll(back)
+    turn = both.agg(F.min("turn").alias("_turn"))  # one row
+    return sets_by(both.crossJoin(F.broadcast(turn)).where(F.col("turn") == F.col("_turn")), "key", "item")

@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import site_id
+from .dedup import fold_values, scalar_or_list
 from .ranges import places
 
 # Relation names of hierarchy records.
@@ -112,6 +114,74 @@ def reaction_edges(df: DataFrame, item: str, records: str) -> DataFrame:
     return catalyst.unionAll(product).distinct()
 
 
+def renamed_distinct(df: DataFrame, **columns: str) -> DataFrame:
+    """The distinct rows of some columns under new names (B1, B4): new=old."""
+    return df.select(*(F.col(old).alias(new) for new, old in columns.items())).distinct()
+
+
+def compounds_and_edges(activities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Compounds (compound_id, name) once each, and every enzyme-compound row."""
+    compounds = renamed_distinct(activities, compound_id="compound_chembl_id", name="compound_name")
+    names = {"enzyme_id": "enzyme_uniprot_id", "compound_id": "compound_chembl_id", "type": "type", "value": "value", "units": "units"}
+    return compounds, activities.select(*(F.col(old).alias(new) for new, old in names.items()))
+
+
+def folded(df: DataFrame, keys: list[str], metadata: str, order: str) -> DataFrame:
+    """(keys, metadata): maps folded field by field into one JSON object a key, fields by name.
+
+    A field with one distinct value has it, one with several a list in the order of first arrival.
+    """
+    fields = df.select(*keys, F.col(order), F.explode(F.col(metadata)).alias("_name", "_value"))
+    each = fold_values(fields, keys, "_name", "_value", order)
+    text = F.concat(F.lit('"'), F.col("_name"), F.lit('": '), scalar_or_list(F.col("values")))
+    joined = each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_name", text.alias("text")))).alias("_all"))  # a key has few fields
+    return joined.select(*keys, F.concat(F.lit("{"), F.array_join(F.transform("_all", lambda x: x["text"]), ", "), F.lit("}")).alias("metadata"))
+
+
+def _site_rows(sources: list[tuple[str, DataFrame, list[str]]]) -> DataFrame:
+    """(uniprot_id, site_position, site_residue, site, entries, at) of every usable row; entries: the named fields that are there."""
+
+    def rows(k: int, name: str, df: DataFrame, fields: list[str]) -> DataFrame:
+        good = (F.coalesce("uniprot_id", F.lit("")) != "") & F.col("site_position").isNotNull() & (F.coalesce("site_residue", F.lit("")) != "")
+        entry = lambda n, c: F.struct(F.lit(n).alias("key"), c.cast("string").alias("value"))
+        entries = F.array(entry("source", F.lit(name)), *(entry(f, F.col(f)) for f in fields))
+        site = site_id(F.col("uniprot_id"), F.col("site_position").cast("int"), F.col("site_residue"))
+        at = F.struct(F.lit(k).alias("source"), F.col("ord").cast("long").alias("ord"))
+        out = df.where(good).select("uniprot_id", F.col("site_position").cast("int").alias("site_position"), "site_residue", site.alias("site"), F.filter(entries, lambda e: e["value"].isNotNull()).alias("entries"), at.alias("at"))
+        return out.where("site is not null")
+
+    return reduce(DataFrame.unionByName, (rows(k, *s) for k, s in enumerate(sources)))
+
+
+def site_nodes(sources: list[tuple[str, DataFrame, list[str]]]) -> DataFrame:
+    """(node_id, node_type, label, metadata) of sites that several sources name.
+
+    sources: (name, rows, metadata fields); rows have uniprot_id, site_position, site_residue and
+    ord. Rows without one of the three are left out. The first to name a site, by source and ord,
+    gives its label; metadata of all, with the source, position and residue, is folded.
+    """
+    rows = _site_rows(sources)
+    own = lambda n, c: F.struct(F.lit(n).alias("key"), F.col(c).cast("string").alias("value"))
+    entries = F.concat("entries", F.array(own("position", "site_position"), own("residue", "site_residue")))
+    label = F.concat("uniprot_id", F.lit(":"), "site_residue", F.col("site_position").cast("string"))
+    labels = rows.groupBy(F.col("site").alias("node_id")).agg(F.min_by(label, "at").alias("label"))
+    meta = folded(rows.select(F.col("site").alias("node_id"), F.map_from_entries(entries).alias("m"), "at"), ["node_id"], "m", "at")
+    return labels.join(meta, "node_id").select("node_id", F.lit("site").alias("node_type"), "label", "metadata")
+
+
+def site_edges(sources: list[tuple[str, DataFrame, list[str]]], proteins: DataFrame) -> DataFrame:
+    """(source_id, target_id, relation, metadata): has_site from each site's protein.
+
+    The protein is the id itself, its base or base-1, whichever proteins(node_id) has first; rows
+    without one are left out. Metadata of repeated edges is folded.
+    """
+    from .joins import resolve_ids
+
+    rows = resolve_ids(_site_rows(sources), "uniprot_id", proteins).where("resolved is not null")
+    edges = rows.select(F.col("resolved").alias("source_id"), F.col("site").alias("target_id"), F.lit("has_site").alias("relation"), F.map_from_entries("entries").alias("m"), "at")
+    return folded(edges, ["source_id", "target_id", "relation"], "m", "at")
+
+
 def crosstalk_edges(df: DataFrame) -> DataFrame:
     """(source_id, target_id, relation, score) between sites; a null score is 0."""
     return df.select(F.col("site1").alias("source_id"), F.col("site2").alias("target_id"), F.lit("ptm_crosstalk").alias("relation"), F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -47,7 +47,8 @@ def fold_values(df: DataFrame, keys: list[str], name: str, value: str, order: st
 
 def scalar_or_list(values: Column) -> Column:
     """JSON text of a folded field: the value itself where there is one, else a list."""
-    return F.when(F.size(values) == 1, F.concat(F.lit('"'), values[0].cast("string"), F.lit('"'))).otherwise(F.to_json(values))
+    texts = F.to_json(F.transform(values, lambda v: v.cast("string")))
+    return F.when(F.size(values) == 1, texts.substr(F.lit(2), F.length(texts) - 2)).otherwise(texts)
 
 
 def merge_nodes(df: DataFrame, order: str = "ord") -> DataFrame:

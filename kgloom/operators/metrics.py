@@ -151,22 +151,52 @@ def cohens_d(df: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
     return c.select(*by, F.when((F.col("n0") >= 2) & (F.col("n1") >= 2), d).alias("d"))
 
 
-def bootstrap_ci(df: DataFrame, value: str, key: str, resamples: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """(mean, low, high): percentile interval of the mean by Poisson resampling (Q4).
-
-    Each row draws its weight in every resample from a hash of its key, so resamples are sums and no
-    row is gathered or moved; equal seeds give equal intervals.
-    """
+def _poisson_cuts() -> list[float]:
+    """The distribution of Poisson weights with mean 1, to the last of 40 bits."""
     import math
 
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("b")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     cuts, term = [], math.exp(-1)
-    for k in range(1, 16):  # the Poisson distribution, to the last of u's 40 bits
+    for k in range(1, 16):
         cuts.append((cuts[-1] if cuts else 0.0) + term)
         term /= k
-    weight = sum(((u >= c).cast("int") for c in cuts[1:]), (u >= cuts[0]).cast("int"))
-    drawn = df.select(F.col(key), F.col(value), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).withColumn("w", weight)
-    means = drawn.groupBy("b").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("m"))
+    return cuts
+
+
+def poisson_weights(hashes, resamples: int):
+    """Weights (row, resample) of rows by their 64-bit hashes, as numpy: the same for a row wherever it is."""
+    import numpy as np
+
+    x = hashes.astype(np.uint64)[:, None] + np.arange(1, resamples + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(24)).astype(np.float64) / float(1 << 40)
+    return np.searchsorted(np.array(_poisson_cuts()), u, side="right").astype(np.float64)
+
+
+def bootstrap_ci(df: DataFrame, value: str, key: str, resamples: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """(mean, low, high): percentile interval of the mean by Poisson resampling (Q4).
+
+    Each row draws its weight in every resample from a hash of its key. A task sums weights and
+    weighted values of all resamples over its rows, so no row is copied or moved and a task gives
+    one row a resample; equal seeds give equal intervals. Null values do not count.
+    """
+    cuts_of, rows_at_once = poisson_weights, max(1, 4_000_000 // resamples)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        w, wx = np.zeros(resamples), np.zeros(resamples)
+        for batch in batches:
+            h, x = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for at in range(0, len(h), rows_at_once):
+                weights = cuts_of(h[at : at + rows_at_once], resamples)
+                w += weights.sum(0)
+                wx += x[at : at + rows_at_once] @ weights
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), pa.array(w), pa.array(wx)], names=["b", "w", "wx"])
+
+    rows = df.where(F.col(value).isNotNull()).select(F.xxhash64(F.lit(seed), F.col(key)).alias("h"), F.col(value).cast("double").alias("x"))
+    means = rows.mapInArrow(run, "b long, w double, wx double").groupBy("b").agg((F.sum("wx") / F.sum("w")).alias("m"))
     tail = (1 - level) / 2
     interval = means.agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
     return df.agg(F.avg(value).alias("mean")).crossJoin(F.broadcast(interval))  # one row by one row
@@ -205,31 +235,31 @@ def signed_rank(df: DataFrame, a: str, b: str) -> DataFrame:
     return out.select(F.coalesce("n", F.lit(0)).alias("n"), "w", F.when(spread > 0, (F.col("w") - n * (n + 1) / 4) / spread).otherwise(0.0).alias("z"))
 
 
-def shapiro_wilk(values: list[float]) -> tuple[float, float]:
-    """W and its p-value by Royston's approximation (AS R94), for 3 to 5000 values (Q1)."""
+def _normality(n: int, spread: float, whole: float, dot: float, m: tuple[float, float], first: tuple[float, float], last: tuple[float, float]) -> tuple[float, float]:
+    """W and its p-value by Royston's approximation (AS R94) from sums over the ordered values.
+
+    whole and dot: sums of squared normal scores and of scores times values. m: the highest two
+    scores; first and last: the two values at either end, outermost first.
+    """
     import math
     from statistics import NormalDist
 
-    x, n, normal = sorted(values), len(values), NormalDist()
-    mean = sum(x) / n
-    spread = sum((v - mean) ** 2 for v in x)
     if not spread:
         return 1.0, 1.0
-    m = [normal.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)]
-    whole, u = sum(v * v for v in m), 1 / math.sqrt(n)
     poly = lambda at, *c: sum(k * at**i for i, k in enumerate(c))
+    u, wide, inner = 1 / math.sqrt(n), last[0] - first[0], last[1] - first[1]
     if n == 3:
-        a = [-math.sqrt(0.5), 0.0, math.sqrt(0.5)]
+        b = math.sqrt(0.5) * wide
     else:
-        last = poly(u, m[-1] / math.sqrt(whole), 0.221157, -0.147981, -2.071190, 4.434685, -2.706056)
+        top = poly(u, m[0] / math.sqrt(whole), 0.221157, -0.147981, -2.071190, 4.434685, -2.706056)
         if n > 5:
-            second = poly(u, m[-2] / math.sqrt(whole), 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
-            phi = (whole - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
-            a = [-last, -second, *(v / math.sqrt(phi) for v in m[2:-2]), second, last]
+            second = poly(u, m[1] / math.sqrt(whole), 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
+            phi = (whole - 2 * m[0] ** 2 - 2 * m[1] ** 2) / (1 - 2 * top**2 - 2 * second**2)
+            b = top * wide + second * inner + (dot - m[0] * wide - m[1] * inner) / math.sqrt(phi)
         else:
-            phi = (whole - 2 * m[-1] ** 2) / (1 - 2 * last**2)
-            a = [-last, *(v / math.sqrt(phi) for v in m[1:-1]), last]
-    w = min(1.0, sum(p * q for p, q in zip(a, x)) ** 2 / spread)
+            phi = (whole - 2 * m[0] ** 2) / (1 - 2 * top**2)
+            b = top * wide + (dot - m[0] * wide) / math.sqrt(phi)
+    w = min(1.0, b * b / spread)
     if n == 3:
         return w, max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
     if w >= 1:
@@ -242,23 +272,48 @@ def shapiro_wilk(values: list[float]) -> tuple[float, float]:
     else:
         at, k = math.log(1 - w), math.log(n)
         mu, sigma = poly(k, -1.5861, -0.31082, -0.083751, 0.0038915), math.exp(poly(k, -0.4803, -0.082676, 0.0030302))
-    return w, 1 - normal.cdf((at - mu) / sigma)
+    return w, 1 - NormalDist().cdf((at - mu) / sigma)
+
+
+def shapiro_wilk(df: DataFrame, value: str) -> tuple[int, float, float]:
+    """(n, W, p) of a column's values that are not null (Q1); p is 0 below three values.
+
+    Values are placed in ranges, and only sums and the two values at either end reach the driver.
+    Beyond 5,000 values p is extrapolated, as the approximation's authors note.
+    """
+    x = df.select(F.col(value).cast("double").alias("x")).where("x is not null")
+    n, spread = x.agg(F.count("*"), F.coalesce(F.var_pop("x") * F.count("*"), F.lit(0.0))).first()
+    if n < 3:
+        return n, 1.0, 0.0
+    placed = places(x, [], ["x"], "place")
+
+    def scores(batches):
+        from statistics import NormalDist
+
+        import pyarrow as pa
+
+        inverse = NormalDist().inv_cdf
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([inverse((i - 0.375) / (n + 0.25)) for i in batch.column(1).to_pylist()], pa.float64())], names=["x", "place", "m"])
+
+    scored = placed.select("x", F.col("place").cast("long").alias("place")).mapInArrow(scores, "x double, place long, m double")
+    at = lambda k, c="x": F.max(F.when(F.col("place") == k, F.col(c)))
+    s = scored.agg(F.sum(F.col("m") ** 2), F.sum(F.col("m") * F.col("x")), at(n, "m"), at(n - 1, "m"), at(1), at(2), at(n), at(n - 1)).first()
+    return n, *_normality(n, spread, s[0], s[1], (s[2], s[3]), (s[4], s[5]), (s[6], s[7]))
 
 
-def chosen_test(df: DataFrame, a: str, b: str, alpha: float = 0.05, most: int = 5000) -> DataFrame:
+def chosen_test(df: DataFrame, a: str, b: str, alpha: float = 0.05) -> DataFrame:
     """(test, statistic, p, normality): paired t-test if the differences look normal, else signed ranks (Q1).
 
-    Fewer than three pairs take signed ranks; equal pairs give p = 1. For runs and folds: `most` pairs
-    at most, as the test of normality is defined; more raise an error. Signed ranks are exact up to
-    50 differing pairs without ties, else by the normal score.
+    Fewer than three pairs take signed ranks; equal pairs give p = 1. Signed ranks are exact up to
+    50 differing pairs without ties, else by the normal score. Only sums reach the driver.
     """
     from statistics import NormalDist
 
-    d = [r[0] for r in df.select((F.col(a) - F.col(b)).cast("double").alias("d")).where("d is not null").limit(most + 1).collect()]
-    if len(d) > most:
-        raise ValueError(f"the test of normality takes {most} pairs at most")
-    normality = shapiro_wilk(d)[1] if len(d) >= 3 else 0.0
-    if not any(d):
+    d = df.select((F.col(a) - F.col(b)).cast("double").alias("d")).where("d is not null")
+    n_all, moved, sizes = d.agg(F.count("*"), F.count_if(F.col("d") != 0), F.countDistinct(F.abs("d"))).first()
+    normality = shapiro_wilk(d, "d")[2] if n_all >= 3 else 0.0
+    if not moved:
         row = ("signed ranks", 0.0, 1.0, normality)
     elif normality >= alpha:
         _, t, p = paired_test(df, a, b).first()
@@ -266,7 +321,7 @@ def chosen_test(df: DataFrame, a: str, b: str, alpha: float = 0.05, most: int =
     else:
         n, w, z = signed_rank(df, a, b).first()
         least = min(w, n * (n + 1) / 2 - w)
-        if n <= 50 and n == len(d) and len({abs(v) for v in d}) == n:
+        if n <= 50 and n == n_all == sizes:
             ways = [1]  # how many subsets of the ranks have each sum
             for r in range(1, n + 1):
                 ways = [(ways[k] if k < len(ways) else 0) + (ways[k - r] if k >= r else 0) for k in range(len(ways) + r)]

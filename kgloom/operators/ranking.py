@@ -124,6 +124,24 @@ def oracle_rank(scores: DataFrame, targets: DataFrame, by: list[str], context: s
     return targets.join(best, [*by, "item"], "left").select(*by, "item", F.coalesce("rank", F.lit(n_items)).alias("rank"))
 
 
+def group_best_ranks(groups: DataFrame, scores: DataFrame, by: list[str], n_items: int) -> DataFrame:
+    """(by, group, rank): the best place of any of a group's true items, n_items where none is scored.
+
+    groups(group, item); scores(by, item, score), one list for each value of `by`, such as blends or
+    contexts, in which all groups ask. Each list is placed once, in ranges, ties to the lower item.
+    """
+    placed = places(scores, by, [F.desc("score"), "item"], "place").select(*by, "item", "place")
+    lists, asked = placed.select(by).distinct(), groups.select("group").distinct()  # a row a list
+    best = groups.select("group", "item").distinct().join(placed, "item").groupBy(*by, "group").agg(F.min("place").alias("place"))
+    every = asked.crossJoin(F.broadcast(lists)).join(best, [*by, "group"], "left")
+    return every.select(*by, "group", F.coalesce("place", F.lit(n_items)).cast("long").alias("rank"))
+
+
+def broadest(df: DataFrame, context: str, n: int) -> DataFrame:
+    """(context): the n contexts with the most rows, ties to the lower name."""
+    return df.groupBy(context).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), context).limit(n).select(context)
+
+
 def marginal_scores(scores: DataFrame, by: list[str]) -> DataFrame:
     """Scores averaged over contexts."""
     return scores.groupBy(*by, "item").agg(F.avg("score").alias("score"))

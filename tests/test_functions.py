@@ -132,8 +132,8 @@ def test_odd_trees(spark):
     assert show("unknown", "parent") == [None, 0] and show("unknown", "parent_carbon") == [None, 0]
     assert show("long", "depth") == list(range(52)) and show("long", "bottom_up") == list(range(52, 0, -1))
     assert show("one", "depth") == [0] and "none" not in got and "null" not in got and show("number", "name") == ["Unknown", "Man"]
-    counts = spark.createDataFrame([("a_b_c",), ("____",), ("_" * 6,), ("_" * 7,)], "s string")
-    assert [r.a for r in counts.select(st.antennae(F.col("s")).alias("a")).collect()] == [1, 2, 3, 4]
+    texts = [None, "a/b", "W/1,1,1/[x_1]/1-1/a_b_c", "W/1/[x]/1-1/____", "W/1/[x_1/_5]/1/" + "_" * 6, "W/1/[x]/1/" + "_" * 7]
+    assert [r.a for r in spark.createDataFrame([(x,) for x in texts], "s string").select(st.antennae(F.col("s")).alias("a")).collect()] == [0, 1, 1, 2, 3, 4]
 
 
 def test_vectors(one):

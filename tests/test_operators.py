@@ -334,7 +334,7 @@ def test_step_down_and_false_discovery(spark):
 
 
 def test_chosen_test(spark):
-    w, p = me.shapiro_wilk([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236])
+    n, w, p = me.shapiro_wilk(spark.createDataFrame([(float(x),) for x in (236, 148, 154, 158, 160, 161, 162, 166, 170, 182, 195)] + [(None,)], "x double"), "x")
     assert abs(w - 0.7888) < 2e-3 and abs(p - 0.0067) < 5e-4
     of = lambda d: me.chosen_test(spark.createDataFrame([(float(x), 0.0) for x in d], "a double, b double"), "a", "b").first()
     assert of([0.3, 0.1, 0.2, 0.4, 0.25]).test == "paired t"
@@ -382,8 +382,62 @@ def test_report_of_a_small_graph(spark):
         "site_isoform": ("warning", 1, ["SITE::P12345-2::5::N"]), "site_residue": ("warning", 1, ["SITE::P99999::7::B"]), "unmapped_sites": ("warning", 1, ["SITE::P99999::7::B"]), "has_site_sources": ("warning", 1, ["ghost"]), "ptm_crosstalk_targets": ("warning", 1, ["G1"]),
     }
     values = {r.check: (r.n, r.value) for r in rows}
-    assert values["nodes"] == (8, None) and values["metadata"] == (5, 62.5) and values["in_degree"] == (3, 1.8) and values["components"][0] == 4 and values["out_degree_zero"] == (3, None)
+    assert values["nodes"] == (8, None) and values["metadata"] == (5, 62.5) and values["in_degree"] == (3, 1.8) and values["components"][0] == 3 and values["out_degree_zero"] == (3, None)
     order = ["density", "orphans", "duplicate_edges", "dangling_sources", "self_loops", "cycle_inhibits", "in_degree", "components", "metadata", "bad_ids_glycan", "localized_in_sources", "site_format", "unmapped_sites", "has_site_sources", "ptm_crosstalk_sources"]
     assert [x for x in names if x in order] == order
     empty = {r.check: r.n for r in validate.check_graph(n.where("false"), e.where("false")).collect()}
     assert not any(empty.values())
+
+
+def test_normality_of_many_and_few(spark):
+    """No bound on the number of values; small numbers by their own rules."""
+    from statistics import NormalDist
+
+    even = [NormalDist(5, 2).inv_cdf((k + 0.5) / 6000) for k in range(6000)]
+    of = lambda xs: me.shapiro_wilk(spark.createDataFrame([(float(x),) for x in xs], "x double"), "x")
+    n, w, p = of(even)
+    assert n == 6000 and w > 0.999 and p > 0.5
+    assert of([2.0**k for k in range(12)])[2] < 0.001 and of([1, 1, 1, 1])[1:] == (1.0, 1.0) and of([1, 2])[2] == 0.0
+    assert of([1, 2, 4])[1] == pytest.approx(0.964286, abs=1e-5) and of([1, 2, 3, 7])[1] == pytest.approx(0.894978, abs=2e-3)
+
+
+def test_bootstrap_is_the_weighted_mean_of_each_resample(spark):
+    import numpy as np
+
+    df = spark.range(500).select(F.col("id"), (F.col("id") * 37 % 101).cast("double").alias("v")).unionAll(spark.createDataFrame([(900, None)], "id long, v double"))
+    got = me.bootstrap_ci(df.repartition(5), "v", "id", 300).first()
+    rows = df.where("v is not null").select(F.xxhash64(F.lit(42), "id").alias("h"), "v").collect()
+    w = me.poisson_weights(np.array([r.h for r in rows]), 300)
+    means = (np.array([r.v for r in rows]) @ w) / w.sum(0)
+    assert (got.low, got.high) == pytest.approx(tuple(np.percentile(means, [2.5, 97.5]))) and got.mean == pytest.approx(np.mean([r.v for r in rows]))
+    assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.05 and got.low < got.mean < got.high
+
+
+def test_folded_site_nodes_and_edges(spark):
+    kind = "uniprot_id string, site_position int, site_residue string, site_type string, evidence_code string, ord int"
+    one = spark.createDataFrame([("P1", 5, "N", "N-linked", "E1", 0), ("P1-1", 5, "N", "O-linked", None, 1), ("P1", 5, "N", "N-linked", 'say "E2"', 2), ("", 5, "N", "x", None, 3), ("P2-3", 7, "S", None, None, 4), ("P1", None, "S", None, None, 5), ("P3", 0, "S", None, None, 6)], kind)
+    two = spark.createDataFrame([("P1", 5, "N", "glyco", 0), ("P9", 1, "T", "phos", 1)], "uniprot_id string, site_position int, site_residue string, ptm_type string, ord int")
+    sources = [("UniProt", one, ["site_type", "evidence_code"]), ("PTMCode", two, ["ptm_type"])]
+    nodes = {r.node_id: (r.label, r.metadata) for r in build.site_nodes(sources).collect()}
+    assert nodes["SITE::P1-1::5::N"] == ("P1:N5", '{"evidence_code": ["E1","say \\"E2\\""], "position": "5", "ptm_type": "glyco", "residue": "N", "site_type": ["N-linked","O-linked"], "source": ["UniProt","PTMCode"]}')
+    assert set(nodes) == {"SITE::P1-1::5::N", "SITE::P2-3::7::S", "SITE::P9-1::1::T"} and nodes["SITE::P2-3::7::S"][0] == "P2-3:S7"
+    proteins = spark.createDataFrame([("P1",), ("P2-1",)], "node_id string")
+    edges = {(r.source_id, r.target_id): r.metadata for r in build.site_edges(sources, proteins).collect()}
+    assert set(edges) == {("P1", "SITE::P1-1::5::N"), ("P2-1", "SITE::P2-3::7::S")} and edges["P2-1", "SITE::P2-3::7::S"] == '{"source": "UniProt"}'
+
+
+def test_sets_and_statistics_of_sites(spark):
+    edges = spark.createDataFrame([("p1", "d", "r", "protein", "disease"), ("d", "p2", "r", "disease", "protein"), ("p3", "e", "r", "protein", "disease"), ("d", "p2", "s", "disease", "protein")], "source_id string, target_id string, relation string, source_type string, target_type string")
+    sets = lambda r: {x.key: x["items"] for x in ag.sets_either_way(edges, r, "disease", "protein").collect()}
+    assert sets("r") == {"d": ["p1"], "e": ["p3"]} and sets("s") == {"d": ["p2"]} and sets("none") == {}
+    df = spark.createDataFrame([("P1", 3, "G1", "N"), ("P1", 3, "G1", ""), ("P1", 4, "G2", None), ("P2", 4, "G9", "N")], "p string, at int, g string, kind string")
+    got = {(r.measure, r.name): (r.n, r.percent) for r in ag.site_statistics(df, "p", "at", "g", "kind", spark.createDataFrame([("G1",), ("G2",), ("G2",)], "g string")).collect()}
+    assert got == {("proteins", None): (2, None), ("sites", None): (3, None), ("items", None): (3, None), ("triples", None): (3, None), ("known items", None): (2, 66.67), ("kind", "N"): (2, None), ("kind", "unknown"): (2, None)}
+
+
+def test_best_rank_of_a_group(spark):
+    scores = spark.createDataFrame([(a, k, float(k * a % 7)) for a in (1, 3) for k in range(7)], "alpha int, item int, score double")
+    groups = spark.createDataFrame([("g", 2), ("g", 5), ("h", 0), ("none", 99)], "group string, item int")
+    got = {(r.alpha, r.group): r["rank"] for r in rk.group_best_ranks(groups, scores, ["alpha"], 7).collect()}
+    assert got == {(1, "g"): 2, (1, "h"): 7, (1, "none"): 7, (3, "g"): 1, (3, "h"): 7, (3, "none"): 7}
+    assert [r.alpha for r in rk.broadest(scores.unionAll(scores.where("alpha = 3")), "alpha", 1).collect()] == [3]
