@@ -53,7 +53,7 @@ def minima(lines: DataFrame) -> DataFrame:
     most = F.when(n <= BINS * KEEP, F.lit((1 << 63) - 1)).otherwise((F.lit(float(BINS * KEEP)) / n * 2.0**64 - 2.0**63).cast("long"))
     u = lines.select("h", F.encode("line", "UTF-32").alias("u"))
     u = u.select("h", "u", _starts(F.col("u")).alias("starts")).select("h", "u", "starts", most.alias("most"))
-    each = u.select("h", "u", "most", F.explode("starts").alias("at"))
+    each = u.select("h", "u", "most", F.explode_outer("starts").alias("at"))  # never empty; a plain explode would make them twice to see that
     low = each.select("h", "most", _window(F.col("u"), F.col("at")).alias("x")).where("x <= most")
     low = low.select("h", "x", F.pmod("x", F.lit(BINS)).alias("bin"))
     return low.groupBy("h").agg(*(F.min(F.when(F.col("bin") == j, F.col("x"))).alias(f"m{j}") for j in range(BINS)))
@@ -102,7 +102,7 @@ def _likely(p: Column, q: Column) -> Column:
 def split_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, text_hash, line_no, line): the lines of every text that are not blank, without blank ends."""
     return (
-        df.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
+        df.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.posexplode_outer(F.split(F.col(text), "\n")).alias("line_no", "line"))
         .withColumn("line", F.btrim("line", F.lit(BLANK)))
         .where("line <> ''")
     )
@@ -206,7 +206,7 @@ def _block_links(members: DataFrame, texts: DataFrame, scratch: Scratch) -> Data
     each = both.select("b", "y", (F.col("p") != F.col("q")).alias("apart"), F.explode("x").alias("one"))
     each = each.select("b", "y", "apart", "one", _all_shingles(F.col("one.line")).alias("mine"))
     links = F.transform(F.filter("y", lambda q: near(F.col("one"), q)), lambda q: F.struct(q["h"].alias("h"), q["c"].alias("c"), (q["line"].isNull() | F.col("one.line").isNull()).alias("open")))
-    found = each.select("one.h", "one.c", F.explode(links).alias("q"))
+    found = each.select("one.h", "one.c", F.explode_outer(links).alias("q")).where("q is not null")  # a plain explode would compare twice
     pairs = scratch.save(found.select(F.col("h").alias("a"), F.col("q.h").alias("b"), F.col("c").alias("p"), F.col("q.c").alias("q"), "q.open"), "pairs")
     long = _similar_pairs(pairs.where("open").drop("open"), texts, False)
     return pairs.where("not open").drop("open").unionByName(long).select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()
