@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .catalog import query
 from .functions import sequence as sq, structure as st
-from .operators import aggregates as ag, build, chains, ranking as rk, validate
+from .operators import aggregates as ag, build, chains, ranking as rk, samples, validate
 from .session import table
 
 # the site graph: suppliers are proteins, quantities positions, return flags residues; some of each are broken
@@ -315,3 +315,78 @@ def composition_features(spark, sf_dir):
     text = F.concat(F.lit("WURCS=2.0/1,1,1/[a1122h-1b_1-5]/"), F.array_join(F.array_repeat(F.lit("1"), n), "-"), F.lit("/"), bonds)
     f = table(spark, sf_dir, "part").select("p_partkey", st.composition_features(text).alias("f"))
     return f.select("p_partkey", F.get("f.composition", F.lit(1)).alias("man"), F.round(F.get("f.composition_log", F.lit(1)), 9).alias("man_log"), "f.core_type", "f.antennae", "f.total")
+
+
+# sample builders
+
+KINDS = ("AF", "NF", "NO", "RF")
+
+
+@query(
+    """
+    WITH p AS (SELECT DISTINCT l_suppkey AS query, l_partkey AS item FROM lineitem), v AS (SELECT p_partkey AS item, row_number() OVER (ORDER BY p_partkey) - 1 AS item_id FROM part WHERE p_size > 5),
+    c AS (SELECT DISTINCT l_partkey AS item, l_returnflag || l_linestatus AS class FROM lineitem WHERE l_quantity > 20),
+    k AS (SELECT item, list_transform(['AF', 'NF', 'NO', 'RF'], lambda n: CAST(list_contains(list(class), n) AS INTEGER)) AS cs FROM c GROUP BY item),
+    f AS (SELECT item, count(*) AS frequency FROM p GROUP BY item),
+    m AS (SELECT query, p.item, item_id, frequency, coalesce(cs, [0, 0, 0, 0]) AS cs FROM p JOIN v USING (item) JOIN f USING (item) LEFT JOIN k USING (item)),
+    q AS (SELECT query, dense_rank() OVER (ORDER BY query) - 1 AS query_id, max(cs[1]) AS a, max(cs[2]) AS b, max(cs[3]) AS c, max(cs[4]) AS d FROM m GROUP BY query)
+    SELECT query, item, query_id, item_id, frequency, array_to_string(cs, '') AS item_classes, a || '' || b || c || d AS query_classes FROM m JOIN q USING (query)
+    """
+)
+def retrieval_samples(spark, sf_dir):
+    """Suppliers ask for parts; a part's classes are its lines' states."""
+    lines = table(spark, sf_dir, "lineitem")
+    pairs = lines.select(F.col("l_suppkey").alias("query"), F.col("l_partkey").alias("item")).distinct()
+    classes = lines.where("l_quantity > 20").select(F.col("l_partkey").alias("item"), F.concat("l_returnflag", "l_linestatus").alias("class")).distinct()
+    items = table(spark, sf_dir, "part").where("p_size > 5").select(F.col("p_partkey").alias("item"))
+    out = samples.retrieval_samples(pairs, items, classes, list(KINDS))
+    return out.withColumns({c: F.array_join(F.col(c).cast("array<string>"), "") for c in ("item_classes", "query_classes")})
+
+
+@query(
+    """
+    WITH t AS (SELECT conv_id AS protein, turn, CAST(length(coalesce(text, '')) AS DOUBLE) AS a, CAST(turn AS DOUBLE) AS b, role FROM conversations),
+    r AS (SELECT protein, row_number() OVER (PARTITION BY protein ORDER BY turn, a) AS k, a, b, count(*) OVER (PARTITION BY protein) AS n FROM t),
+    s AS (SELECT protein, turn * 3 - 2 AS position, role AS item FROM t),
+    w AS (SELECT s.protein, s.position, s.item, a, b, exp(-0.15 * abs(k - greatest(least(position, n), 1))) AS w FROM s JOIN r ON r.protein = s.protein WHERE abs(k - greatest(least(position, n), 1)) <= 16),
+    m AS (SELECT protein, avg(a) AS ma, avg(b) AS mb FROM r GROUP BY protein), c AS (SELECT protein, max((role = 'user')::INT) AS u, max((role = 'assistant')::INT) AS x FROM t GROUP BY protein),
+    l AS (SELECT protein, position, item, sum(a * w) / sum(w) AS la, sum(b * w) / sum(w) AS lb FROM w GROUP BY ALL)
+    SELECT protein, CAST(position AS BIGINT) AS position, item, round(la, 6) AS local_a, round(lb, 6) AS local_b, round(ma, 6) AS mean_a, round(mb, 6) AS mean_b, u || '' || x || u AS classes FROM l JOIN m USING (protein) JOIN c USING (protein)
+    """
+)
+def site_samples(spark, sf_dir):
+    """Conversations are proteins, turns residues with a length and a number; sites lie on and beyond them."""
+    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("protein"), "turn", F.length(F.coalesce("text", F.lit(""))).cast("double").alias("a"), F.col("role").alias("item"))
+    vectors = F.transform(F.array_sort(F.collect_list(F.struct("turn", "a"))), lambda r: F.array(r["a"], r["turn"].cast("double")))  # a conversation has few turns
+    residues = t.groupBy("protein").agg(vectors.alias("vectors"))
+    sites = t.select("protein", (F.col("turn") * 3 - 2).alias("position"), "item").distinct()
+    roles = t.select("item").distinct()
+    classes = roles.where("item = 'user'").select("item", F.explode(F.array(F.lit("u"), F.lit("v"))).alias("class")).unionAll(roles.where("item = 'assistant'").select("item", F.lit("x")))
+    s = samples.site_samples(sites, residues, classes, ["u", "x", "v"])
+    of = lambda c, k, n: F.round(F.get(c, F.lit(k)), 6).alias(n)
+    return s.select("protein", F.col("position").cast("long").alias("position"), "item", of("local", 0, "local_a"), of("local", 1, "local_b"), of("mean", 0, "mean_a"), of("mean", 1, "mean_b"), F.array_join(F.col("classes").cast("array<string>"), "").alias("classes"))
+
+
+STANDARD = ", ".join(f"round((c{k} - avg(c{k}) OVER ()) / greatest(stddev_samp(c{k}) OVER (), 1e-6), 6) AS c{k}" for k in range(13))
+
+
+@query(
+    f"""
+    WITH d AS (SELECT doc_id, translate(text, 'eaio', 'NSTN') AS s FROM documents), m AS (SELECT doc_id, s, regexp_extract_all(s, '(?s).*?N[^P][ST]') AS parts FROM d),
+    e AS (SELECT doc_id, s, len(parts) AS n, unnest(list_transform(range(1, len(parts) + 1), lambda k: CAST(list_sum(list_transform(parts[1:k], lambda x: length(x))) AS BIGINT) - 2)) AS p FROM m),
+    w AS (SELECT *, length(s) AS l, s[greatest(1, p - 15) : least(length(s), p + 17)] AS w, s[greatest(1, p - 30) : least(length(s), p + 32)] AS v FROM e),
+    c AS (SELECT doc_id, p, s, (s[p + 2] = 'S')::INT AS c0, (s[p + 2] = 'T')::INT AS c1, (p - 1) / l AS c2, (l - p + 1) / l AS c3, n AS c4, ln(1 + l) AS c5, (p <= 30)::INT AS c6,
+      len(regexp_extract_all(w, '[DEKRH]')) / length(w) AS c7, len(regexp_extract_all(w, '[STCYNQ]')) / length(w) AS c8, len(regexp_extract_all(w, '[AILMFWV]')) / length(w) AS c9, len(regexp_extract_all(w, 'P')) / length(w) AS c10,
+      len(regexp_extract_all(w, 'C')) / length(w) AS c11, len(regexp_extract_all(v, 'N[^P][ST]')) / 63 AS c12 FROM w),
+    k AS (SELECT DISTINCT l_orderkey AS doc_id, l_partkey AS p FROM lineitem)
+    SELECT c.doc_id AS protein, CAST(c.p AS INTEGER) AS position, (k.p IS NOT NULL)::INT AS label,
+      array_to_string(list_transform(range(-3, 6), lambda o: CASE WHEN c.p + o < 1 OR c.p + o > length(s) OR instr('ACDEFGHIKLMNPQRSTVWY', s[c.p + o]) = 0 THEN 20 ELSE instr('ACDEFGHIKLMNPQRSTVWY', s[c.p + o]) - 1 END), ',') AS keys, {STANDARD}
+    FROM c LEFT JOIN k ON k.doc_id = c.doc_id AND k.p = c.p
+    """
+)
+def motif_samples(spark, sf_dir):
+    """Motifs of texts read as sequences, labelled by a table of places."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("protein"), F.translate("text", "eaio", "NSTN").alias("sequence"))
+    known = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("protein"), F.col("l_partkey").cast("int").alias("position"))
+    s = samples.motif_samples(d, known)
+    return s.select("protein", "position", "label", F.array_join(F.col("keys").cast("array<string>"), ",").alias("keys"), *(F.round(F.get("context", F.lit(k)), 6).alias(f"c{k}") for k in range(13)))

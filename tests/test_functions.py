@@ -144,3 +144,35 @@ def test_vectors(one):
     assert r.c == pytest.approx(0.8) and r.z == 0 and r.t == pytest.approx(-math.sqrt(18)) and r.l == pytest.approx(-6) and r.d == pytest.approx(6)
     assert r.rot == pytest.approx(0) and r.cc == pytest.approx([4, 5]) and r.j == pytest.approx(1 / 3) and r.p == pytest.approx(0, abs=1e-6)
     assert r.e == pytest.approx([0.3, 0.4]) and r.m == pytest.approx(2)
+
+
+def test_motif_features(spark):
+    """All 62 values of every motif against the rule written out by hand."""
+    import re
+
+    from kgloom.functions import windows as w
+
+    def by_hand(s, pos):
+        n, share = len(s), lambda part, of: sum(c in of for c in part) / max(len(part), 1)
+        count = lambda part: len(re.findall("N[^P][ST]", part))
+        start = max(0, pos - 15)
+        local = s[start : min(n, pos + 18)]
+        water = lambda part: [w.HYDROPATHY.get(c, 0) for c in part]
+        mean = lambda v: sum(v) / len(v) if v else 0.0
+        h, mid = water(local), pos - start
+        out = [share(local, r) for r in w.RESIDUES]
+        out += [mean(h), math.sqrt(mean([(x - mean(h)) ** 2 for x in h])), mean(water(local[:mid])), mean(water(local[mid + 3 :])), float(s[pos + 2] == "S")]
+        out += [float(s[pos + 1] == r) for r in w.RESIDUES]
+        out += [pos / n, pos / n, (n - pos) / n, math.log1p(n), count(s) / n * 100]
+        up, down = s[max(0, pos - 5) : pos], s[pos + 3 : pos + 8]
+        out += [share(p, of) for p in (up, down) for of in ("DEKRH", "STCYNQ", "FWY")]
+        out += [float("P" in s[max(0, pos - 2) : pos]), float("P" in s[pos + 3 : pos + 5])]
+        out += [count(s[max(0, pos - 20) : pos]) / max(1, min(pos, 20)), count(s[pos + 3 : pos + 23]) / max(1, min(n - pos - 3, 20)), float(pos < 30), float(mean(h) > 1.5)]
+        return out
+
+    text = "NASXNPTPNVSILVAFNISPPNNTKRDWYNGTAAILVMFNLTILVAAVILLNCS"
+    rows = [(text, m.start() + 1) for m in re.finditer("N[^P][ST]", text)] + [("NAS", 1)]
+    df = spark.createDataFrame(rows, "s string, p int")
+    for r, (s, p) in zip(df.select(w.motif_features(F.col("s"), F.col("p")).alias("f"), w.key_residues(F.col("s"), F.col("p")).alias("k")).collect(), rows):
+        assert r.f == pytest.approx(by_hand(s, p - 1)) and len(r.f) == 62
+        assert r.k == [w.RESIDUES.find(s[p - 1 + o]) if 0 <= p - 1 + o < len(s) and s[p - 1 + o] in w.RESIDUES else 20 for o in range(-3, 6)]
