@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..scratch import Scratch
 from .ranges import places, ranged, running
 
 
@@ -20,34 +21,42 @@ def roc_auc(df: DataFrame, by: list[str], score: str = "score", label: str = "la
     return out.where("np > 0 and nq > 0").select(*by, (F.col("w") / (F.col("np") * F.col("nq"))).alias("auc"))
 
 
-def _placed(df: DataFrame, by: list[str], score: str, tie: str) -> DataFrame:
-    return df.withColumn("_pos", F.row_number().over(W.partitionBy(*by).orderBy(F.desc(score), tie)))
+def _best(df: DataFrame, by: list[str], k: int, tie: str, score: str) -> DataFrame:
+    """The k best rows of each group with their place; the limit cuts every partition before rows move."""
+    placed = df.withColumn("_pos", F.row_number().over(W.partitionBy(*by).orderBy(F.desc(score), tie)))
+    return placed.where(F.col("_pos") <= k)
+
+
+def _with_totals(best: DataFrame, df: DataFrame, by: list[str], label: str) -> DataFrame:
+    """Groups with positives, their number `n` and what `best` has for them."""
+    totals = df.groupBy(*by).agg(F.sum(label).alias("n")).where("n > 0")
+    return totals.join(best, by, "left") if by else totals.crossJoin(F.broadcast(best))  # one row each
 
 
 def recall_at(df: DataFrame, by: list[str], k: int, tie: str, score: str = "score", label: str = "label") -> DataFrame:
     """(by, recall): share of the positives among the k best; groups without positives are left out."""
-    placed = _placed(df, by, score, tie)
-    found = F.sum(F.when(F.col("_pos") <= k, F.col(label)).otherwise(0))
-    out = placed.groupBy(*by).agg(found.alias("f"), F.sum(label).alias("n")).where("n > 0")
-    return out.select(*by, (F.col("f") / F.col("n")).alias("recall"))
+    found = _best(df, by, k, tie, score).groupBy(*by).agg(F.sum(label).alias("f"))
+    return _with_totals(found, df, by, label).select(*by, (F.coalesce("f", F.lit(0)) / F.col("n")).alias("recall"))
 
 
 def ndcg_at(df: DataFrame, by: list[str], k: int, tie: str, score: str = "score", label: str = "label") -> DataFrame:
     """(by, ndcg): binary gains; the ideal list ends at k too (M9)."""
-    placed = _placed(df, by, score, tie)
-    gain = F.when(F.col("_pos") <= k, F.col(label) / F.log2(F.col("_pos") + 1)).otherwise(0.0)
-    out = placed.groupBy(*by).agg(F.sum(gain).alias("dcg"), F.sum(label).alias("n")).where("n > 0")
+    gained = _best(df, by, k, tie, score).groupBy(*by).agg(F.sum(F.col(label) / F.log2(F.col("_pos") + 1)).alias("dcg"))
     steps = F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int"))
     ideal = F.aggregate(steps, F.lit(0.0), lambda a, p: a + 1 / F.log2(p + 1))
-    return out.select(*by, (F.col("dcg") / ideal).alias("ndcg"))
+    return _with_totals(gained, df, by, label).select(*by, (F.coalesce("dcg", F.lit(0.0)) / ideal).alias("ndcg"))
 
 
 def enrichment(df: DataFrame, share: float, tie: str, score: str = "score", label: str = "label") -> DataFrame:
-    """(ef): rate of positives among the top share (one row at least) over the rate of all."""
-    n, p = df.agg(F.count("*"), F.sum(label)).first()
-    top = max(1, int(n * share))
-    best = df.orderBy(F.desc(score), tie).limit(top)
-    return best.agg(((F.sum(label) / top) / (p / n) if p else F.lit(0.0)).alias("ef"))
+    """(ef): rate of positives among the top share (one row at least) over the rate of all.
+
+    Rows are placed in ranges, so the top share, which grows with the table, meets in no task.
+    """
+    placed = places(df.select(score, tie, label), [], [F.desc(score), tie], "_pos")
+    n = df.agg(F.count("*").alias("n"), F.sum(label).alias("p"), F.greatest(F.lit(1), F.floor(F.count("*") * F.lit(share))).alias("top"))
+    met = placed.crossJoin(F.broadcast(n))  # one row
+    best = met.groupBy("n", "p", "top").agg(F.sum(F.when(F.col("_pos") <= F.col("top"), F.col(label)).otherwise(0)).alias("f"))
+    return best.select(F.when(F.col("p") > 0, (F.col("f") / F.col("top")) / (F.col("p") / F.col("n"))).otherwise(0.0).alias("ef"))
 
 
 def pr_auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
@@ -110,35 +119,37 @@ def hierarchical_consistency(df: DataFrame, key: str, level: str, correct: str)
 # statistics
 
 
-def _by_value(df: DataFrame, by: list[str], p: str) -> DataFrame:
-    """The distinct p-values of each `by`, in ranges, with `_n` equal ones, `_upto` and all `_all` of them."""
-    values = df.groupBy(*by, p).agg(F.count("*").alias("_n"))
-    total = values.groupBy(*by).agg(F.sum("_n").alias("_all"))
-    summed = running(ranged(values, by, [p]), by, [p], F.sum, {"_upto": "_n"})
-    return summed.join(total, by) if by else summed.crossJoin(F.broadcast(total))  # one row
-
+def adjusted(df: DataFrame, by: list[str], p: str, names: tuple[str | None, str | None] = ("holm", "bh")) -> DataFrame:
+    """df with p-values adjusted by Holm's step-down rule and for the false discovery rate (Q2, Q5), of one pass.
 
-def _adjusted(df: DataFrame, values: DataFrame, by: list[str], p: str, name: str) -> DataFrame:
-    own = values.select(*by, p, F.least(F.col(name), F.lit(1.0)).alias(name))
+    Equal p-values have the first one's result whatever their order, so only distinct ones are
+    ordered, once, in ranges; a null p-value gets null. A name None leaves that result out.
+    """
+    scratch = Scratch(df.sparkSession, "adjusted")
+    values = df.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("_n"))
+    placed = ranged(values, by, [p])
+    total = placed.groupBy(*by).agg(F.sum("_n").alias("_all"))
+    summed = running(placed, by, [p], F.sum, {"_upto": "_n"})
+    summed = scratch.save(summed.join(total, by) if by else summed.crossJoin(F.broadcast(total)), "values")  # one row
+    out = summed
+    if names[0]:
+        stepped = out.withColumn("_s", F.col(p) * (F.col("_all") - F.col("_upto") + F.col("_n")))
+        out = running(stepped, by, [p], F.max, {names[0]: "_s"}).drop("_s")
+    if names[1]:
+        stepped = out.withColumn("_s", F.col(p) * F.col("_all") / F.col("_upto"))
+        out = running(stepped, by, [p], F.min, {names[1]: "_s"}, reverse=True).drop("_s")
+    own = out.select(*by, p, *(F.least(F.col(n), F.lit(1.0)).alias(n) for n in names if n))
     return df.join(own, [*by, p], "left")
 
 
 def holm(df: DataFrame, by: list[str], p: str, tie: str) -> DataFrame:
-    """df with `holm`: p-values adjusted by Holm's step-down rule (Q2).
-
-    Equal p-values have the first one's result whatever their order, so only distinct ones are
-    ordered; a null p-value gets null.
-    """
-    values = _by_value(df.where(F.col(p).isNotNull()), by, p)
-    stepped = values.withColumn("_s", F.col(p) * (F.col("_all") - F.col("_upto") + F.col("_n")))
-    return _adjusted(df, running(stepped, by, [p], F.max, {"holm": "_s"}), by, p, "holm")
+    """df with `holm` of adjusted() (Q2)."""
+    return adjusted(df, by, p, ("holm", None))
 
 
 def benjamini_hochberg(df: DataFrame, by: list[str], p: str, tie: str) -> DataFrame:
-    """df with `bh`: p-values adjusted for the false discovery rate (Q5); equal ones as in holm()."""
-    values = _by_value(df.where(F.col(p).isNotNull()), by, p)
-    stepped = values.withColumn("_s", F.col(p) * F.col("_all") / F.col("_upto"))
-    return _adjusted(df, running(stepped, by, [p], F.min, {"bh": "_s"}, reverse=True), by, p, "bh")
+    """df with `bh` of adjusted() (Q5)."""
+    return adjusted(df, by, p, (None, "bh"))
 
 
 def cohens_d(df: DataFrame, by: list[str], group: str, value: str) -> DataFrame:

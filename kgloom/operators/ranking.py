@@ -157,34 +157,48 @@ def softmax(score: Column, over, temperature: float = 1.0) -> Column:
 
 
 def min_max(score: str, by: list[str]) -> Column:
-    """Scaled to 0..1 within each query; a constant becomes 0."""
+    """Scaled to 0..1 within each query; a constant becomes 0 (X6). A window: for short lists only."""
     w = W.partitionBy(*by)
-    low, high = F.min(score).over(w), F.max(score).over(w)
-    return F.when(high > low, (F.col(score) - low) / (high - low)).otherwise(F.when(F.col(score).isNotNull(), F.lit(0.0)))
+    return _scaled(F.col(score), F.min(score).over(w), F.max(score).over(w))
+
+
+def _scaled(x: Column, low: Column, high: Column) -> Column:
+    return F.when(high > low, (x - low) / (high - low)).otherwise(F.when(x.isNotNull(), F.lit(0.0)))
+
+
+def with_scales(scores: DataFrame, by: list[str], fs: dict[str, Column]) -> DataFrame:
+    """scores with aggregates of their query, by one combined aggregate and a join: a query may hold most rows."""
+    stats = scores.groupBy(*(F.col(b).alias(f"_by_{b}") for b in by)).agg(*(f.alias(n) for n, f in fs.items()))
+    fit = F.lit(True)
+    for b in by:
+        fit = fit & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
+    return scores.join(stats, fit).drop(*(f"_by_{b}" for b in by))
+
+
+def _both_scaled(scores: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+    ends = {f"_{n}{k}": f(c) for k, c in enumerate((a, b)) for n, f in (("low", F.min), ("high", F.max))}
+    out = with_scales(scores, by, ends)
+    return out.withColumns({f"_x{k}": _scaled(F.col(c), F.col(f"_low{k}"), F.col(f"_high{k}")) for k, c in enumerate((a, b))}).drop(*ends)
 
 
 def blend(scores: DataFrame, by: list[str], a: str, b: str, alpha: float) -> DataFrame:
     """scores with `blend` = alpha * a + (1 - alpha) * b, min-max scaled; where one is null the other, raw."""
-    x, y = min_max(a, by), min_max(b, by)
-    mixed = F.when(F.col(a).isNull(), F.col(b)).when(F.col(b).isNull(), F.col(a)).otherwise(alpha * x + (1 - alpha) * y)
-    return scores.withColumn("blend", mixed)
+    mixed = F.when(F.col(a).isNull(), F.col(b)).when(F.col(b).isNull(), F.col(a)).otherwise(alpha * F.col("_x0") + (1 - alpha) * F.col("_x1"))
+    return _both_scaled(scores, by, a, b).withColumn("blend", mixed).drop("_x0", "_x1")
 
 
 def reciprocal_fusion(scores: DataFrame, by: list[str], a: str, b: str, k: int = 60) -> DataFrame:
-    """scores with `rrf` = 1 / (k + place by a) + 1 / (k + place by b), distinct places."""
-    place = lambda c: F.row_number().over(W.partitionBy(*by).orderBy(F.desc(c), "item"))
-    return scores.withColumn("rrf", 1 / (k + place(a)) + 1 / (k + place(b)))
+    """scores with `rrf` = 1 / (k + place by a) + 1 / (k + place by b), distinct places counted in ranges."""
+    first = places(scores, by, [F.desc(a), "item"], "_pa")
+    both = places(first, by, [F.desc(b), "item"], "_pb")
+    return both.withColumn("rrf", 1 / (k + F.col("_pa")) + 1 / (k + F.col("_pb"))).drop("_pa", "_pb")
 
 
 def z_blend(scores: DataFrame, by: list[str], a: str, b: str, alpha: float) -> DataFrame:
     """scores with `zblend` of z-scores by sample deviation; a constant counts 0."""
-    w = W.partitionBy(*by)
-
-    def z(c):
-        s = F.stddev_samp(c).over(w)
-        return F.when(s > 0, (F.col(c) - F.avg(c).over(w)) / s).otherwise(F.lit(0.0))
-
-    return scores.withColumn("zblend", alpha * z(a) + (1 - alpha) * z(b))
+    stats = {f"_{n}{k}": f(c) for k, c in enumerate((a, b)) for n, f in (("m", F.avg), ("s", F.stddev_samp))}
+    z = lambda c, k: F.when(F.col(f"_s{k}") > 0, (F.col(c) - F.col(f"_m{k}")) / F.col(f"_s{k}")).otherwise(F.lit(0.0))
+    return with_scales(scores, by, stats).withColumn("zblend", alpha * z(a, 0) + (1 - alpha) * z(b, 1)).drop(*stats)
 
 
 def rerank(scores: DataFrame, by: list[str], first: str, other: str, k: int, beta: float) -> DataFrame:
@@ -196,9 +210,10 @@ def rerank(scores: DataFrame, by: list[str], first: str, other: str, k: int, bet
 
 def search_alpha(scores: DataFrame, targets: DataFrame, by: list[str], a: str, b: str, alphas: list[float]) -> DataFrame:
     """(alpha, mrr, best): MRR of each blend over targets; the smallest of equal alphas is best."""
-    grid = scores.withColumns({"_a": min_max(a, by), "_b": min_max(b, by)}).withColumn("alpha", F.explode(F.array(*map(F.lit, alphas))))
-    grid = grid.withColumn("score", F.col("alpha") * F.col("_a") + (1 - F.col("alpha")) * F.col("_b"))
-    ranks = optimistic_rank(grid, [*by, "alpha"]).join(targets.select(*by, "item"), [*by, "item"], "left_semi")
+    grid = _both_scaled(scores, by, a, b).withColumn("alpha", F.explode(F.array(*map(F.lit, alphas))))
+    grid = grid.select(*by, "item", "alpha", (F.col("alpha") * F.col("_x0") + (1 - F.col("alpha")) * F.col("_x1")).alias("score"))
+    asked = targets.select(*by, "item").distinct().withColumn("alpha", F.explode(F.array(*map(F.lit, alphas))))
+    ranks = target_ranks(grid, asked, [*by, "alpha"])
     mrr = ranks.groupBy("alpha").agg(F.avg(1 / F.col("rank")).alias("mrr"))
     order = W.orderBy(F.desc("mrr"), "alpha")  # one row for each alpha
     return mrr.withColumn("best", F.row_number().over(order) == 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .ranges import places
 
@@ -57,12 +57,11 @@ def hold_out_entities(nodes: DataFrame, edges: DataFrame, ratio: float = 0.1, le
     """(node_id, node_type): per type max(1, floor(n * ratio)) of the eligible nodes, at most half."""
     ends = edges.select(F.col("source_id").alias("node_id")).unionAll(edges.select("target_id"))
     degree = ends.groupBy("node_id").agg(F.count("*").alias("_d")).where(F.col("_d") >= least_degree)
-    w = W.partitionBy("node_type")
-    n = F.count("*").over(w)
-    k = F.least(F.greatest(F.floor(n * F.lit(ratio)), F.lit(1)), F.floor(n / 2))
-    place = F.row_number().over(w.orderBy(seeded("node_id"), "node_id"))
     fit = nodes.join(degree, "node_id").select("node_id", "node_type")
-    return fit.withColumns({"_p": place, "_k": k}).where("_p <= _k").select("node_id", "node_type")
+    sizes = fit.groupBy("node_type").agg(F.count("*").alias("_n"))
+    k = F.least(F.greatest(F.floor(F.col("_n") * F.lit(ratio)), F.lit(1)), F.floor(F.col("_n") / 2))
+    placed = places(fit.withColumn("_seed", seeded("node_id")), ["node_type"], ["_seed", "node_id"], "_p")
+    return placed.join(sizes.select("node_type", k.alias("_k")), "node_type").where("_p <= _k").select("node_id", "node_type")
 
 
 def inductive_split(edges: DataFrame, held: DataFrame) -> DataFrame:
