@@ -100,18 +100,14 @@ def relation_participants(spark, sf_dir):
 def class_labels(spark, sf_dir):
     terms = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderpriority")
     out = lk.class_index(table(spark, sf_dir, "customer").select("c_custkey"), terms, "c_custkey", "o_orderpriority", "1-URGENT")
-    return lk_with_order(out, terms)
+    return out.select("c_custkey", "o_orderkey", "term_index", "label")
 
 
-def lk_with_order(out, terms):
-    """A customer has one row an order, so the order's number comes back by priority and customer."""
-    return out.join(terms, ["c_custkey", "o_orderpriority"], "left").select("c_custkey", "o_orderkey", "term_index", "label").distinct()
-
-
-@query("SELECT * FROM (VALUES ('in_nation', 'has'), ('has', 'in_nation'), ('in_region', 'holds'), ('holds', 'in_region')) AS t(relation, inverse)")
+@query("WITH k AS (SELECT DISTINCT o_orderpriority AS relation, 'inverse of ' || o_orderpriority AS inverse FROM orders WHERE o_orderpriority NOT LIKE '4%') SELECT relation, inverse FROM k UNION SELECT inverse, relation FROM k")
 def inverse_map(spark, sf_dir):
-    rows = [("in_nation", "has"), ("in_region", "holds"), ("placed_by", None)]
-    return lk.with_inverses(spark.createDataFrame(rows, "relation string, inverse string"))
+    """Order priorities as relations, one of which has no inverse."""
+    named = F.when(~F.col("o_orderpriority").startswith("4"), F.concat(F.lit("inverse of "), "o_orderpriority"))
+    return lk.with_inverses(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("relation"), named.alias("inverse")).distinct())
 
 
 @query("SELECT p_partkey, round(sin(p_size), 9) AS s0, round(cos(p_size), 9) AS c0, round(sin(p_size / 100.0), 9) AS s1, round(cos(p_size / 100.0), 9) AS c1 FROM part")
@@ -424,13 +420,14 @@ def crosstalk_pairs(spark, sf_dir):
     return build.crosstalk_edges(lines)
 
 
-INVERSE = "SELECT source_id AS src, CASE relation WHEN 'in_region' THEN 0 ELSE 1 END AS rel, target_id AS dst FROM {0} WHERE relation IN ('in_region', 'in_nation')"
+NUMBERED = ("in_region", "in_nation", "placed_by", "contains", "supplied_by")
 
 
-@query(f"WITH e AS ({INVERSE.format(EDGES)}) SELECT src, rel, dst FROM e UNION ALL SELECT dst, rel + 2, src FROM e")
+@query(f"WITH e AS (SELECT source_id AS src, CAST(list_position({list(NUMBERED)}, relation) - 1 AS INTEGER) AS rel, target_id AS dst FROM {EDGES}) SELECT src, rel, dst FROM e UNION ALL SELECT dst, rel + {len(NUMBERED)}, src FROM e")
 def edges_with_inverses(spark, sf_dir):
-    e = edges_of(spark, sf_dir, "in_region", "in_nation")
-    return graph.with_inverse(e.select(F.col("source_id").alias("src"), F.when(F.col("relation") == "in_region", 0).otherwise(1).alias("rel"), F.col("target_id").alias("dst")), 2)
+    number = F.array_position(F.array(*map(F.lit, NUMBERED)), F.col("relation")).cast("int") - 1
+    e = edges_of(spark, sf_dir).select(F.col("source_id").alias("src"), number.alias("rel"), F.col("target_id").alias("dst"))
+    return graph.with_inverse(e, len(NUMBERED))
 
 
 @query(f"WITH n AS (SELECT node_id FROM {NODES} WHERE node_type IN ('nation', 'supplier')) SELECT source_id, target_id, relation FROM {EDGES} WHERE source_id IN (FROM n) AND target_id IN (FROM n)")
@@ -477,10 +474,10 @@ def single_status(spark, sf_dir):
     return ag.single_class(table(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus")
 
 
-@query("SELECT lang, round(avg(n_chars), 4) AS n_chars_mean, coalesce(round(stddev_samp(n_chars), 4), 0) AS n_chars_std FROM documents WHERE lang = 'en' GROUP BY lang")
+@query("SELECT round(avg(n_chars), 4) AS n_chars_mean, coalesce(round(stddev_samp(n_chars), 4), 0) AS n_chars_std FROM documents")
 def metrics_over_runs(spark, sf_dir):
-    out = ag.over_seeds(table(spark, sf_dir, "documents").where("lang = 'en'"), ["n_chars"])
-    return out.select(F.lit("en").alias("lang"), F.round("n_chars_mean", 4).alias("n_chars_mean"), F.round("n_chars_std", 4).alias("n_chars_std"))
+    out = ag.over_seeds(table(spark, sf_dir, "documents"), ["n_chars"])
+    return out.select(F.round("n_chars_mean", 4).alias("n_chars_mean"), F.round("n_chars_std", 4).alias("n_chars_std"))
 
 
 @query(
@@ -521,14 +518,14 @@ def expression_over_top(spark, sf_dir):
 
 @query(
     """
-    WITH q AS (SELECT l_suppkey AS query, l_linenumber AS f, count(*) AS w FROM lineitem GROUP BY ALL), p AS (SELECT l_partkey AS item, l_linenumber AS f, sum(l_quantity) AS w FROM lineitem WHERE l_partkey % 20 = 1 GROUP BY ALL)
+    WITH q AS (SELECT l_suppkey AS query, l_linenumber AS f, count(*) AS w FROM lineitem GROUP BY ALL), p AS (SELECT l_partkey AS item, l_linenumber AS f, sum(l_quantity) AS w FROM lineitem GROUP BY ALL)
     SELECT query, item, CAST(sum(q.w * p.w) AS DOUBLE) AS score FROM q JOIN p USING (f) GROUP BY query, item
     """
 )
 def sparse_profile_scores(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     q = lines.groupBy(F.col("l_suppkey").alias("query"), "l_linenumber").agg(F.count("*").alias("weight"))
-    p = lines.where("l_partkey % 20 = 1").groupBy(F.col("l_partkey").alias("item"), "l_linenumber").agg(F.sum("l_quantity").alias("weight"))
+    p = lines.groupBy(F.col("l_partkey").alias("item"), "l_linenumber").agg(F.sum("l_quantity").alias("weight"))
     return ag.profile_scores(q, p, "l_linenumber").withColumn("score", F.col("score").cast("double"))
 
 

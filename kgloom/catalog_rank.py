@@ -426,14 +426,14 @@ def closed_form_scores(spark, sf_dir):
 @query(
     """
     WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer
-      UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders),
+      UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders),
     t AS (SELECT 'r' || r_regionkey AS node, 0 AS depth, NULL::VARCHAR AS parent FROM region UNION ALL
       SELECT e.child, t.depth + 1, t.node FROM t JOIN e ON e.parent = t.node WHERE t.depth < 3)
     SELECT node, depth, parent FROM t
     """
 )
 def hierarchy_levels(spark, sf_dir):
-    edges = edges_of(spark, sf_dir, "in_region", "in_nation", "placed_by").where(~F.col("source_id").startswith("s"))
+    edges = edges_of(spark, sf_dir, "in_region", "in_nation", "placed_by")
     roots = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"))
     return graph.hierarchy(edges.select(F.col("target_id").alias("parent"), F.col("source_id").alias("child")), roots, 3)
 

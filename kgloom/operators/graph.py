@@ -139,16 +139,18 @@ def hierarchy(edges: DataFrame, roots: DataFrame, most: int = 3) -> DataFrame:
     return seen
 
 
-def path_scores(edges: DataFrame, roots: DataFrame, rounds: int = 10) -> DataFrame:
+def path_scores(edges: DataFrame, roots: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, score): the best running mean of edge weights on the way from a root, level by level.
 
     edges(parent, child, weight). A node keeps the score of the level that reaches it first; equal
-    levels keep the highest.
+    levels keep the highest. Goes on until no level has new nodes, or for some rounds where that is asked.
     """
     scratch = Scratch(edges.sparkSession, "paths")
     seen = scratch.save(roots.select("node", F.lit(0.0).alias("score"), F.lit(0).alias("depth")).distinct(), "level")
     front = seen
-    for d in range(1, rounds + 1):
+    d = 0
+    while rounds is None or d < rounds:
+        d += 1
         step = front.select(F.col("node").alias("parent"), "score").join(edges, "parent")
         mean = (F.col("score") * (d - 1) + F.col("weight")) / d
         new = step.groupBy(F.col("child").alias("node")).agg(F.max(mean).alias("score"))

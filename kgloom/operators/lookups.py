@@ -89,12 +89,13 @@ def participants(edges: DataFrame, relation: str) -> DataFrame:
 
 
 def class_index(df: DataFrame, terms: DataFrame, key: str, term: str, positive: str) -> DataFrame:
-    """df with `label`, 1 for the positive term and 0 for others, and `term_index`, its place among sorted terms (F32)."""
+    """df with the rows of its terms(key, term, ...), `label`, 1 for the positive term and 0 for others, and `term_index`,
+    its place among sorted terms (F32)."""
     from pyspark.sql import Window as W
 
     named = terms.select(term).distinct().where(F.col(term).isNotNull())
     index = named.withColumn("term_index", (F.row_number().over(W.orderBy(term)) - 1).cast("int"))  # one row a term
-    of = terms.select(key, term).join(index, term)
+    of = terms.join(index, term)
     return df.join(of, key, "left").withColumn("label", F.when(F.col(term).isNotNull(), (F.col(term) == positive).cast("int")))
 
 
