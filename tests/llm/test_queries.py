@@ -150,6 +150,44 @@ def test_op6_held_out(spark):
     assert all(again[d] == r.score for d, r in got.items())
 
 
+def test_op6_against_numpy(spark, texts, duck):
+    """Ridge scores of each fold by direct solution, rising steps by their min-max formula, then every document's score."""
+    import zlib
+
+    from kgloom.llm import quality as ql
+
+    labels = dict(duck.execute("select doc_id, quality from labels where quality in (0, 1)").fetchall())
+    ids = sorted(texts)
+    stats = np.array([ql.statistics((texts[d] or "").encode()) for d in ids])
+    fold = np.array([zlib.crc32(str(d).encode()) % 4 for d in ids])
+    rows = [k for k, d in enumerate(ids) if d in labels and fold[k] != 2]
+    y, own = np.array([labels[ids[k]] for k in rows], float), fold[rows]
+    short = np.vectorize(lambda v: float(f"{v:.6g}"))
+    mean, spread = short(stats[rows].mean(0)), np.maximum(short(stats[rows].std(0)), 1e-6)
+    rng = np.random.default_rng(7)
+    w = rng.standard_normal((stats.shape[1], ql.FEATURES)) / np.sqrt(stats.shape[1])
+    b = rng.uniform(0, 2 * np.pi, ql.FEATURES)
+    z = np.c_[np.sqrt(2) * np.cos(np.clip((stats - mean) / spread, -8, 8) @ w + b), np.ones(len(ids))]
+    z = np.rint(z * ql.UNIT) / ql.UNIT
+    ridge = lambda a, t: np.linalg.solve(a.T @ a + np.eye(a.shape[1]) * ql.RIDGE * len(a), a.T @ t)
+    x = z[rows]
+    raw = np.empty(len(rows))
+    for f in np.unique(own):
+        raw[own == f] = x[own == f] @ ridge(x[own != f], y[own != f])
+    at = np.clip((raw - ql.LOWEST) / (ql.HIGHEST - ql.LOWEST) * ql.BINS, 0, ql.BINS - 1).astype(int)
+    bins = np.unique(at)
+    n, ones = np.array([(at == k).sum() for k in bins]), np.array([y[at == k].sum() for k in bins])
+    centre = ql.LOWEST + (bins + 0.5) * (ql.HIGHEST - ql.LOWEST) / ql.BINS
+    part = lambda i, j: ones[i : j + 1].sum() / n[i : j + 1].sum()
+    step = np.array([max(min(part(i, j) for j in range(k, len(bins))) for i in range(k + 1)) for k in range(len(bins))])
+    blocks = np.r_[0, np.flatnonzero(np.diff(step) > 1e-12) + 1, len(step)]
+    xs = [np.average(centre[i:j], weights=n[i:j]) for i, j in zip(blocks, blocks[1:])]
+    want = np.clip(np.interp(z @ ridge(x, y), xs, [step[i] for i in blocks[:-1]]), 0, 1)
+    got = {r.doc_id: (r.score, r.predicted, r.held_out) for r in q.op6_quality(spark, SF).collect()}
+    assert np.abs(want - [got[d][0] for d in ids]).max() < 1e-6
+    assert all(got[d][1] == (got[d][0] >= 0.7) and got[d][2] == (f == 2) for d, f in zip(ids, fold))
+
+
 def test_op9(spark, texts):
     import xxhash
 
