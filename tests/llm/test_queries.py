@@ -246,6 +246,65 @@ def test_pipeline(spark, texts):
     assert {r.doc_id for r in out} == seen[3] and all(r.round_trip and r.n_tokens == len(r.ids) for r in out)
 
 
+def test_pipeline_stages_by_brute_force(spark, duck):
+    """Each stage on all that the one before kept, against its rule by hand."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+    import xxhash
+
+    import corpus_pipeline as cp
+    from kgloom.llm import mixing
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    scores = {r.doc_id: r.predicted for r in q.op6_quality(spark, SF).collect()}  # held against numpy above
+    tables = [docs.collect()]
+    for _, stage in cp.STAGES:
+        docs = stage(spark, docs, SF)
+        tables.append(docs.collect())
+        docs = spark.createDataFrame(tables[-1], docs.schema)
+    first, good, lined, unique, mixed, ids = tables
+    assert sorted(r.doc_id for r in good) == sorted(r.doc_id for r in first if scores[r.doc_id] == 1)
+    # lines: of every component by exact similarity of all pairs, the first stays where it stands
+    lines = [(r.doc_id, k, x.strip(" \t\r\x0b\x0c")) for r in good for k, x in enumerate((r.text or "").split("\n"))]
+    sets = {x: shingles(x) for _, _, x in lines if x}
+    holders = collections.defaultdict(list)
+    for x, own in sets.items():
+        for g in own:
+            holders[g].append(x)
+    shared = collections.Counter((x, y) for hs in holders.values() if len(hs) < 400 for y in hs for x in hs if x < y)
+    near = [(x, y) for (x, y) in shared if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])]
+    group = components(sorted(sets), near)
+    firsts = {}
+    for d, k, x in sorted(lines):
+        if x:
+            firsts.setdefault(group[x], (d, k))
+    want = {}
+    for r in good:
+        parts = (r.text or "").split("\n")
+        kept = [p for k, p in enumerate(parts) if not (s := p.strip(" \t\r\x0b\x0c")) or firsts[group[s]] == (r.doc_id, k)]
+        if any(p.strip() for p in kept) or not any(p.strip() for p in parts):
+            want[r.doc_id] = "\n".join(kept)
+    got = {r.doc_id: r.text for r in lined}
+    assert sum(got.get(d) == t for d, t in want.items()) >= 0.98 * max(len(want), len(got))  # bands may miss a link
+    fps = {}
+    for r in lined:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+        runs = [" ".join(words[k : k + 4]) for k in range(max(1, len(words) - 3))] if words else []
+        hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in runs]
+        fps[r.doc_id] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    of = components(sorted(fps), [(a, b) for a in fps for b in fps if b < a and (fps[a] ^ fps[b]).bit_count() <= 4])
+    assert sorted(r.doc_id for r in unique) == sorted(set(of.values()))
+    plan = mixing.mix(spark.createDataFrame(unique, spark.read.parquet(f"{SF}/documents.parquet").schema)).collect()  # held against SQL above
+    times = collections.Counter({r.doc_id: r.whole + (r.extra > 0 and 2 * r.extra >= r.size) for r in plan})
+    assert collections.Counter(r.doc_id for r in mixed) == +times
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts_of = {r.doc_id: r.text or "" for r in mixed}
+    assert len(ids) == len(mixed) and all(r.ids == enc.encode_ordinary(texts_of[r.doc_id]) and r.round_trip for r in ids)
+
+
 def test_pipeline_of_odd_tables(spark, tmp_path):
     """Null texts and keys, repeated rows and extra columns with clashing names; and no rows at all."""
     import corpus_pipeline as cp
