@@ -158,6 +158,42 @@ def test_clashing_columns(spark):
         assert out.columns == names and all(tuple(r)[3:] == data[0][3:] for r in out.collect())
 
 
+def test_recall_over_a_thousand_links(spark, capsys):
+    """Lines of 4 to 200 words in families of copies with more and more edits, all pairs of a family compared by hand."""
+    import itertools
+    import random
+
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    data, families = [], []
+    for _ in range(100):
+        line, own = [word() for _ in range(rng.choice((4, 6, 9, 14, 25, 60, 200)))], []
+        for _ in range(14):
+            own.append(len(data))
+            data.append((len(data), " ".join(line)))
+            line = [*line]
+            for _ in range(max(1, len(line) // 40)):  # a chain: each differs a little from the one before
+                line[rng.randrange(len(line))] = word()
+        families.append(own)
+    got = {r.doc_id: r.component_doc for r in line_dedup.line_components(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    sets = [shingles(t) for _, t in data]
+    near = [(a, b) for f in families for a, b in itertools.combinations(f, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    found = sum(got[a] == got[b] for a, b in near)
+    parent = {k: k for k in got}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in near:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    false = sum(root(k) != root(c) for k, c in got.items())
+    with capsys.disabled():
+        print(f"\nop3: {found} of {len(near)} links found, {false} lines joined wrongly")
+    assert len(near) >= 1000 and found >= 0.99 * len(near) and false == 0
+
+
 def test_lines_too_long_for_a_block(spark, monkeypatch):
     """Groups of near lines come out alike whether lines stand in the blocks or fetch their texts."""
     import random
