@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .catalog import EDGES, NODES, edges_of, nodes_of, query
 from .catalog_rank import wrapped_scoring
-from .functions import sequence as sq, structure as st, text as tx, trees, vectors as vx
+from .functions import sequence as sq, structure as st, text as tx, trees
 from .operators import aggregates as ag, build, clustering, graph, joins, lookups as lk, metrics as me, ranking as rk, splits, tiles, validate
 from .session import table
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
 from .catalog import EDGES, edges_of, nodes_of, query
 from .functions import vectors as vx
-from .operators import aggregates as ag, graph, metrics as me, ranking as rk, splits
+from .operators import graph, metrics as me, ranking as rk, splits
 from .operators.tiles import Scoring, between, least_and_most
 from .session import table
 

@@ -1,6 +1,5 @@
 """Filter chains by hand, the containment join against all pairs, tables replaced as a whole."""
 
-import itertools
 import random
 
 import pytest
