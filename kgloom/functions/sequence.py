@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+# The residues in the order of their numbers.
 RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
 
 
@@ -68,7 +69,7 @@ def weighted_window_mean(vectors: Column, position: Column, half: int = 16, deca
     return F.transform(added, lambda x: x / total)
 
 
-#: How far a canonical position may lie from an isoform's, how far around both are compared, and the least share alike.
+# How far a canonical position may lie from an isoform's, how far around both are compared, and the least share alike.
 REACH, AROUND, ALIKE = 50, 10, 0.5
 
 

@@ -190,6 +190,7 @@ def composition_features(structure: Column) -> Column:
     return F.struct(counts.alias("composition"), F.transform(counts, F.log1p).alias("composition_log"), core.alias("core_type"), F.least(antennae(structure), F.lit(4)).alias("antennae"), total.alias("total"))
 
 
+# The thresholds of the two classes below, in the order in which they are tried.
 def core_class(comp: Column) -> Column:
     """Core class of a composition."""
     of = lambda n: F.coalesce(F.try_element_at(comp, F.lit(n)), F.lit(0))
