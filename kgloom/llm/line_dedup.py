@@ -17,9 +17,8 @@ BINS, ROWS = 24, 3
 #: A long line's minima are sought among about so many of its least hashes for each bin.
 KEEP = 3
 SIMILARITY = 0.8
-#: Before the exact comparison, up to SAMPLE of a line's shingles, those of the least hashes, are
-#: compared. A pair goes on unless its similarity there is over SPREAD standard deviations below SIMILARITY.
-SAMPLE, SPREAD = 384, 3.0
+#: A sketch has WORDS words of 64 bits; each of a line's shingles turns one bit over.
+WORDS = 16
 #: Lines of a band that are still to be compared meet in pairs of blocks of about so many.
 BLOCK = 64
 #: Lines up to so many characters stand in the blocks as text; pairs with a longer one fetch both texts.
@@ -55,13 +54,17 @@ def minima(lines: DataFrame) -> DataFrame:
     u = u.select("h", "u", _starts(F.col("u")).alias("starts")).select("h", "u", "starts", most.alias("most"))
     each = u.select("h", "u", "most", F.explode_outer("starts").alias("at"))  # never empty; a plain explode would make them twice to see that
     low = each.select("h", "most", _window(F.col("u"), F.col("at")).alias("x")).where("x <= most")
-    low = low.select("h", "x", F.pmod("x", F.lit(BINS)).alias("bin"))
+    low = low.select("h", "x", F.pmod("x", F.lit(BINS)).cast("int").alias("bin"))
     return low.groupBy("h").agg(*(F.min(F.when(F.col("bin") == j, F.col("x"))).alias(f"m{j}") for j in range(BINS)))
 
 
 def filled(signatures: DataFrame) -> DataFrame:
     """signatures(h, m0, m1, ...) where an empty bin takes the value of the next that is not."""
-    return signatures.select("h", *(F.coalesce(*(F.col(f"m{(j + k) % BINS}") for k in range(BINS))).alias(f"m{j}") for j in range(BINS)))
+    step = 1
+    while step < BINS:  # after it each bin has looked at 2 * step bins, itself included
+        signatures = signatures.select("h", *(F.coalesce(f"m{j}", f"m{(j + step) % BINS}").alias(f"m{j}") for j in range(BINS)))
+        step *= 2
+    return signatures
 
 
 def bands(signatures: DataFrame) -> DataFrame:
@@ -70,33 +73,25 @@ def bands(signatures: DataFrame) -> DataFrame:
     return filled(signatures).select("h", F.explode(F.array_distinct(F.array(*values))).alias("b"))
 
 
-def with_sample(texts: DataFrame) -> DataFrame:
-    """texts(h, line) with sample: n, how many shingles it has, and those up to cut, in 32 bits of their hashes.
+def sketches(texts: DataFrame) -> DataFrame:
+    """(h, sketch) of texts(h, line); sketch: n, how many shingles the line has, and s0, s1, ..., the parities of 64 * WORDS classes of them."""
+    all_of = texts.select("h", F.array_distinct(_all_shingles(F.col("line"))).alias("all"))
+    each = all_of.select("h", F.explode_outer("all").alias("x"))
+    each = each.select("h", F.shiftright("x", 6).bitwiseAND(F.lit(WORDS - 1)).alias("word"), F.expr("shiftleft(1L, cast(x & 63 as int))").alias("bit"))
+    words = (F.bit_xor(F.when(F.col("word") == j, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"s{j}") for j in range(WORDS))
+    counted = each.groupBy("h").agg(F.count("*").cast("int").alias("n"), *words)
+    return counted.select("h", F.struct("n", *(f"s{j}" for j in range(WORDS))).alias("sketch"))
 
-    cut halves the range of hashes until a line has SAMPLE shingles there at most, about.
-    """
-    u = texts.select("h", "line", _all_shingles(F.col("line")).alias("all"))
-    halvings = F.greatest(F.lit(0), F.ceil(F.log2(F.size("all") / F.lit(SAMPLE))))
-    cut = (F.pow(F.lit(2.0), 32 - halvings) - 2.0**31 - 1).cast("int")
-    u = u.select("h", "line", "all", cut.alias("cut"), F.size(F.array_distinct("all")).alias("n"))
-    u = u.select("h", "line", "n", "cut", F.transform("all", lambda x: F.shiftright(x, 32).cast("int")).alias("short"))
-    return u.select("h", "line", F.struct("n", "cut", F.array_distinct(F.filter("short", lambda x: x <= F.col("cut"))).alias("own")).alias("sample"))
-
-
-def _likely(p: Column, q: Column) -> Column:
-    """Whether the samples p, q of two lines leave it possible that these are similar."""
 
-    def up_to(x, cut):
-        return F.when(x["cut"] > cut, F.filter(x["own"], lambda v: v <= cut)).otherwise(x["own"])
+def _possible(p: Column, q: Column) -> Column:
+    """Whether the sketches p, q of two lines allow that these are similar; no similar pair is refused.
 
-    def fit(t):
-        whole = t["size"] - t["shared"]
-        return t["shared"] >= SIMILARITY * whole - SPREAD * (SIMILARITY * (1 - SIMILARITY)) ** 0.5 * F.sqrt(whole)
-
-    same = F.array(F.struct(up_to(p, q["cut"]).alias("a"), up_to(q, p["cut"]).alias("b")))
-    counts = F.transform(same, lambda t: F.struct((F.size(t["a"]) + F.size(t["b"])).alias("size"), F.size(F.array_intersect(t["a"], t["b"])).alias("shared")))
+    Each bit that differs takes a shingle that one line alone has, so the lines differ at as many
+    shingles at least. Of a and b shingles similar lines differ at (a + b) * (1 - SIMILARITY) / (1 + SIMILARITY) at most.
+    """
+    differ = sum((F.bit_count(p[f"s{j}"].bitwiseXOR(q[f"s{j}"])) for j in range(1, WORDS)), F.bit_count(p["s0"].bitwiseXOR(q["s0"])))
     near_sizes = F.least(p["n"], q["n"]) >= SIMILARITY * F.greatest(p["n"], q["n"])
-    return F.when(near_sizes, F.exists(counts, fit)).otherwise(False)
+    return F.when(near_sizes, differ * (1 + SIMILARITY) <= (p["n"] + q["n"]) * (1 - SIMILARITY) + 0.5).otherwise(False)  # 0.5: for rounding
 
 
 def split_lines(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -128,18 +123,17 @@ def _seen(lines: DataFrame, shared: DataFrame) -> DataFrame:
     return likely.withColumn("line", F.when(F.col("mask").bitwiseAND(bit("h")) != 0, F.col("line"))).select(lines.columns)
 
 
-def _similar_pairs(pairs: DataFrame, texts: DataFrame, sample: bool = True) -> DataFrame:
-    """The pairs(a, b, ...) of lines whose exact Jaccard similarity is SIMILARITY at least; by a sample first, if wanted."""
+def _similar_pairs(pairs: DataFrame, texts: DataFrame, bits: DataFrame) -> DataFrame:
+    """The pairs(a, b, ...) of lines whose exact Jaccard similarity is SIMILARITY at least; bits: their sketches."""
 
-    def both(of: DataFrame, what: str) -> DataFrame:
-        one, two = texts.select(F.col("h").alias("a"), F.col(what).alias("_p")), texts.select(F.col("h").alias("b"), F.col(what).alias("_q"))
+    def both(of: DataFrame, table: DataFrame, what: str) -> DataFrame:
+        one, two = table.select(F.col("h").alias("a"), F.col(what).alias("_p")), table.select(F.col("h").alias("b"), F.col(what).alias("_q"))
         return of.join(one, "a").join(two, "b")
 
-    if sample:
-        pairs = both(pairs, "sample").where(_likely(F.col("_p"), F.col("_q"))).select(pairs.columns)
-    texts = texts.select("h", F.struct("line", "sample.n").alias("own"))
-    shared = F.size(F.array_intersect(_all_shingles(F.col("_p.line")), _all_shingles(F.col("_q.line"))))
-    met = both(pairs, "own").select(*pairs.columns, (F.col("_p.n") + F.col("_q.n")).alias("_n"), shared.alias("_shared"))
+    p, q = F.col("_p"), F.col("_q")
+    possible = both(pairs, bits, "sketch").where(_possible(p, q)).select(*pairs.columns, (p["n"] + q["n"]).alias("_n"))
+    shared = F.size(F.array_intersect(_all_shingles(p), _all_shingles(q)))
+    met = both(possible, texts, "line").select(*possible.columns, shared.alias("_shared"))
     similar = met.select(*pairs.columns, (F.col("_shared") >= SIMILARITY * (F.col("_n") - F.col("_shared"))).alias("_similar"))
     return similar.where("_similar").select(pairs.columns)
 
@@ -160,7 +154,7 @@ def _merged(of: DataFrame, members: DataFrame, more: DataFrame, scratch: Scratch
     return scratch.save(lines.join(joined, "c", "left").select("h", F.coalesce("top", "c").alias("component")), "components")
 
 
-def _blocks(members: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+def _blocks(members: DataFrame, texts: DataFrame, bits: DataFrame, scratch: Scratch) -> DataFrame:
     """(b, rest, kind, k, x): the lines members(b, h, c, rest) of each band in blocks x of about BLOCK.
 
     kind is a lower band that all of a block's lines share, or b itself where there is none or too
@@ -174,22 +168,22 @@ def _blocks(members: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame
     sizes = kinds.groupBy("b", "rest", "kind").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("nb"))
     dealt = dealt.join(kinds.drop("n").join(sizes, ["b", "rest", "kind"]), ["b", "rest", "low"])
     text = F.when(F.length("line") <= CARRIED, F.col("line")).alias("line")
-    dealt = dealt.withColumn("k", F.pmod(F.xxhash64("h", F.lit(1)), "nb").cast("int")).join(texts.select("h", "sample", text), "h")
-    blocks = dealt.groupBy("b", "rest", "kind", "k").agg(F.collect_list(F.struct("h", "c", "bands", "sample", "line")).alias("x"))  # about BLOCK lines
+    dealt = dealt.withColumn("k", F.pmod(F.xxhash64("h", F.lit(1)), "nb").cast("int")).join(bits, "h").join(texts.select("h", text), "h")
+    blocks = dealt.groupBy("b", "rest", "kind", "k").agg(F.collect_list(F.struct("h", "c", "bands", "sketch", "line")).alias("x"))  # about BLOCK lines
     return scratch.save(blocks, "blocks")
 
 
-def _block_links(members: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+def _block_links(members: DataFrame, texts: DataFrame, bits: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b): components to join, by exact similarity among the lines members(b, h, c, rest) of each band.
 
-    Two blocks of a band are one row, within which lines are compared, by samples and then exactly:
-    rows grow with the number of blocks, not of pairs, and only links leave a row (and likely pairs
+    Two blocks of a band are one row, within which lines are compared, by sketches and then exactly:
+    rows grow with the number of blocks, not of pairs, and only links leave a row (and possible pairs
     with a line too long to stand in a block, which are compared outside). Blocks of the component of a band's
     lowest line do not meet each other, nor do blocks of one kind below the band. Lines of one
     component are not compared, nor is a pair in other bands than the lowest that it shares: there
     it is compared as well.
     """
-    blocks = _blocks(members, texts, scratch)
+    blocks = _blocks(members, texts, bits, scratch)
     at = ["rest", "kind", "k"]
     one = blocks.select("b", F.struct(*at).alias("p"))
     pairs = one.join(one.withColumnRenamed("p", "q"), "b").where("p <= q and (p.rest or q.rest) and (p.kind <> q.kind or p.kind = b)")
@@ -198,30 +192,37 @@ def _block_links(members: DataFrame, texts: DataFrame, scratch: Scratch) -> Data
     def near(p, q):
         other = (p["c"] < q["c"]) | ((p["c"] > q["c"]) & F.col("apart"))  # within one block each pair once
         lowest = F.array_min(F.array_intersect(p["bands"], q["bands"])) == F.col("b")
+        return F.when(other, F.when(_possible(p["sketch"], q["sketch"]), lowest).otherwise(False)).otherwise(False)
+
+    def similar(p, q):
         shared = F.size(F.array_intersect(F.col("mine"), _all_shingles(q["line"])))
-        exact = F.transform(F.array(shared), lambda n: n >= SIMILARITY * (p["sample"]["n"] + q["sample"]["n"] - n))[0]
-        similar = F.when(p["line"].isNull() | q["line"].isNull(), True).otherwise(exact)
-        return F.when(other, F.when(lowest, F.when(_likely(p["sample"], q["sample"]), similar).otherwise(False)).otherwise(False)).otherwise(False)
+        exact = F.transform(F.array(shared), lambda n: n >= SIMILARITY * (p["sketch"]["n"] + q["sketch"]["n"] - n))[0]
+        return F.when(p["line"].isNull() | q["line"].isNull(), True).otherwise(exact)
 
+    one = F.col("one")
     each = both.select("b", "y", (F.col("p") != F.col("q")).alias("apart"), F.explode("x").alias("one"))
-    each = each.select("b", "y", "apart", "one", _all_shingles(F.col("one.line")).alias("mine"))
-    links = F.transform(F.filter("y", lambda q: near(F.col("one"), q)), lambda q: F.struct(q["h"].alias("h"), q["c"].alias("c"), (q["line"].isNull() | F.col("one.line").isNull()).alias("open")))
+    each = each.select("one", F.filter("y", lambda q: near(one, q)).alias("y"))
+    each = each.select("one", "y", F.when(F.size("y") > 0, _all_shingles(F.col("one.line"))).alias("mine"))
+    links = F.transform(F.filter("y", lambda q: similar(one, q)), lambda q: F.struct(q["h"].alias("h"), q["c"].alias("c"), (q["line"].isNull() | F.col("one.line").isNull()).alias("open")))
     found = each.select("one.h", "one.c", F.explode_outer(links).alias("q")).where("q is not null")  # a plain explode would compare twice
     pairs = scratch.save(found.select(F.col("h").alias("a"), F.col("q.h").alias("b"), F.col("c").alias("p"), F.col("q.c").alias("q"), "q.open"), "pairs")
-    long = _similar_pairs(pairs.where("open").drop("open"), texts, False)
-    return pairs.where("not open").drop("open").unionByName(long).select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()
+    scratch.drop(blocks)
+    linked, long = pairs.where("not open").drop("open"), pairs.where("open").drop("open")
+    if not long.isEmpty():
+        linked = linked.unionByName(_similar_pairs(long, texts, bits))
+    return linked.select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()
 
 
-def _components(shared: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+def _components(shared: DataFrame, texts: DataFrame, bits: DataFrame, scratch: Scratch) -> DataFrame:
     """(h, component) of the lines that are linked to another."""
     rep = F.explode(F.array("lo", "hi")).alias("rep")
     pairs = shared.select("h", rep).where("h <> rep").select(F.least("h", "rep").alias("a"), F.greatest("h", "rep").alias("b")).distinct()
-    links = scratch.save(_similar_pairs(pairs, texts), "links")
+    links = scratch.save(_similar_pairs(pairs, texts, bits), "links")
     of = scratch.save(connected_components(links, scratch).select(F.col("node").alias("h"), "component"), "components")
     members = scratch.save(_open_members(shared, of), "members")
     if members.isEmpty():
         return of
-    more = scratch.save(_block_links(members, texts, scratch), "links")
+    more = scratch.save(_block_links(members, texts, bits, scratch), "links")
     return of if more.isEmpty() else _merged(of, members, more, scratch)
 
 
@@ -232,16 +233,16 @@ def _placed(df: DataFrame, key: str, text: str) -> DataFrame:
     shared = scratch.save(_shared_bands(lines.select("h", "line")), "bands")
     seen = scratch.save(_seen(lines, shared), "seen")
     texts = seen.where("line is not null").groupBy("h").agg(F.min("line").alias("line"))
-    texts = texts.join(shared.select("h").distinct(), "h", "left_semi")
-    texts = scratch.save(with_sample(texts), "texts")
-    of = _components(shared, texts, scratch)
-    rows = seen.select("key", "text_hash", "line_no", "h")
+    texts = scratch.save(texts.join(shared.select("h").distinct(), "h", "left_semi"), "texts")
+    bits = scratch.save(sketches(texts), "sketches")
+    of = _components(shared, texts, bits, scratch)
+    for table in (shared, texts, bits):
+        scratch.drop(table)
+    rows = seen.select("key", "text_hash", "line_no", "h").join(of, "h", "left")
+    rows = rows.select("key", "text_hash", "line_no", F.coalesce("component", "h").alias("component"))
     own = F.struct("key", "line_no", "text_hash")
-    firsts = rows.groupBy("h").agg(F.min(own).alias("first")).join(of, "h", "left")
-    firsts = scratch.save(firsts.select("h", "first", F.coalesce("component", "h").alias("component")), "firsts")
-    named = firsts.groupBy("component").agg(F.min("first").alias("first"))
-    named = firsts.select("h", "component").join(named, "component").select("h", "first")
-    return rows.join(named, "h").select(
+    named = rows.groupBy("component").agg(F.min(own).alias("first"))
+    return rows.join(named, "component").select(
         F.col("key").alias(key),
         "text_hash",
         "line_no",
@@ -262,9 +263,9 @@ def line_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     Lines are candidates where one of 8 bands of 3 minima agrees: at similarity 0.8 a pair is missed
     with probability (1 - 0.8**3)**8, about 0.003, and less above. Every line of a band is verified
     against the band's lowest and highest; then those of different components are compared, in blocks. So a group of many near-equal lines emits few pairs a line. Before its exact comparison
-    a pair of lines with over SAMPLE shingles is held against a sample of them, which rejects pairs
-    more than 3 standard deviations below 0.8: up to 0.0013 of the pairs right at the threshold that
-    share a band are lost there, fewer above it, and none of shorter lines. Lines and shingles are known by 64-bit hashes.
+    a pair of lines is held against sketches of their shingles, 128 bytes each, which give a lower bound of
+    the number of shingles at which they differ; no pair of 0.8 or more that shares a band is lost there. Lines of
+    over some 2,000 shingles fill a sketch, and more of their pairs are compared exactly. Lines and shingles are known by 64-bit hashes.
 
     Null and blank texts have no lines; very long lines are compared whole. A null key comes first
     in order. Of rows that repeat a key, those of equal texts are decided alike, others each by

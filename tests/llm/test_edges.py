@@ -194,6 +194,60 @@ def test_recall_over_a_thousand_links(spark, capsys):
     assert len(near) >= 1000 and found >= 0.99 * len(near) and false == 0
 
 
+def test_sketches_lose_no_link_and_take_little_room(spark, monkeypatch):
+    """No similar pair is refused by its sketches, nearly all others are, and the written tables stay near the texts' size."""
+    import itertools
+    import random
+
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    base, data = [word() for _ in range(260)], []  # lines of over a thousand shingles, more than any sample of them
+    for k in range(100):
+        line = list(base)
+        for _ in range(rng.choice((2, 12, 20, 60))):
+            line[rng.randrange(260)] = word()
+        data.append((k, " ".join(line)))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    bits = line_dedup.sketches(df.select(F.col("doc_id").alias("h"), F.col("text").alias("line")))
+    sets = [shingles(t) for _, t in data]
+    assert {r.h: r.sketch.n for r in bits.collect()} == {k: len(s) for k, s in enumerate(sets)}
+    p, q = (bits.select(F.col("h").alias(h), F.col("sketch").alias(s)) for h, s in (("a", "p"), ("b", "q")))
+    got = {(r.a, r.b) for r in p.crossJoin(q).where("a < b").where(line_dedup._possible(F.col("p"), F.col("q"))).select("a", "b").collect()}
+    near = {(a, b) for a, b in itertools.combinations(range(100), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    far = {(a, b) for a, b in itertools.combinations(range(100), 2) if len(sets[a] & sets[b]) < 0.6 * len(sets[a] | sets[b])}
+    assert near <= got and not far & got and len(near) > 100 and len(far) > 500
+    took, save = {}, line_dedup.Scratch.save
+
+    def measured(self, frame, name):
+        import pathlib
+
+        out = save(self, frame, name)
+        top = pathlib.Path(out.scratch_path.removeprefix("file:"))
+        took[name] = took.get(name, 0) + sum(x.stat().st_size for x in top.glob("*.parquet"))
+        seen.append(top)
+        return out
+
+    seen = []
+    monkeypatch.setattr(line_dedup.Scratch, "save", measured)
+    line_dedup.line_components(df).collect()
+    size = sum(len(t) for _, t in data)
+    assert took["texts"] + took.get("sketches", 0) <= 1.5 * size  # a sample of shingles beside each text took far more
+    assert "blocks" in took and not any(x.exists() for x in seen if "-blocks" in x.name or "-texts" in x.name)
+
+
+def test_shingles_do_not_depend_on_the_rest_of_a_line(spark):
+    """A window is the same shingle in lines with and without wide characters."""
+    lines = ["plain words stand here", "plain words stand hér\u00e9", "plain words \u2014 stand here", "\u201cplain words stand here\u201d", "\U0001f642 plain words stand here", "?! plain ?! words", "?\u2014 plain ?! words", "\u4e2d", "\u4e2d\u6587", "a", ""]
+    df = spark.createDataFrame(list(enumerate(lines)), "k long, line string").where("line <> ''")
+    got = {r.k: set(r.s) for r in df.select("k", line_dedup._all_shingles(F.col("line")).alias("s")).collect()}
+    for a in got:
+        assert len(got[a]) == len(shingles(lines[a]))
+        for b in got:
+            assert len(got[a] & got[b]) == len(shingles(lines[a]) & shingles(lines[b])), (lines[a], lines[b])
+    least = {r.h: {x for x in r[1:] if x is not None} for r in line_dedup.minima(df.select(F.col("k").alias("h"), "line")).collect()}
+    assert all(least[k] and least[k] <= got[k] for k in got)
+
+
 def test_lines_too_long_for_a_block(spark, monkeypatch):
     """Groups of near lines come out alike whether lines stand in the blocks or fetch their texts."""
     import random
