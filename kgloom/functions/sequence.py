@@ -6,6 +6,13 @@ from pyspark.sql import Column, functions as F
 
 # The residues in the order of their numbers.
 RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
+#: The letters that have one Latin capital each, two of them beyond ASCII.
+SMALL, CAPITAL = "abcdefghijklmnopqrstuvwxyz\u0131\u017f", "ABCDEFGHIJKLMNOPQRSTUVWXYZIS"
+
+
+def capitals(sequence: Column) -> Column:
+    """Residue letters as capitals, one for one, so that places stay: upper() makes two letters of some."""
+    return F.translate(sequence, SMALL, CAPITAL)
 
 
 def count_letters(sequence: Column, letters: str) -> Column:
