@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..scratch import Scratch
+from .blocks import count_higher_products
 from .ranges import places
 
 LEAF, FAN = 64, 64
@@ -29,7 +30,8 @@ class Scoring:
     order: columns of items by which neighbours are alike. of_items and of_tiles sum up an array of
     items, or of tiles, as named columns. bounds(tile) is a struct (lo, hi) that no item's score in
     the tile lies outside of, or null; score(x) is the score itself, null where lowest. Both may use
-    the asking row's columns, and those that `prepared` adds to it.
+    the asking row's columns, and those that `prepared` adds to it. Inner products over all items are
+    counted in blocks, which takes less than bounds of tiles that most rows straddle.
     """
 
     order: tuple[str, ...]
@@ -38,6 +40,8 @@ class Scoring:
     bounds: Callable[[Column], Column]
     score: Callable[[Column], Column]
     prepared: Callable[[DataFrame], DataFrame] = lambda asks: asks
+    #: The asking row's and the items' vectors where the score is their inner product.
+    product: tuple[str, str] | None = None
 
 
 LOWEST = float("-inf")
@@ -117,7 +121,7 @@ def by_inner_product(ask: str, vector: str, order: tuple[str, ...]) -> Scoring:
         return _once(both, lambda b: between(F.nanvl(b["m"] - b["r"], F.lit(LOWEST)), F.nanvl(b["m"] + b["r"], F.lit(-LOWEST))))
 
     score = lambda x: F.nanvl(_dot(F.col(ask), x[vector]), F.lit(LOWEST))
-    return Scoring(order, lambda xs: _ball_of(xs, vector), _ball_of_balls, bounds, score, lambda asks: asks.withColumn("_length", _length(F.col(ask))))
+    return Scoring(order, lambda xs: _ball_of(xs, vector), _ball_of_balls, bounds, score, lambda asks: asks.withColumn("_length", _length(F.col(ask))), (ask, vector))
 
 
 def by_distance(ask: str, vector: str, order: tuple[str, ...]) -> Scoring:
@@ -224,7 +228,10 @@ def count_higher(asks: DataFrame, sets: dict[str, tuple[DataFrame, list[str]]],
     front = asked.where(F.col(own).isNotNull())
     parts = []
     for k, (items, by) in enumerate(sets.values()):
-        n = _descend(front, tree(items, by, item, scoring, scratch), by, scoring, own, scratch)
+        if scoring.product and not by:
+            n = count_higher_products(front, items, scoring.product[0], own, scoring.product[1], "_ask", scratch)
+        else:
+            n = _descend(front, tree(items, by, item, scoring, scratch), by, scoring, own, scratch)
         parts.append(n.select("_ask", F.lit(k).alias("_set"), "_n"))
     sums = [F.sum(F.when(F.col("_set") == k, F.col("_n")).otherwise(0)).alias(f"_sum{k}") for k in range(len(sets))]
     answered = asked.join(reduce(DataFrame.unionAll, parts).groupBy("_ask").agg(*sums), "_ask", "left")
