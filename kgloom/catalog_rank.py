@@ -398,10 +398,8 @@ VECTORS = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM emb
     """
 )
 def cosine_topk(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings")
-    q = v.select(F.col("vec_id").alias("q"), F.col("embedding").alias("x"), "label")
-    pairs = q.join(v.select(F.col("vec_id").alias("item"), F.col("embedding").alias("y"), "label"), "label").where("q <> item")
-    scores = pairs.select("q", "item", F.round(vx.cosine(F.col("x"), F.col("y")), 6).alias("score"))
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    scores = rk.nearest(v, ["label"], 5, 6).select("q", "item", F.round("score", 6).alias("score"))
     return rk.top(scores, ["q"], 5).select("q", "item", "score", "position")
 
 
