@@ -83,7 +83,7 @@ def filtered_rank_mrr(spark, sf_dir):
     wrapped = wrapped_scoring(lambda x: x["freq"])
     asks = held.join(items, "item").withColumn("a", F.col("q") * 31 % 997)
     asks = asks.select("q", "item", "a", wrapped.score({"freq": F.col("freq"), "b": F.col("b")}).alias("own"))
-    ranks = rk.filtered_ranks(asks, items, train.unionAll(held), [], ["q"], "item", wrapped)
+    ranks = rk.filtered_ranks(asks, items, train.unionAll(held), [], ["q"], "item", wrapped, lambda q: q.withColumn("a", F.col("q") * 31 % 997), ["a"])
     out = rk.rank_metrics(ranks, ["q"])
     return out.select("q", "n", F.round("mrr", 6).alias("mrr"), F.round("hits_50", 6).alias("hits_50"))
 

@@ -58,13 +58,13 @@ def places(df: DataFrame, by: list[str], order: list[Column | str], name: str =
     return running(ranged(df, by, order), by, order, F.sum, {name: F.lit(1)}).drop(RANGE)
 
 
-def higher_in_order(asks: DataFrame, scored: DataFrame, by: list[str], own: str, score: str, key: str) -> DataFrame:
-    """(key, _n): how many rows of scored(by, score) of the asking row's group score higher than its own.
+def higher_in_order(asks: DataFrame, scored: DataFrame, by: list[str], own: str, score: str, key: str, weight: Column | None = None) -> DataFrame:
+    """(key, _n): how many rows of scored(by, score), each counted `weight` times, of the asking row's group score higher than its own.
 
     Both stand in one order, asking rows before the rows of an equal score; NaN is lowest.
     """
     clean = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(float("-inf"))).alias("_v")
-    asked = asks.where(F.col(own).isNotNull()).select(*by, clean(own), F.lit(0).alias("_t"), F.col(key).cast("long").alias("_k"))
-    there = scored.where(F.col(score).isNotNull()).select(*by, clean(score), F.lit(1).alias("_t"), F.monotonically_increasing_id().alias("_k"))
+    asked = asks.where(F.col(own).isNotNull()).select(*by, clean(own), F.lit(0).cast("long").alias("_t"), F.col(key).cast("long").alias("_k"))
+    there = scored.where(F.col(score).isNotNull()).select(*by, clean(score), (F.lit(1) if weight is None else weight).cast("long").alias("_t"), F.monotonically_increasing_id().alias("_k"))
     both, order = asked.unionAll(there), [F.desc("_v"), "_t", "_k"]
     return running(ranged(both, by, order), by, order, F.sum, {"_n": F.col("_t")}).where("_t = 0").select(F.col("_k").alias(key), F.col("_n").cast("long").alias("_n"))
