@@ -182,13 +182,14 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, scale: float = 256, key: s
     best, start, width = None, 0, 1
     while start < shards:
         step = F.explode(F.sequence(F.lit(start), F.lit(min(start + width, shards) - 1)))
-        meet = block.withColumn("step", step).withColumn("shard", (F.col("block") + F.col("step")) % shards).join(shard, "shard")
         if best is None:
-            meet = meet.withColumn("kth", F.lit(None).cast("map<bigint,bigint>"))
+            asking = block.withColumn("kth", F.lit(None).cast("map<bigint,bigint>"))
         else:
             kth = best.groupBy("block", "row").agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") >= k)
             kth = kth.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("row", "kth"))).alias("kth"))  # one block's queries
-            meet = meet.join(kth, "block", "left")
+            asking = block.join(kth.hint("merge"), "block", "left")
+        # merged: Spark takes a block for as large as its file, however often it is repeated, and would send all copies to the driver
+        meet = asking.withColumn("step", step).withColumn("shard", (F.col("block") + F.col("step")) % shards).join(shard.hint("merge"), "shard")
         got = meet.select("block", "rows", "queries", "kth").mapInArrow(find, found)
         both = got if best is None else best.unionAll(got)
         best = scratch.save(both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"), "best")
